@@ -8,11 +8,12 @@ by cap / weight.
 Selection: a source gives whole epochs first, then a weighted sample without replacement: each
 document has the key -ln(u) / quality, and the smallest keys whose sizes sum up to the rest are
 taken. The prefix sum is counted over buckets of the key first; only the bucket in which the
-budget ends is sorted, so a source that holds most rows is no single group.
+budget ends is sorted, so a source that holds most rows is no single group. The one document left
+whose size comes nearest to what is then missing closes the gap.
 
 Defined cases: null source is a source of its own and last; null or empty texts have size 0 and
 are taken 0 words; null doc_id hashes like an empty id; documents of the same id have the same
-key and are ordered by size; an empty table gives no rows; other columns are not read.
+key and are ordered by size, and rows equal in both may all be the last one taken; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     by_bucket = stage(by_bucket, "buckets")
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
 
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).alias("e")
@@ -78,9 +79,20 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     inside = F.col("bucket") == F.col("edge")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = d.filter(inside).withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    at_edge = at_edge.withColumn("extra", (F.col("upto") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("upto")
-    rest = d.filter(~inside).withColumn("extra", (F.col("bucket") < F.col("edge")).cast("long"))
-    out = rest.unionByName(at_edge).withColumn("epochs", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0))
+    at_edge = at_edge.withColumn("extra", (F.col("upto") + F.col("size") <= F.col("rest")).cast("long")).drop("upto")
+    others = d.filter(~inside).withColumn("extra", (F.col("bucket") < F.col("edge")).cast("long"))
+    d = stage(others.unionByName(at_edge), "picked")
+
+    # what is missing up to the target goes to the one document left that comes nearest to it
+    taken = F.sum(F.when((F.col("bucket") == F.col("edge")) & (F.col("extra") == 1), F.col("size")).otherwise(0))
+    gaps = d.groupBy("source").agg((F.first("rest") - F.first("before") - taken).alias("gap")).withColumnRenamed("source", "s")
+    left = d.filter((F.col("extra") == 0) & (F.col("size") > 0)).join(gaps, F.col("source").eqNullSafe(F.col("s")))
+    left = left.filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    last = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "doc_id", "size")).alias("last"))
+    d = d.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    is_last = (F.col("extra") == 0) & (F.col("key") == F.col("last.key")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size"))
+    extra = F.when(F.coalesce(is_last, F.lit(False)), 1).otherwise(F.col("extra"))
+    out = d.withColumn("epochs", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *keep)
 
 
