@@ -26,6 +26,8 @@ from tidewell.runtime import stage, table
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
+#: Up to so many sources their plan (one row each) is broadcast, else joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -75,7 +77,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     plan = targets.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("s"), "source_size", "target", "whole", "rest", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")
     )
-    d = slim.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = stage(plan, "plan")
+    few = plan.count() <= BROADCAST_SOURCES
+    d = slim.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     inside = F.col("bucket") == F.col("edge")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = d.filter(inside).withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
