@@ -20,9 +20,9 @@ Only links between different components can be passed over (pairs in one compone
 trial), so components are exact. Sets of copies never meet as pairs.
 
 Defined cases: null texts and texts without words have the empty set, linked with nothing; texts
-with fewer words than ``n`` have one n-gram, all their words; rows with the same doc_id but other
-texts are different documents to the join, and null ids take part as the smallest number; an empty
-table gives no rows; columns other than doc_id and text are not read.
+with fewer words than ``n`` have one n-gram, all their words; sets are joined whatever the ids of
+their documents, so repeated ids do no harm, and null ids count as the smallest and are returned as
+null; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import connected_components
-from tidewell.llm.hashing import mix, run_hashes, word_hashes
+from tidewell.llm.hashing import run_hashes, word_hashes
 from tidewell.runtime import stage, table
 
 N = 5
@@ -84,33 +84,37 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def node_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, class, first): ``class`` is a digest of the whole set, ``first`` its first third."""
+    """(doc_id, n_shingles, node, first): ``node`` is a digest of the whole set (null: empty), ``first`` its first third."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, firsts = [], [], []
+            sizes, nodes, firsts = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 sizes.append(len(s))
-                classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                nodes.append(node_of(s) if len(s) else None)
                 firsts.append(_signed(s[: first_part(len(s))]) if len(s) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             values = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "n_shingles", "class", "first"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "n_shingles", "node", "first"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return d.mapInArrow(sign, "doc_id long, n_shingles long, class binary, first array<long>")
+    return d.mapInArrow(sign, "doc_id long, n_shingles long, node long, first array<long>")
 
 
 def whole_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(rep, set): the sorted digests as bytes."""
+    """(rep, set): the sets' nodes and sorted digests as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+            sets = list(shingle_sets(batch.column(0).to_pylist(), n))
+            yield pa.record_batch([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "rep long, set binary")
+    return docs.select("text").mapInArrow(make, "rep long, set binary")
 
 
 class PrefixTree:
@@ -188,8 +192,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     busy = p.groupBy("a").agg((1 + F.floor(F.count("*") / GROUP_PAIRS)).alias("chunks")).filter("chunks > 1")
     p = p.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0)).alias("chunk"))
     p = p.withColumn("part", F.pmod(F.xxhash64("a", "chunk"), F.lit(1 + n // GROUP_PAIRS)))
-    right = p.join(sets.select(F.col("rep").alias("b"), "set"), "b")
-    left = p.select("part", "a", "chunk").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a")
+    right = p.join(sets.select(F.col("rep").alias("b"), "set"), "b").select(*[F.col(c).alias(c) for c in ("part", "a", "chunk", "b", "set")])
+    left = p.select("part", "a", "chunk").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a").select(*[F.col(c).alias(c) for c in ("part", "a", "chunk", "set")])
     got = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(_try, "a long, b long")
     return stage(got, "links")
 
@@ -211,16 +215,14 @@ def candidate_lists(reps: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of all documents, and (rep, component) of the representatives that have links."""
+    """(doc_id, n_shingles, node) of all documents, and (rep, component) of the nodes that have links."""
     signed = stage(signatures(docs, n), "signatures")
-    reps = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    # equal ids with other texts may both represent: told apart by the class
-    first = signed.join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    first = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first")
-    lists = candidate_lists(first)
-    ids = stage(lists.select("rep").distinct(), "ids")
+    reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "first")).alias("m"))
+    reps = reps.select(F.col("node").alias("rep"), F.col("m.n_shingles").alias("n"), "m.first", "m.doc_id")
+    lists = candidate_lists(reps)
+    ids = stage(lists.select("rep").distinct().join(signed.groupBy("node").agg(F.min("doc_id").alias("owner")), F.col("rep") == F.col("node")).select("owner").distinct(), "ids")
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    d = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    d = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("owner"), "left_semi")
     sets = stage(whole_sets(d, n).dropDuplicates(["rep"]), "sets")
 
     lists = stage(lists.join(lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "token"), "long_lists")
@@ -245,16 +247,19 @@ def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFram
     rest = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes(F.col("na"), F.col("nb")))
     got = linked(rest.select("a", "b").distinct(), sets)
     links = got if links is None else stage(links.unionByName(got), "links")
-    return signed.select("doc_id", "n_shingles", "class"), connected_components(links).withColumnRenamed("v", "rep")
+    return signed.select("doc_id", "n_shingles", "node"), connected_components(links).withColumnRenamed("v", "rep")
 
 
 def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, class, rep, component_id) of every document."""
+    """(doc_id, n_shingles, node, component_id) of every document; equal ``node``: equal sets."""
     signed, found = similar_components(docs, n)
-    reps = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(found, "rep", "left").select("class", "rep", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(reps, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"))
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = nodes.join(found.withColumnRenamed("rep", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    nodes = nodes.join(smallest, "component").select("node", "component_id")
+    out = signed.join(nodes, "node", "left")
+    known = lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", "node", known(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op7_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
