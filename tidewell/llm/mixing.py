@@ -57,47 +57,79 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=symbol_quality, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken, *keep) for every row of ``docs``."""
-    u = uniform(F.col("doc_id"), seed)
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (-F.log(u) / quality(F.col("text"))).alias("key"), *keep)
-    slim = slim.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    slim = stage(slim, "keys")
-    by_bucket = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    by_bucket = stage(by_bucket, "buckets")
+def keyed(docs: DataFrame, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
+    """``docs`` with _size (words), _pick (what orders a source's documents) and _bucket (of the key)."""
+    key = -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"))
+    d = docs.withColumns({"_size": n_words(F.col("text")), "_key": key})
+    d = d.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    return d.withColumn("_pick", F.struct(F.col("_key").alias("key"), "doc_id", F.col("_size").alias("size"))).drop("_key")
+
+
+def _with_plan(d: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every row with its source's plan, by broadcast while the plan (a row per source) is short."""
+    plan = plan.withColumnRenamed("source", "_s")
+    few = plan.count() <= BROADCAST_SOURCES
+    return d.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def mixing_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """A row per source: source_size, target, whole epochs, and what else is taken once: all of the
+    buckets below ``edge``, in that bucket what is ordered up to ``cut``, and the document ``last``.
+
+    ``slim``: (source, _size, _bucket, _pick), written."""
+    by_bucket = stage(slim.groupBy("source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).alias("e")
-    edge = edge.join(targets.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
-    edge = edge.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    edge = edge.groupBy(F.col("t.source").alias("s")).agg(F.min("bucket").alias("edge"), F.min_by("before", "bucket").alias("before"))
-    plan = targets.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "whole", "rest", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")
-    )
-    plan = stage(plan, "plan")
-    few = plan.count() <= BROADCAST_SOURCES
-    d = slim.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    inside = F.col("bucket") == F.col("edge")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = d.filter(inside).withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    at_edge = at_edge.withColumn("extra", (F.col("upto") + F.col("size") <= F.col("rest")).cast("long")).drop("upto")
-    others = d.filter(~inside).withColumn("extra", (F.col("bucket") < F.col("edge")).cast("long"))
-    d = stage(others.unionByName(at_edge), "picked")
+    targets = stage(targets, "targets")
+
+    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    edge = _with_plan(edge, targets.select("source", "rest")).filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    edge = edge.groupBy(F.col("source").alias("s")).agg(F.min("_bucket").alias("edge"), F.min_by("before", "_bucket").alias("before"))
+    plan = targets.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = stage(plan.withColumns({"edge": F.coalesce("edge", F.lit(BUCKETS)), "before": F.coalesce("before", F.lit(0))}), "edges")
+
+    inside = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge", "before", "rest")).filter(F.col("_bucket") == F.col("edge"))
+    order = Window.partitionBy("source").orderBy("_pick")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("_size").over(order)).filter(F.col("upto") <= F.col("rest"))
+    cut = inside.groupBy(F.col("source").alias("s")).agg(F.max("_pick").alias("cut"), F.max("upto").alias("got"))
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = stage(plan.withColumn("gap", F.col("rest") - F.coalesce("got", "before")).drop("got", "before", "rest"), "cuts")
 
     # what is missing up to the target goes to the one document left that comes nearest to it
-    taken = F.sum(F.when((F.col("bucket") == F.col("edge")) & (F.col("extra") == 1), F.col("size")).otherwise(0))
-    gaps = d.groupBy("source").agg((F.first("rest") - F.first("before") - taken).alias("gap")).withColumnRenamed("source", "s")
-    left = d.filter((F.col("extra") == 0) & (F.col("size") > 0)).join(gaps, F.col("source").eqNullSafe(F.col("s")))
-    left = left.filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-    last = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "doc_id", "size")).alias("last"))
-    d = d.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    is_last = (F.col("extra") == 0) & (F.col("key") == F.col("last.key")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size"))
-    extra = F.when(F.coalesce(is_last, F.lit(False)), 1).otherwise(F.col("extra"))
-    out = d.withColumn("epochs", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *keep)
+    left = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge", "cut", "gap")).filter(~_taken_once())
+    left = left.filter(F.abs(F.col("_size") - F.col("gap")) < F.col("gap"))
+    last = left.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("_size") - F.col("gap")).alias("off"), "_pick")).alias("last"))
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    return stage(plan.select("source", "source_size", "target", "whole", "edge", "cut", F.col("last._pick").alias("last")), "plan")
+
+
+def _taken_once() -> Column:
+    return (F.col("_bucket") < F.col("edge")) | ((F.col("_bucket") == F.col("edge")) & F.coalesce(F.col("_pick") <= F.col("cut"), F.lit(False)))
+
+
+def mixed(keyed_docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``keyed_docs`` with source_size, target and ``epochs``, how often the mix takes the document."""
+    d = _with_plan(keyed_docs, plan)
+    once = _taken_once() | F.coalesce(F.col("_pick") == F.col("last"), F.lit(False))
+    d = d.withColumn("epochs", F.when(F.col("_size") > 0, F.col("whole") + once.cast("long")).otherwise(0).cast("long"))
+    return d.drop("whole", "edge", "cut", "last")
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, taken) for every row of ``docs``."""
+    slim = stage(keyed(docs.select("doc_id", "text", "source"), seed, quality).drop("text"), "keys")
+    d = mixed(slim, mixing_plan(slim, weights, max_epochs))
+    return d.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", (F.col("epochs") * F.col("_size")).alias("taken"))
+
+
+def take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it. Texts are not shuffled."""
+    d = keyed(docs, seed, quality)
+    plan = mixing_plan(stage(d.select("source", "_size", "_bucket", "_pick"), "keys"), weights, max_epochs)
+    d = mixed(d, plan).filter("epochs > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
+    return d.select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
