@@ -1,4 +1,6 @@
 """Every registered query with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidewell.plans import events
+
+QUERIES: dict = {**events.QUERIES}
+ORACLE: dict = {**events.ORACLE}
