@@ -1,80 +1,111 @@
-"""Ordered folds: state machines over a key's events in order, as sorted streams.
+"""Ordered folds: state machines over a key's events in order.
 
-A partition's rows come sorted by key and order, and the state of one key at a time is kept, so a
-key of any length is folded in constant memory. Use these only where windows can't say it.
+In batch a fold runs over sorted partitions as a stream of rows, with the state of one key at a
+time, so a key of any length is folded in constant memory; ``tidewell.streaming.state`` runs the
+same fold over a stream with its state kept by Spark. Use folds only where windows can't say it.
+States are plain dicts of numbers, texts and lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], columns: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable | None = None) -> DataFrame:
-    """Rows that ``step(state, key, row)`` gives for each row and ``finish(state, key)`` for each key.
+@dataclass(frozen=True)
+class Fold:
+    """``columns`` of each event go to ``step(state, key, row)``, which changes the state and returns
+    result rows without the key; ``finish(state, key)`` returns those at a key's end. ``schema``: of results."""
 
-    ``start()`` makes a key's state; ``step`` changes it and returns a list of result tuples."""
-    use = [key, *columns]
+    columns: tuple[str, ...]
+    schema: str
+    start: Callable[[], dict]
+    step: Callable[[dict, tuple], list[tuple]]
+    finish: Callable[[dict], list[tuple]] = lambda state: []
+
+    def result_schema(self, df: DataFrame, key: str) -> str:
+        return f"{key} {dict(df.dtypes)[key]}, {self.schema}"
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], fold: Fold) -> DataFrame:
+    schema = fold.result_schema(df, key)
+    names = [key, *StructType.fromDDL(fold.schema).names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), None
+        table = lambda rows: pd.DataFrame.from_records(rows, columns=names).astype(object)
         for pdf in batches:
             out: list[tuple] = []
             for row in pdf.itertuples(index=False, name=None):
                 if row[0] != now:
-                    if state is not None and finish:
-                        out += finish(state, now)
-                    now, state = row[0], start()
-                out += step(state, now, row[1:])
-            yield pd.DataFrame.from_records(out, columns=names).astype(object)
-        if state is not None and finish:
-            yield pd.DataFrame.from_records(finish(state, now), columns=names).astype(object)
-
-    from pyspark.sql.types import StructType
+                    if state is not None:
+                        out += [(now, *r) for r in fold.finish(state)]
+                    now, state = row[0], fold.start()
+                out += [(now, *r) for r in fold.step(state, row[1:])]
+            yield table(out)
+        if state is not None:
+            yield table([(now, *r) for r in fold.finish(state)])
 
-    names = StructType.fromDDL(schema).names
-    sorted_rows = df.repartition(key).sortWithinPartitions(key, *order).select(*use)
-    return sorted_rows.mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).select(key, *fold.columns).mapInPandas(run, schema)
 
 
-def count_or_time_windows(events: DataFrame, key: str, time: str, tie: str, most: int, span: int) -> DataFrame:
+def count_or_time(time: str, most: int, span: int) -> Fold:
     """Windows that close at ``most`` events or at the first event ``span`` or more after their first,
-    which then opens the next: (key, window, opened, last, events)."""
+    which then opens the next: (window, opened, last, events)."""
 
-    def step(w: dict, k, row) -> list[tuple]:
+    def step(w: dict, row) -> list[tuple]:
         t, out = row[0], []
         if w["n"] and (w["n"] >= most or t - w["opened"] >= span):
-            out.append((k, w["window"], w["opened"], w["last"], w["n"]))
+            out.append((w["window"], w["opened"], w["last"], w["n"]))
             w |= {"window": w["window"] + 1, "n": 0}
         if not w["n"]:
             w["opened"] = t
         w |= {"n": w["n"] + 1, "last": t}
         return out
 
-    schema = f"{key} {dict(events.dtypes)[key]}, window long, opened long, last long, events long"
-    return ordered_fold(events, key, [time, tie], [time], schema, lambda: {"window": 1, "n": 0}, step, lambda w, k: [(k, w["window"], w["opened"], w["last"], w["n"])])
+    return Fold((time,), "window long, opened long, last long, events long", lambda: {"window": 1, "n": 0}, step, lambda w: [(w["window"], w["opened"], w["last"], w["n"])])
+
+
+def idle_sessions(time: str, ended: str, gap: int) -> Fold:
+    """Sessions that close after more than ``gap`` or behind an event that ended one: (session, started, last, events, close_reason)."""
+
+    def close(s: dict, why: str) -> list[tuple]:
+        row = (s["session"], s["started"], s["last"], s["n"], why)
+        s |= {"session": s["session"] + 1, "n": 0}
+        return [row]
 
+    def step(s: dict, row) -> list[tuple]:
+        t, end = row
+        out = close(s, "idle_timeout") if s["n"] and t - s["last"] > gap else []
+        if not s["n"]:
+            s["started"] = t
+        s |= {"n": s["n"] + 1, "last": t}
+        return out + (close(s, "ended") if end else [])
 
-def adaptive_threshold(events: DataFrame, key: str, order: list[str], deviation: str, start: float = 3.0, floor: float = 1.5, keep: float = 0.95) -> DataFrame:
-    """(key, updates, threshold): moved by each deviation in order, max(floor, keep x old + rest x |deviation|)."""
+    return Fold((time, ended), "session long, started long, last long, events long, close_reason string", lambda: {"session": 1, "n": 0}, step, lambda s: close(s, "open") if s["n"] else [])
 
-    def step(s: dict, k, row) -> list[tuple]:
+
+def adaptive_threshold(deviation: str, start: float = 3.0, floor: float = 1.5, keep: float = 0.95) -> Fold:
+    """(updates, threshold): moved by each deviation in order, max(floor, keep x old + rest x |deviation|)."""
+
+    def step(s: dict, row) -> list[tuple]:
         if row[0] is not None:
             s["x"], s["n"] = max(floor, s["x"] * keep + abs(row[0]) * (1 - keep)), s["n"] + 1
         return []
 
-    schema = f"{key} {dict(events.dtypes)[key]}, updates long, threshold double"
-    return ordered_fold(events, key, order, [deviation], schema, lambda: {"x": start, "n": 0}, step, lambda s, k: [(k, s["n"], s["x"])])
+    return Fold((deviation,), "updates long, threshold double", lambda: {"x": start, "n": 0}, step, lambda s: [(s["n"], s["x"])])
 
 
-def calibration(verdicts: DataFrame, key: str, order: list[str], verdict: str, least: int = 15, rate: float = 0.70, clean: int = 3) -> DataFrame:
-    """(key, accepts, rejects, last_reject, auto_enabled) after all verdicts in order.
+def calibration(verdict: str, least: int = 15, rate: float = 0.70, clean: int = 3) -> Fold:
+    """(accepts, rejects, last_reject, auto_enabled) after all verdicts in order.
 
     Enabled from ``least`` verdicts on, at ``rate`` accepted and with ``clean`` verdicts since the last reject."""
 
-    def step(s: dict, k, row) -> list[tuple]:
+    def step(s: dict, row) -> list[tuple]:
         if row[0] == "accept":
             s["a"] += 1
         elif row[0] in ("reject", "modify"):
@@ -82,61 +113,79 @@ def calibration(verdicts: DataFrame, key: str, order: list[str], verdict: str, l
             s["at"] = s["a"] + s["r"]
         return []
 
-    def finish(s: dict, k) -> list[tuple]:
+    def finish(s: dict) -> list[tuple]:
         n = s["a"] + s["r"]
-        return [(k, s["a"], s["r"], s["at"], n >= least and s["a"] / n >= rate and n - s["at"] >= clean)]
+        return [(s["a"], s["r"], s["at"], n >= least and s["a"] / n >= rate and n - s["at"] >= clean)]
 
-    schema = f"{key} {dict(verdicts.dtypes)[key]}, accepts long, rejects long, last_reject long, auto_enabled boolean"
-    return ordered_fold(verdicts, key, order, [verdict], schema, lambda: {"a": 0, "r": 0, "at": 0}, step, finish)
+    return Fold((verdict,), "accepts long, rejects long, last_reject long, auto_enabled boolean", lambda: {"a": 0, "r": 0, "at": 0}, step, finish)
 
 
-def alert_latch(readings: DataFrame, key: str, order: list[str], time: str, lag: str, spike: int = 1000, stall: int = 300_000_000) -> DataFrame:
-    """(key, at, alert): "raised" when the lag spikes or has not fallen for ``stall``, once until it is 0 again, then "recovered"."""
+def alert_latch(time: str, lag: str, spike: int = 1000, stall: int = 300_000_000) -> Fold:
+    """(at, alert): "raised" when the lag spikes or has not fallen for ``stall``, once until it is 0 again, then "recovered"."""
 
-    def step(s: dict, k, row) -> list[tuple]:
+    def step(s: dict, row) -> list[tuple]:
         t, n = row
         if s["fell"] is None or n < s["lag"] or n == 0:
             s["fell"] = t
         bad = n > spike or (n > 0 and t - s["fell"] >= stall)
-        s["lag"], out = n, []
+        s["lag"] = n
         if bad and not s["on"]:
-            s["on"], out = True, [(k, t, "raised")]
-        elif n == 0 and s["on"]:
-            s["on"], out = False, [(k, t, "recovered")]
+            s["on"] = True
+            return [(t, "raised")]
+        if n == 0 and s["on"]:
+            s["on"] = False
+            return [(t, "recovered")]
+        return []
+
+    return Fold((time, lag), "at long, alert string", lambda: {"fell": None, "lag": 0, "on": False}, step)
+
+
+def saga(time: str, kind: str, idle: int = 1_800_000_000) -> Fold:
+    """Sagas from a "started" event over steps to "completed" or "failed", killed after ``idle`` without an event: (saga, steps, outcome)."""
+
+    def step(s: dict, row) -> list[tuple]:
+        t, what = row
+        out = []
+        if s["open"] and t - s["last"] > idle:
+            out, s["open"] = [(s["saga"], s["steps"], "killed")], False
+        if what == "started" and not s["open"]:
+            s |= {"open": True, "saga": s["saga"] + 1, "steps": 0}
+        elif s["open"] and what in ("completed", "failed"):
+            out, s["open"] = [*out, (s["saga"], s["steps"], what)], False
+        elif s["open"]:
+            s["steps"] += 1
+        s["last"] = t
         return out
 
-    schema = f"{key} {dict(readings.dtypes)[key]}, at long, alert string"
-    return ordered_fold(readings, key, order, [time, lag], schema, lambda: {"fell": None, "lag": 0, "on": False}, step)
+    return Fold((time, kind), "saga long, steps long, outcome string", lambda: {"open": False, "saga": 0, "steps": 0, "last": 0}, step, lambda s: [(s["saga"], s["steps"], "open")] if s["open"] else [])
 
 
-def thrash_cycles(events: DataFrame, key: str, order: list[str], kind: str, to_build: int = 10, to_fail: int = 20, to_revert: int = 20) -> DataFrame:
-    """(key, edit, build, fail, revert): places of complete cycles, one after another, each resuming behind the last.
+def thrash_cycles(kind: str, to_build: int = 10, to_fail: int = 20, to_revert: int = 20) -> Fold:
+    """(edit, build, fail, revert): places of complete cycles, one after another, each resuming behind the last.
 
     ``kind``: edit, build, fail, revert or anything else. An edit needs a build within ``to_build``
     events, that a failure within ``to_fail``, that a revert within ``to_revert``; an edit whose cycle
     does not complete is passed over. Only the events still in reach are kept."""
     reach = to_build + to_fail + to_revert
 
-    def find(s: dict, k, final: bool) -> list[tuple]:
+    def find(s: dict, final: bool) -> list[tuple]:
         out, ev = [], s["ev"]
         while ev and (final or len(ev) > reach):
-            if ev[0] != "edit":
-                drop = 1
-            else:
+            drop = 1
+            if ev[0] == "edit":
                 seek = lambda what, a, n: next((j for j in range(a + 1, min(a + 1 + n, len(ev))) if ev[j] == what), None)
                 b = seek("build", 0, to_build)
                 f = seek("fail", b, to_fail) if b is not None else None
                 r = seek("revert", f, to_revert) if f is not None else None
                 if r is not None:
-                    out.append((k, *(s["at"] + x for x in (0, b, f, r))))
-                drop = 1 if r is None else r + 1
+                    out.append(tuple(s["at"] + x for x in (0, b, f, r)))
+                    drop = r + 1
             del ev[:drop]
             s["at"] += drop
         return out
 
-    def step(s: dict, k, row) -> list[tuple]:
+    def step(s: dict, row) -> list[tuple]:
         s["ev"].append(row[0])
-        return find(s, k, False)
+        return find(s, False)
 
-    schema = f"{key} {dict(events.dtypes)[key]}, edit long, build long, fail long, revert long"
-    return ordered_fold(events, key, order, [kind], schema, lambda: {"ev": [], "at": 1}, step, lambda s, k: find(s, k, True))
+    return Fold((kind,), "edit long, build long, fail long, revert long", lambda: {"ev": [], "at": 1}, step, lambda s: find(s, True))

@@ -311,13 +311,13 @@ UNION ALL SELECT r.event_type, r.i, CASE WHEN s.n >= 50 OR r.us - s.opened >= {D
 FROM s JOIN r ON r.event_type = s.event_type AND r.i = s.i + 1)
 SELECT event_type, win AS window, min(opened) AS opened, max(last) AS last, max(n) AS events FROM s GROUP BY 1, 2""")
 def count_or_time_windows(spark, sf_dir):
-    return folds.count_or_time_windows(events(spark, sf_dir), "event_type", "us", "event_id", 50, DAY)
+    return folds.ordered_fold(events(spark, sf_dir), "event_type", ORDER, folds.count_or_time("us", 50, DAY))
 
 
 @query(None)
 def adaptive_threshold(spark, sf_dir):
     e = events(spark, sf_dir).filter(kind("error")).withColumn("dev", (F.col("value") / 10).cast("double"))
-    return folds.adaptive_threshold(e, "user_id", ORDER, "dev").withColumn("threshold", F.round("threshold", 6))
+    return folds.ordered_fold(e, "user_id", ORDER, folds.adaptive_threshold("dev")).withColumn("threshold", F.round("threshold", 6))
 
 
 @query(f"""WITH {EVENTS}, v AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'r' ELSE 'a' END AS verdict, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev),
@@ -325,19 +325,31 @@ c AS (SELECT user_id, count(*) FILTER (verdict = 'a') AS accepts, count(*) FILTE
 SELECT *, accepts + rejects >= 15 AND accepts::DOUBLE / (accepts + rejects) >= 0.7 AND accepts + rejects - last_reject >= 3 AS auto_enabled FROM c""")
 def calibration_fold(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("verdict", F.when(kind("error"), "reject").otherwise("accept"))
-    return folds.calibration(e, "user_id", ORDER, "verdict")
+    return folds.ordered_fold(e, "user_id", ORDER, folds.calibration("verdict"))
 
 
 @query(None)
 def alert_latch(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("lag", F.when(kind("signup"), 0).otherwise((F.col("value") * 10).cast("long")))
-    return folds.alert_latch(e, "user_id", ORDER, "us", "lag", spike=400, stall=2 * DAY)
+    return folds.ordered_fold(e, "user_id", ORDER, folds.alert_latch("us", "lag", spike=400, stall=2 * DAY))
 
 
 @query(None)
 def thrash_cycles(spark, sf_dir):
     k = F.when(kind("click"), "edit").when(kind("view"), "build").when(kind("error"), "fail").when(kind("signup"), "revert").otherwise("other")
-    return folds.thrash_cycles(events(spark, sf_dir).withColumn("kind", k), "user_id", ORDER, "kind")
+    return folds.ordered_fold(events(spark, sf_dir).withColumn("kind", k), "user_id", ORDER, folds.thrash_cycles("kind"))
+
+
+@query(f"WITH {SESSIONS} SELECT user_id, session, started, last, events, CASE WHEN ended THEN 'ended' WHEN session = max(session) OVER (PARTITION BY user_id) THEN 'open' ELSE 'idle_timeout' END AS close_reason FROM r")
+def idle_sessions_fold(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("ended", kind("signup"))
+    return folds.ordered_fold(e, "user_id", ORDER, folds.idle_sessions("us", "ended", GAP))
+
+
+@query(None)
+def sagas(spark, sf_dir):
+    k = F.when(kind("signup"), "started").when(kind("purchase"), "completed").when(kind("error"), "failed").otherwise("step")
+    return folds.ordered_fold(events(spark, sf_dir).withColumn("kind", k), "user_id", ORDER, folds.saga("us", "kind", 2 * DAY))
 
 
 @query(f"WITH {EVENTS} SELECT count(*) AS total, count(*) FILTER (event_type = 'error' AND value > 50) AS quarantined, count(*) FILTER (event_type = 'purchase') AS retried_ok, count(*) FILTER (event_type NOT IN ('error','purchase') OR (event_type = 'error' AND value <= 50)) AS pending FROM ev")
