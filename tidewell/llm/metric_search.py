@@ -22,9 +22,7 @@ candidates with the smallest id and never queries; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,9 @@ from tidewell.runtime import stage, table
 
 ROUTERS = 256
 PAGE = 2048
-LEAF, FAN = 96, 12
+LEAF, FAN = 256, 8
+#: Queries that go down a tree together.
+BLOCK = 1024
 NO_ID = -(1 << 63)
 
 
@@ -95,54 +95,83 @@ class MTree:
         to_parent = self._far(np.array([b["router"] for b in below]), router)
         return node | {"below": below, "to_parent": to_parent, "radii": np.array([b["radius"] for b in below]), "routers": np.array([b["router"] for b in below])}
 
-    def search(self, q: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best, ties to smaller ids; none below ``least``."""
-        own2 = float(q @ q)
-        reach = own2 + self.top
-        far = lambda rows: np.sqrt(np.maximum(0, reach - 2 * (self.x[rows] @ q)))
-        bound = lambda low: (reach - np.maximum(0, low - self.slack) ** 2) / 2 + 1e-6 + 1e-9 * reach
-        scores, ids, kth, tick = np.empty(0), np.empty(0, np.int64), least, count()
-        d = float(far(np.array([self.root["router"]]))[0])
-        heap = [(-float(bound(d - self.root["radius"])), next(tick), self.root, d)]
-        while heap and -heap[0][0] >= kth:
-            _, _, node, d = heapq.heappop(heap)
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the k best of every query, ties to smaller ids; none below its ``least``.
+
+        Queries go down the tree together, so that a node's distances to those that still need it are
+        one product of matrices; each then takes its leaves best first, one a round."""
+        reach = (queries * queries).sum(1) + self.top
+        kth = least.astype(np.float64).copy()
+        bound = lambda low, of: (reach[of] - np.maximum(0, low - self.slack) ** 2) / 2 + 1e-6 + 1e-9 * reach[of]
+        far = lambda of, rows: np.sqrt(np.maximum(0, reach[of][:, None] - 2 * (queries[of] @ self.x[rows].T)))
+        every = np.arange(len(queries))
+        d = far(every, np.array([self.root["router"]]))[:, 0]
+        open_, leaves, waiting = [(self.root, every, d)], [], []
+        while open_:
+            node, of, d = open_.pop()
+            alive = bound(d - node["radius"], of) >= kth[of]
+            of, d = of[alive], d[alive]
+            if not len(of):
+                continue
             if node["rows"] is not None:
-                rows = node["rows"][bound(np.abs(d - node["far"])) >= kth]
-                s = self.x[rows] @ q
-                keep = (s >= kth) & (self.ids[rows] != own)
-                scores, ids = np.concatenate([scores, s[keep]]), np.concatenate([ids, self.ids[rows][keep]])
-                if len(scores) > k:
-                    best = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[best], ids[best]
-                if len(scores) == k:
-                    kth = max(kth, float(scores.min()))
+                waiting.append((bound(d - node["radius"], of), of, np.full(len(of), len(leaves)), d))
+                leaves.append(node)
                 continue
-            near = np.flatnonzero(bound(np.abs(d - node["to_parent"]) - node["radii"]) >= kth)  # before any distance
-            if len(near):
-                to = far(node["routers"][near])
-                for i, di, b in zip(near, to, bound(to - node["radii"][near]), strict=True):
-                    if b >= kth:
-                        heapq.heappush(heap, (-float(b), next(tick), node["below"][i], float(di)))
-        best = np.lexsort((ids, -scores))[:k]
-        return scores[best], ids[best]
+            for child, up, radius in zip(node["below"], node["to_parent"], node["radii"], strict=True):
+                near = bound(np.abs(d - up) - radius, of) >= kth[of]  # before any distance to the child
+                if near.any():
+                    open_.append((child, of[near], far(of[near], np.array([child["router"]]))[:, 0]))
+        found = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        if waiting:
+            best, of, leaf, d = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            order = np.lexsort((-best, of))
+            best, of, leaf, d = best[order], of[order], leaf[order], d[order]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            turn = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+            for t in range(int(turn.max()) + 1):
+                now = np.flatnonzero((turn == t) & (best >= kth[of]))
+                got = [found]
+                for i in np.unique(leaf[now]):
+                    got.append(self._visit(leaves[i], queries, of[now[leaf[now] == i]], d[now[leaf[now] == i]], own, kth, bound))
+                found, kth = _keep(got, k, kth)
+        return found
+
+    def _visit(self, leaf: dict, queries, of, d, own, kth, bound):
+        """Candidates of a leaf; its vectors that no query here can need, by their distance to the leaf's router, are passed over."""
+        low = np.maximum(leaf["far"] - d.max(), d.min() - leaf["far"])
+        widest = of[np.argmax(bound(np.zeros(len(of)), of) - kth[of])]
+        rows = leaf["rows"][bound(np.maximum(0, low), np.full(len(low), widest)) >= kth[widest]]
+        s = queries[of] @ self.x[rows].T
+        q, r = np.nonzero((s >= kth[of][:, None]) & (own[of][:, None] != self.ids[rows][None, :]))
+        return of[q], s[q, r], self.ids[rows][r]
+
+
+def _keep(got: list, k: int, kth: np.ndarray):
+    """The k best of each query among (query, score, id) columns, and every query's k-th score."""
+    q, s, i = (np.concatenate(c) for c in zip(*got, strict=True))
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    last = rank == k - 1
+    kth = kth.copy()
+    kth[q[last]] = np.maximum(kth[q[last]], s[last])
+    return (q[rank < k], s[rank < k], i[rank < k]), kth
 
 
 def _search_pages(asked: DataFrame, pages: DataFrame, dim: int, top: float, k: int) -> DataFrame:
     """(query_id, vec_id, score): each query's best in the page that it asks, if they reach its ``least``."""
 
     def one(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            x, ids = _matrix(right.column("x").combine_chunks(), dim), right.column("vec_id").to_numpy()
-            tree = MTree(x, ids, top)
-            queries = _matrix(left.column("x").combine_chunks(), dim)
-            for q, own, least in zip(queries, left.column("query_id").to_pylist(), left.column("least").to_pylist(), strict=True):
-                s, i = tree.search(q, own, k, -np.inf if least is None else least)
-                out[0].append(np.full(len(s), own))
-                out[1].append(i)
-                out[2].append(s.astype(np.int64))
-        cat = lambda a: pa.array(np.concatenate(a) if a else np.empty(0, np.int64), pa.int64())
-        return pa.table([cat(a) for a in out], names=["query_id", "vec_id", "score"])
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        tree = MTree(_matrix(right.column("x").combine_chunks(), dim), right.column("vec_id").to_numpy(), top)
+        queries, own = _matrix(left.column("x").combine_chunks(), dim), left.column("query_id").to_numpy()
+        least = np.nan_to_num(left.column("least").to_numpy(), nan=-np.inf)
+        parts = [tree.search(queries[i : i + BLOCK], own[i : i + BLOCK], k, least[i : i + BLOCK]) for i in range(0, len(own), BLOCK)]
+        q = np.concatenate([own[i * BLOCK :][p[0]] for i, p in enumerate(parts)])
+        s, ids = (np.concatenate([p[j] for p in parts]) for j in (1, 2))
+        return pa.table([pa.array(q), pa.array(ids), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     asked = asked.select(*[F.col(c).alias(c) for c in ("page", "query_id", "x", "least")])
     pages = pages.select(*[F.col(c).alias(c) for c in ("page", "vec_id", "x")])
