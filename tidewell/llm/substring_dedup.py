@@ -28,15 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.batches import by_size
 from tidewell.llm.hashing import run_hashes, word_hashes
-from tidewell.runtime import stage, table
+from tidewell.runtime import table
 
 SIZE = 13
 CELLS = 4096
 #: Suffixes of a group, about.
-GROUP = 1_000_000
-#: Bytes of marks up to which they are broadcast; beyond, texts and marks are shuffled by doc_id.
-BROADCAST_BYTES = 32 << 20
+GROUP = 500_000
+#: Bytes of text in which a task settles repeats by itself before it sends suffixes.
+BATCH = 6 << 20
 NO_ID = -(1 << 63)
 
 
@@ -49,6 +50,12 @@ def _expand(b: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(b), "<i4").astype(np.int64))
 
 
+def _owners(docs: bytes, n: bytes) -> np.ndarray:
+    """The document of each suffix of a row."""
+    ids = np.cumsum(np.frombuffer(zstandard.decompress(docs), "<i8"))
+    return np.repeat(ids, np.frombuffer(zstandard.decompress(n), "<u4"))
+
+
 def _suffixes(batch: pa.RecordBatch, size: int):
     """(doc_ids, doc of each suffix, place in its document, first-word, three-word and whole-path digests), by rising doc_id."""
     ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
@@ -56,8 +63,8 @@ def _suffixes(batch: pa.RecordBatch, size: int):
     texts = batch.column(1).to_pylist()
     h, counts = word_hashes([(texts[i] or "").encode() for i in order])
     first = np.cumsum(counts) - counts
-    doc = np.repeat(np.arange(len(ids)), counts)
-    pos = np.arange(len(h)) - first[doc]
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    pos = (np.arange(len(h)) - first[doc]).astype(np.int32)
     whole = pos + size <= counts[doc]
     path = run_hashes(h, size)
     whole[len(path) :] = False
@@ -74,7 +81,7 @@ def prefix_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
-        for batch in batches:
+        for batch in by_size(batches, 1):
             _, _, _, one, three, _ = _suffixes(batch, size)
             for row, cells in zip(total, _cells(one, three), strict=True):
                 row += np.bincount(cells, minlength=CELLS)
@@ -112,7 +119,7 @@ def _send(plan, size: int):
     one_of, three_of, light, heavy = plan
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(batches):
+        for turn, batch in enumerate(by_size(batches, 1, BATCH)):
             ids, doc, pos, one, three, path = _suffixes(batch, size)
             if not len(path):
                 continue
@@ -135,7 +142,7 @@ def _send(plan, size: int):
                 cols = ([], [], [], [], [])
                 for part in np.split(some, cuts):
                     docs, n = np.unique(doc[part], return_counts=True)
-                    row = (int(group[part[0]]), ids[docs].astype("<i8").tobytes(), n.astype("<u4").tobytes(), _squeeze(pos[part]), None if is_later else path[part].astype("<u8").tobytes())
+                    row = (int(group[part[0]]), zstandard.compress(np.diff(ids[docs].astype("<i8"), prepend=0).tobytes(), 1), zstandard.compress(n.astype("<u4").tobytes(), 1), _squeeze(pos[part]), None if is_later else path[part].astype("<u8").tobytes())
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "n", "pos", "path"])
@@ -145,17 +152,16 @@ def _send(plan, size: int):
 
 def _subtree(t: pa.Table) -> pa.Table:
     """(doc_id, pos) marks of one group: leaves whose deep node has a leaf of a smaller document."""
-    owners, places, paths, out = [], [], [], ([], [])
+    owners, places, paths, marked, at = [], [], [], [], []
     rows = zip(*(t.column(c).to_pylist() for c in ("docs", "n", "pos", "path")), strict=True)
     for docs, n, pos, path in rows:
-        docs, n, pos = np.frombuffer(docs, "<i8"), np.frombuffer(n, "<u4"), _expand(pos)
+        owner = _owners(docs, n)
         if path is None:
-            for d, p in zip(docs.tolist(), np.split(pos, np.cumsum(n)[:-1]), strict=True):
-                out[0].append(d)
-                out[1].append(_squeeze(p))
+            marked.append(owner)
+            at.append(_expand(pos))
         else:
-            owners.append(np.repeat(docs, n))
-            places.append(pos)
+            owners.append(owner)
+            places.append(_expand(pos))
             paths.append(np.frombuffer(path, "<u8"))
     if paths:
         owner, pos, path = np.concatenate(owners), np.concatenate(places), np.concatenate(paths)
@@ -163,33 +169,25 @@ def _subtree(t: pa.Table) -> pa.Table:
         path, owner, pos = path[order], owner[order], pos[order]
         head = np.concatenate([[True], path[1:] != path[:-1]])
         hit = owner != owner[np.flatnonzero(head)][np.cumsum(head) - 1]
-        owner, pos = owner[hit], pos[hit]
-        order = np.lexsort((pos, owner))
-        owner, pos = owner[order], pos[order]
-        for p in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-            if len(p):
-                out[0].append(int(owner[p[0]]))
-                out[1].append(_squeeze(pos[p]))
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "pos": pa.array(out[1], pa.binary())})
+        marked.append(owner[hit])
+        at.append(pos[hit])
+    join = lambda a, kind: np.concatenate(a).astype(kind) if a else np.empty(0, kind)
+    return pa.table({"doc_id": pa.array(join(marked, np.int64)), "pos": pa.array(join(at, np.int32))})
 
 
 def repeat_marks(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(doc_id, marks): for documents with repeats, the starts of their repeated windows, in compressed lists."""
+    """(doc_id, marks): for documents with repeats, the starts of their repeated windows."""
     d = docs.select("doc_id", "text")
     plan = partition_plan(prefix_counts(d, size), group)
     sent = d.mapInArrow(_send(plan, size), "part int, docs binary, n binary, pos binary, path binary")
-    marks = sent.groupBy("part").applyInArrow(_subtree, "doc_id long, pos binary")
-    return stage(marks.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")), "marks")  # at most a document's own words
+    marks = sent.groupBy("part").applyInArrow(_subtree, "doc_id long, pos int")
+    return marks.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))  # at most a document's own words
 
 
-def covered(marks: list[bytes] | None, n_words: int, size: int) -> np.ndarray:
-    """True for each word that lies in a marked window."""
-    step = np.zeros(n_words + 1, np.int64)
-    for m in marks or ():
-        p = _expand(m)
-        step[p] += 1
-        step[p + size] -= 1
-    return np.cumsum(step[:-1]) > 0
+def covered(marks: np.ndarray, n_words: int, size: int) -> np.ndarray:
+    """True for each word that lies in a window that starts at a mark."""
+    step = np.bincount(marks, minlength=n_words + 1) - np.bincount(marks + size, minlength=n_words + 1)
+    return np.cumsum(step[:n_words]) > 0
 
 
 def maximal_spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -200,19 +198,16 @@ def maximal_spans(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text): ``spans`` are the removed maximal repeats in words of the input."""
-    marks = repeat_marks(docs, size, group)
-    total = marks.agg(F.sum(F.expr("aggregate(marks, 0L, (a, x) -> a + octet_length(x) + 64)"))).first()[0] or 0
-    marks = marks.withColumnRenamed("doc_id", "owner")
+    marks = repeat_marks(docs, size, group).withColumnRenamed("doc_id", "owner")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("owner")
-    d = docs.select("doc_id", "text").join(F.broadcast(marks) if total <= BROADCAST_BYTES else marks, key, "left").select("doc_id", "text", "marks")
+    d = docs.select("doc_id", "text").join(marks, key, "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, 1):
             n, gone, spans, kept = [], [], [], []
-            for text, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, m in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text or "").encode().split()
-                mask = covered(m, len(words), size)
-                runs = maximal_spans(mask)
+                runs = maximal_spans(covered(m.values.to_numpy().astype(np.int64), len(words), size)) if m.is_valid else []
                 left, at = [], 0
                 for a, b in runs:
                     left += words[at:a]
