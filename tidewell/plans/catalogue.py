@@ -1,6 +1,6 @@
 """Every registered query with its SQL twin."""
 
-from tidewell.plans import events, runs, texts
+from tidewell.plans import events, panels, runs, texts
 
-QUERIES: dict = {**events.QUERIES, **runs.QUERIES, **texts.QUERIES}
-ORACLE: dict = {**events.ORACLE, **runs.ORACLE, **texts.ORACLE}
+QUERIES: dict = {**events.QUERIES, **runs.QUERIES, **texts.QUERIES, **panels.QUERIES}
+ORACLE: dict = {**events.ORACLE, **runs.ORACLE, **texts.ORACLE, **panels.ORACLE}
