@@ -8,12 +8,14 @@ n-grams they share at least ``least_shared`` of them. This gives, without any lo
 2. each representative's first third of n-grams, and how often each occurs in other classes;
 3. only representatives with enough occurring n-grams can have a partner; of these n-grams, the
    rarest suffice for candidates, so passages that many documents share are passed over;
-4. lists of representatives by such an n-gram. Long lists, of large groups of near copies, are
-   first linked in a star to one member, for some rounds, and only pairs between components that
-   these rounds leave apart are tried one by one; short lists are tried as they are;
-5. the trial: for one document its candidates' whole sets form a prefix tree, walked with the
-   document's set; sets with a common beginning share its overlap, and a subtree is left when what
-   remains of it and of the document can't reach the index any more;
+4. lists of representatives by such an n-gram. First the members of a few of these lists are tried
+   in a star with one member each; lists whose members are then all in one component are done. Of
+   the others, short ones are tried pair by pair; long ones, of large groups of near copies, are
+   joined to blocks, whose members meet in chunks of bounded size;
+5. the trial: the candidates' whole sets form a prefix tree, which one or many documents walk
+   together; sets with a common beginning share its overlap, and a subtree is left by those that
+   can't reach the index any more with what remains of it and of them. Of a block only as many links
+   come back as connect its members, never its pairs;
 6. connected components of the links, in rounds of joins.
 
 Only links between different components can be passed over (pairs in one component already need no
@@ -36,14 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.batches import by_size
 from tidewell.llm.components import connected_components
 from tidewell.llm.hashing import run_hashes, word_hashes
 from tidewell.runtime import stage, table
 
 N = 5
-#: Lists up to this length are tried pair by pair at once.
+#: Lists up to this length are tried pair by pair, longer ones in blocks.
 SHORT = 16
-STAR_ROUNDS = 6
+#: Shared n-grams that are asked of a pair before it is tried, where its sets are large enough to promise them.
+MEET = 6
+#: Bounds of a chunk of a block: sets, and n-grams in them.
+CHUNK_SETS, CHUNK_GRAMS = 400, 60_000
+#: N-grams of each set that the first round of stars goes by.
+FIRST_TRY = 8
 #: Ids of documents that may have a partner, broadcast up to this many, else shuffled.
 BROADCAST_IDS = 500_000
 #: Pairs in one task's group, about.
@@ -80,8 +88,9 @@ def least_shared(n: Column | int):
     return (-(-3 * n // 4)) // 12 + 1 if isinstance(n, int) else F.floor(F.ceil(3 * n / 4) / 12) + 1
 
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
+def least_met(n: Column):
+    """In how many lists similar sets meet at least."""
+    return F.least(least_shared(n), F.lit(MEET))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -89,28 +98,37 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, node, first): ``node`` is a digest of the whole set (null: empty), ``first`` its first third."""
+    """(doc_id, n_shingles, node): ``node`` is a digest of the whole set (null: empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes, firsts = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), n):
-                sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-                firsts.append(_signed(s[: first_part(len(s))]) if len(s) else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            values = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "n_shingles", "node", "first"])
+        for batch in by_size(batches, 1):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), n))
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
 
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return d.mapInArrow(sign, "doc_id long, n_shingles long, node long, first array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long")
+
+
+def first_posts(representatives: DataFrame, n: int = N) -> DataFrame:
+    """(rep, n, token): the first third of each set's n-grams, from (rep, text)."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, 1):
+            sets = list(shingle_sets(batch.column(1).to_pylist(), n))
+            firsts = [s[: first_part(len(s))] for s in sets]
+            many = np.array([len(f) for f in firsts], np.int64)
+            rep = np.repeat(batch.column(0).to_numpy(), many)
+            token = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(rep), pa.array(np.repeat([len(s) for s in sets], many).astype(np.int32)), pa.array(token)], names=["rep", "n", "token"])
+
+    return representatives.select("rep", "text").mapInArrow(post, "rep long, n int, token long")
 
 
 def whole_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """(rep, set): the sets' nodes and sorted digests as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, 0):
             sets = list(shingle_sets(batch.column(0).to_pylist(), n))
             yield pa.record_batch([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
@@ -152,21 +170,38 @@ class PrefixTree:
                 return
             node = nxt
 
-    def search(self, q: np.ndarray) -> Iterator[int]:
-        """Names of the sets whose index with ``q`` is 3/4 or more."""
-        stack = [(self, 0, 0)]
+    def search(self, queries: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(number of the query, name of the set) with an index of 3/4 or more.
+
+        All queries walk the tree together: a node adds what its stretch shares with each of them, and
+        only those go on that can still reach the index with what is left."""
+        sizes = np.array([len(q) for q in queries])
+        known, flat = np.unique(np.concatenate(queries), return_inverse=True)
+        holds = np.zeros((len(known), len(queries)), bool)
+        holds[flat, np.repeat(np.arange(len(queries)), sizes)] = True
+        stack = [(self, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while stack:
-            node, overlap, at = stack.pop()
-            if len(node.stretch):
-                place = np.searchsorted(q, node.stretch)
-                overlap += int((q[np.minimum(place, len(q) - 1)] == node.stretch).sum())
-                at = int(np.searchsorted(q, node.stretch[-1], "right"))
-            if overlap + min(node.deep, len(q) - at) < need(len(q), node.small):
+            node, of, overlap = stack.pop()
+            if len(node.stretch) and len(known):
+                place = np.minimum(np.searchsorted(known, node.stretch), len(known) - 1)
+                place = place[known[place] == node.stretch]
+                overlap = overlap + holds[np.ix_(place, of)].sum(0)
+            alive = overlap + np.minimum(node.deep, sizes[of] - overlap) >= need(sizes[of], node.small)
+            of, overlap = of[alive], overlap[alive]
+            if not len(of):
                 continue
             for name, size in node.ends:
-                if overlap >= need(len(q), size):
-                    yield name
-            stack += [(x, overlap, at) for x in node.below.values()]
+                for q in of[overlap >= need(sizes[of], size)].tolist():
+                    yield q, name
+            stack += [(x, of, overlap) for x in node.below.values()]
+
+
+def _tree(names, sets) -> PrefixTree:
+    tree = PrefixTree(np.empty(0, np.uint64))
+    for name, s in zip(names, sets, strict=True):
+        s = np.frombuffer(s, np.uint64)
+        tree.add(s, name, len(s))
+    return tree
 
 
 def _try(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -174,12 +209,7 @@ def _try(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     sets = {(a, c): s for a, c, s in zip(left["a"], left["chunk"], left["set"], strict=True)}
     out = ([], [])
     for key, rows in right.groupby(["a", "chunk"], sort=False):
-        q = np.frombuffer(sets[key], np.uint64)
-        tree = PrefixTree(q[:0])
-        for b, s in zip(rows["b"], rows["set"], strict=True):
-            s = np.frombuffer(s, np.uint64)
-            tree.add(s, b, len(s))
-        for b in tree.search(q):
+        for _, b in _tree(rows["b"], rows["set"]).search([np.frombuffer(sets[key], np.uint64)]):
             out[0].append(key[0])
             out[1].append(b)
     return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
@@ -202,51 +232,115 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def candidate_lists(reps: DataFrame) -> DataFrame:
-    """(token, rep, n): representatives by the n-grams that make them candidates of each other."""
-    posts = reps.select("rep", "n", F.explode("first").alias("token"))
+def candidate_lists(posts: DataFrame) -> DataFrame:
+    """(token, rep, n, at): representatives by the n-grams that make them candidates, from the rarest (at = 0) on.
+
+    Similar sets meet in ``least_met`` of these lists or more."""
     often = posts.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
     shared = posts.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most a set's own third
-    # in order of rarity a set's lone n-grams come first; of all its first part, all but the last least_shared - 1 make candidates
+    # in order of rarity a set's lone n-grams come first; of its first part all but the last least_shared - least_met make candidates
     lone = first_part(F.col("n")) - F.size("shared")
-    rarest = (first_part(F.col("n")) - least_shared(F.col("n")) + 1 - lone).cast("int")
-    shared = shared.filter(rarest > 0).select("rep", "n", F.explode(F.slice("shared", F.lit(1), rarest)).alias("x"))
-    return stage(shared.select("x.token", "rep", "n"), "lists")
+    rarest = (first_part(F.col("n")) - least_shared(F.col("n")) + least_met(F.col("n")) - lone).cast("int")
+    shared = shared.filter(rarest >= least_met(F.col("n"))).select("rep", "n", F.posexplode(F.slice("shared", F.lit(1), rarest)).alias("at", "x"))
+    return stage(shared.select("x.token", "rep", "n", "at"), "lists")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """To be broadcast if its rows are few; ``df`` is written."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists whose members are in more than one component, with the members' components ``c``."""
+    parts = lists.select("token", "rep", "n").join(_few(found), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = parts.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("many")).filter("c0 < c1").select("token", "many")
+    return stage(parts.join(mixed, "token"), "apart")
+
+
+def _star(lists: DataFrame) -> DataFrame:
+    """(a, b): one member of each list with every other member."""
+    middle = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("m"), F.count("*").alias("many"))
+    star = lists.join(middle.filter("many > 1").select("token", "m"), "token").filter(F.col("m.rep") != F.col("rep"))
+    return star.select(F.col("m.rep").alias("a"), F.col("rep").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def _forest(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between the members of two chunks, reduced to as many as connect what they connect."""
+    a, b = left["rep"].tolist(), right["rep"].tolist()
+    root = {x: x for x in a + b}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = ([], [])
+    if a and b:
+        for q, name in _tree(b, right["set"]).search([np.frombuffer(s, np.uint64) for s in left["set"]]):
+            x, y = find(a[q]), find(name)
+            if x != y:
+                root[x] = y
+                out[0].append(a[q])
+                out[1].append(name)
+    return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
+
+
+def linked_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among all members of each list, for lists too long for pairs.
+
+    Lists that share members are one block; its members go to chunks of bounded size by bands of set
+    size, of which only the same and neighbouring ones can be similar, and chunk meets chunk."""
+    spread = _star(lists).select("a", "b")
+    block = stage(connected_components(spread).withColumnRenamed("v", "rep"), "blocks")
+    member = lists.select("rep", "n").distinct().join(_few(block), "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
+    room = member.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).alias("chunks"))
+    member = stage(member.join(room, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select("component", "band", "chunk", "rep"), "members")
+    chunks = member.select("component", "band", "chunk").distinct()
+    other = chunks.select("component", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
+    meet = chunks.join(other, "component").filter(((F.col("band") == F.col("band2")) & (F.col("chunk") <= F.col("chunk2"))) | (F.col("band") + 1 == F.col("band2")))
+    meet = stage(meet.withColumn("meeting", F.xxhash64("component", "band", "chunk", "band2", "chunk2")), "meetings")
+    have = member.join(sets, "rep")
+    left = have.join(meet.select("component", "band", "chunk", "meeting"), ["component", "band", "chunk"]).select(*[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
+    right = have.join(meet.select("component", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "meeting"), ["component", "band", "chunk"]).select(*[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
+    return stage(left.groupBy("meeting").cogroup(right.groupBy("meeting")).applyInPandas(_forest, "a long, b long"), "links")
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): members of different components that meet often enough; first counted for components, then for members."""
+    met = least_met(F.col("n"))
+    of = stage(lists.groupBy("token", "c").agg(F.min(met).alias("met")), "by_component")
+    other = of.select("token", F.col("c").alias("cb"), F.col("met").alias("mb"))
+    near = of.withColumnRenamed("c", "ca").join(other, "token").filter(F.col("ca") < F.col("cb"))
+    near = stage(near.groupBy("ca", "cb").agg(F.count("*").alias("common"), F.min(F.least("met", "mb")).alias("least")).filter(F.col("common") >= F.col("least")).select("ca", "cb"), "near")
+    left = lists.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(near, "ca")
+    right = lists.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = left.join(right, ["token", "cb"]).filter(_near_sizes(F.col("na"), F.col("nb")))
+    enough = F.count("*") >= F.least(least_met(F.first("na")), least_met(F.first("nb")))
+    return pairs.groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b")
+
+
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the documents that (rep, owner) names."""
+    return docs.join(_few(reps), F.col("doc_id") == F.col("owner")).select("rep", "text")
 
 
 def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of all documents, and (rep, component) of the nodes that have links."""
-    signed = stage(signatures(docs, n), "signatures")
-    reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "first")).alias("m"))
-    reps = reps.select(F.col("node").alias("rep"), F.col("m.n_shingles").alias("n"), "m.first", "m.doc_id")
-    lists = candidate_lists(reps)
-    ids = stage(lists.select("rep").distinct().join(signed.groupBy("node").agg(F.min("doc_id").alias("owner")), F.col("rep") == F.col("node")).select("owner").distinct(), "ids")
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    d = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("owner"), "left_semi")
-    sets = stage(whole_sets(d, n).dropDuplicates(["rep"]), "sets")
-
-    lists = stage(lists.join(lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "token"), "long_lists")
-    links = None
-    parts = lists.withColumn("c", F.col("rep"))
-    for turn in range(STAR_ROUNDS):
-        open_lists = parts.filter(F.col("many") > SHORT)
-        middle = open_lists.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c"), F.xxhash64(F.lit(turn), "rep"), "rep", "c", "n")).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        star = open_lists.join(middle.filter("c0 < c1"), "token").filter((F.col("m.c") != F.col("c")) & _near_sizes(F.col("m.n"), F.col("n")))
-        star = star.select(F.least("m.rep", "rep").alias("x"), F.greatest("m.rep", "rep").alias("y"), F.col("m.rep").alias("a"), F.col("rep").alias("b"))
-        star = stage(star.select("a", "b").distinct(), "star")
-        if star.isEmpty():
-            break
-        got = linked(star, sets)
-        links = got if links is None else stage(links.unionByName(got), "links")
-        found = connected_components(links).withColumnRenamed("v", "rep")
-        parts = stage(lists.join(found, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "parts")
-    # whatever lies apart now is tried pair by pair, in long lists too
-    mixed = parts.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-    left = parts.join(mixed, "token").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = left.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    rest = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes(F.col("na"), F.col("nb")))
-    got = linked(rest.select("a", "b").distinct(), sets)
-    links = got if links is None else stage(links.unionByName(got), "links")
+    signed = stage(signatures(d, n), "signatures")
+    reps = stage(signed.filter("n_shingles > 0").groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("owner")), "reps")
+    lists = candidate_lists(first_posts(_texts(d, reps), n))
+    ids = stage(reps.join(lists.select("rep").distinct(), "rep", "left_semi"), "ids")
+    sets = stage(whole_sets(_texts(d, ids), n).dropDuplicates(["rep"]), "sets")
+
+    # copies share most of their n-grams: a few of each set link most of what is alike
+    star = _star(lists.filter(F.col("at") < FIRST_TRY)).filter(_near_sizes(F.col("na"), F.col("nb"))).select("a", "b")
+    first = linked(star, sets)
+    found = stage(connected_components(first).withColumnRenamed("v", "rep"), "found")
+    parts = _apart(lists, found)
+    blocks = linked_blocks(parts.filter(F.col("many") > SHORT), sets)
+    links = first.unionByName(blocks).unionByName(linked(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
     return signed.select("doc_id", "n_shingles", "node"), connected_components(links).withColumnRenamed("v", "rep")
 
 
