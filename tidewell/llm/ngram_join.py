@@ -265,19 +265,21 @@ def _star(lists: DataFrame) -> DataFrame:
 
 
 def _forest(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between the members of two chunks, reduced to as many as connect what they connect."""
-    a, b = left["rep"].tolist(), right["rep"].tolist()
-    root = {x: x for x in a + b}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = ([], [])
-    if a and b:
-        for q, name in _tree(b, right["set"]).search([np.frombuffer(s, np.uint64) for s in left["set"]]):
+    """Links between the two sides of each meeting of a group, reduced to as many as connect what they connect."""
+    out, others = ([], []), dict(list(right.groupby("meeting", sort=False)))
+    for meeting, rows in left.groupby("meeting", sort=False):
+        if meeting not in others:
+            continue
+        a, b = rows["rep"].tolist(), others[meeting]["rep"].tolist()
+        root = {x: x for x in a + b}
+
+        def find(x: int, root: dict = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for q, name in _tree(b, others[meeting]["set"]).search([np.frombuffer(s, np.uint64) for s in rows["set"]]):
             x, y = find(a[q]), find(name)
             if x != y:
                 root[x] = y
@@ -286,6 +288,34 @@ def _forest(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
 
 
+def _met(left: DataFrame, right: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links between the members (meeting, rep) of both sides of each meeting; meetings are dealt to ``parts`` groups."""
+    with_sets = lambda d: d.join(sets, "rep").select(F.pmod(F.xxhash64("meeting"), F.lit(parts)).alias("part"), *[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
+    return stage(with_sets(left).groupBy("part").cogroup(with_sets(right).groupBy("part")).applyInPandas(_forest, "a long, b long"), "links")
+
+
+def linked_between(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among pairs (ca, cb, a, b) of members of two components.
+
+    The members of a pair of components meet at once, in chunks of bounded size, so that a set is
+    sent once for each other component and not for each of its members."""
+    p = stage(pairs, "pairs")
+
+    def chunked(me: str, n: str) -> DataFrame:
+        d = p.select("ca", "cb", F.col(me).alias("rep"), F.col(n).alias("n")).distinct()
+        room = d.groupBy("ca", "cb").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).alias(f"k{me}"))
+        return stage(d.join(room, ["ca", "cb"]).select("ca", "cb", "rep", f"k{me}", F.pmod(F.xxhash64("rep"), F.col(f"k{me}")).alias(f"chunk{me}")), f"side_{me}")
+
+    a, b = chunked("a", "na"), chunked("b", "nb")
+
+    def meeting(d: DataFrame, other: DataFrame, me: str, its: str) -> DataFrame:
+        rooms = other.select("ca", "cb", f"k{its}").distinct()
+        d = d.join(rooms, ["ca", "cb"]).withColumn(f"chunk{its}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"k{its}").cast("long") - 1)))
+        return d.select(F.xxhash64("ca", "cb", F.col("chunka").cast("long"), F.col("chunkb").cast("long")).alias("meeting"), "rep")
+
+    return _met(meeting(a, b, "a", "b"), meeting(b, a, "b", "a"), sets, 1 + a.count() // GROUP_PAIRS)
+
+
 def linked_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among all members of each list, for lists too long for pairs.
 
@@ -300,14 +330,13 @@ def linked_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     other = chunks.select("component", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
     meet = chunks.join(other, "component").filter(((F.col("band") == F.col("band2")) & (F.col("chunk") <= F.col("chunk2"))) | (F.col("band") + 1 == F.col("band2")))
     meet = stage(meet.withColumn("meeting", F.xxhash64("component", "band", "chunk", "band2", "chunk2")), "meetings")
-    have = member.join(sets, "rep")
-    left = have.join(meet.select("component", "band", "chunk", "meeting"), ["component", "band", "chunk"]).select(*[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
-    right = have.join(meet.select("component", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "meeting"), ["component", "band", "chunk"]).select(*[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
-    return stage(left.groupBy("meeting").cogroup(right.groupBy("meeting")).applyInPandas(_forest, "a long, b long"), "links")
+    left = member.join(meet.select("component", "band", "chunk", "meeting"), ["component", "band", "chunk"]).select("meeting", "rep")
+    right = member.join(meet.select("component", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "meeting"), ["component", "band", "chunk"]).select("meeting", "rep")
+    return _met(left, right, sets, 1 + meet.count())
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): members of different components that meet often enough; first counted for components, then for members."""
+    """(ca, cb, a, b, na, nb): members of different components that meet often enough; first counted for components, then for members."""
     met = least_met(F.col("n"))
     of = stage(lists.groupBy("token", "c").agg(F.min(met).alias("met")), "by_component")
     other = of.select("token", F.col("c").alias("cb"), F.col("met").alias("mb"))
@@ -316,8 +345,8 @@ def _pairs(lists: DataFrame) -> DataFrame:
     left = lists.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(near, "ca")
     right = lists.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     pairs = left.join(right, ["token", "cb"]).filter(_near_sizes(F.col("na"), F.col("nb")))
-    enough = F.count("*") >= F.least(least_met(F.first("na")), least_met(F.first("nb")))
-    return pairs.groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b")
+    pairs = pairs.groupBy("ca", "cb", "a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    return pairs.filter(F.col("common") >= F.least(least_met(F.col("na")), least_met(F.col("nb")))).drop("common")
 
 
 def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -340,7 +369,7 @@ def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFram
     found = stage(connected_components(first).withColumnRenamed("v", "rep"), "found")
     parts = _apart(lists, found)
     blocks = linked_blocks(parts.filter(F.col("many") > SHORT), sets)
-    links = first.unionByName(blocks).unionByName(linked(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
+    links = first.unionByName(blocks).unionByName(linked_between(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
     return signed.select("doc_id", "n_shingles", "node"), connected_components(links).withColumnRenamed("v", "rep")
 
 
