@@ -314,7 +314,9 @@ def count_or_time_windows(spark, sf_dir):
     return folds.ordered_fold(events(spark, sf_dir), "event_type", ORDER, folds.count_or_time("us", 50, DAY))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, value::DOUBLE / 10 AS dev, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev WHERE event_type = 'error'),
+s AS (SELECT user_id, i, greatest(1.5::DOUBLE, 3.0::DOUBLE * 0.95::DOUBLE + abs(dev) * (1 - 0.95::DOUBLE)) AS x FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, greatest(1.5::DOUBLE, s.x * 0.95::DOUBLE + abs(r.dev) * (1 - 0.95::DOUBLE)) FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+SELECT user_id, max(i) AS updates, round(arg_max(x, i), 6) AS threshold FROM s GROUP BY 1""")
 def adaptive_threshold(spark, sf_dir):
     e = events(spark, sf_dir).filter(kind("error")).withColumn("dev", (F.col("value") / 10).cast("double"))
     return folds.ordered_fold(e, "user_id", ORDER, folds.adaptive_threshold("dev")).withColumn("threshold", F.round("threshold", 6))
@@ -328,7 +330,13 @@ def calibration_fold(spark, sf_dir):
     return folds.ordered_fold(e, "user_id", ORDER, folds.calibration("verdict"))
 
 
-@query(None)
+_BAD = f"(r.n > 400 OR (r.n > 0 AND r.us - (CASE WHEN r.n < s.n THEN r.us ELSE s.fell END) >= {2 * DAY}))"
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, us, CASE WHEN event_type = 'signup' THEN 0 ELSE floor(value * 10)::BIGINT END AS n, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev),
+s AS (SELECT user_id, i, us, us AS fell, n, n > 400 AS latched, CASE WHEN n > 400 THEN 'raised' END AS alert FROM r WHERE i = 1
+UNION ALL SELECT r.user_id, r.i, r.us, CASE WHEN r.n < s.n OR r.n = 0 THEN r.us ELSE s.fell END, r.n, CASE WHEN {_BAD} THEN true WHEN r.n = 0 THEN false ELSE s.latched END, CASE WHEN {_BAD} AND NOT s.latched THEN 'raised' WHEN r.n = 0 AND s.latched THEN 'recovered' END FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+SELECT user_id, us AS at, alert FROM s WHERE alert IS NOT NULL""")
 def alert_latch(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("lag", F.when(kind("signup"), 0).otherwise((F.col("value") * 10).cast("long")))
     return folds.ordered_fold(e, "user_id", ORDER, folds.alert_latch("us", "lag", spike=400, stall=2 * DAY))
@@ -346,7 +354,11 @@ def idle_sessions_fold(spark, sf_dir):
     return folds.ordered_fold(e, "user_id", ORDER, folds.idle_sessions("us", "ended", GAP))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, us, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'step' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev),
+s AS (SELECT user_id, i, us, kind = 'started' AS running, (kind = 'started')::BIGINT AS saga, 0::BIGINT AS steps, NULL::BIGINT AS of, NULL::BIGINT AS done, NULL::VARCHAR AS outcome FROM r WHERE i = 1
+UNION ALL SELECT user_id, i, us, CASE WHEN o THEN kind NOT IN ('completed', 'failed') ELSE kind = 'started' END, saga + (NOT o AND kind = 'started')::BIGINT, CASE WHEN NOT o AND kind = 'started' THEN 0 WHEN o AND kind NOT IN ('completed', 'failed') THEN steps + 1 ELSE steps END,
+saga, steps, CASE WHEN k THEN 'killed' WHEN o AND kind IN ('completed', 'failed') THEN kind END FROM (SELECT r.user_id, r.i, r.us, r.kind, s.saga, s.steps, s.running AND r.us - s.us > {2 * DAY} AS k, s.running AND r.us - s.us <= {2 * DAY} AS o FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, of AS saga, done AS steps, outcome FROM s WHERE outcome IS NOT NULL UNION ALL SELECT user_id, saga, steps, 'open' FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1) WHERE running""")
 def sagas(spark, sf_dir):
     k = F.when(kind("signup"), "started").when(kind("purchase"), "completed").when(kind("error"), "failed").otherwise("step")
     return folds.ordered_fold(events(spark, sf_dir).withColumn("kind", k), "user_id", ORDER, folds.saga("us", "kind", 2 * DAY))
