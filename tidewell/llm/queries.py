@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tidewell.llm import oracle, chat_format, classifier, line_dedup, metric_search, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup
+from tidewell.llm import chat_format, classifier, line_dedup, metric_search, mixing, ngram_join, oracle, packing, quality_rules, sharding, substring_dedup
 
-OPERATORS = [sharding.op1_ring_sharding, metric_search.op2_mtree_search, quality_rules.op3_host_quality, line_dedup.op4_line_dedup, chat_format.op5_chat_format, packing.op6_bin_slack_packing, ngram_join.op7_ngram_trie_join, substring_dedup.op8_suffix_tree_dedup, classifier.op9_factor_machine, mixing.op10_mix_sources]
+OPERATORS = [
+    sharding.op1_ring_sharding,
+    metric_search.op2_mtree_search,
+    quality_rules.op3_host_quality,
+    line_dedup.op4_line_dedup,
+    chat_format.op5_chat_format,
+    packing.op6_bin_slack_packing,
+    ngram_join.op7_ngram_trie_join,
+    substring_dedup.op8_suffix_tree_dedup,
+    classifier.op9_factor_machine,
+    mixing.op10_mix_sources,
+]
 
 
 def queries() -> dict:
