@@ -32,11 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that similar n-gram sets link."""
-    joined = ngram_join.jaccard_join(docs)
-    gone = stage(joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")), "gone")
-    few = gone.count() <= ngram_join.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row, that of the smallest id, of each group that similar n-gram sets link."""
+    return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,15 +98,16 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, node): ``node`` is a digest of the whole set (null: empty)."""
+    """(doc_id, n_shingles, node) and the columns after the text: ``node`` is a digest of the whole set (null: empty)."""
+    more = docs.columns[2:]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
             sets = list(shingle_sets(batch.column(1).to_pylist(), n))
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_shingles", "node", *more])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(sign, ", ".join(["doc_id long, n_shingles long, node long", *[f"{c} long" for c in more]]))
 
 
 def first_posts(representatives: DataFrame, n: int = N) -> DataFrame:
@@ -354,10 +355,14 @@ def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.join(_few(reps), F.col("doc_id") == F.col("owner")).select("rep", "text")
 
 
-def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of all documents, and (rep, component) of the nodes that have links."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    signed = stage(signatures(d, n), "signatures")
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def similar_components(docs: DataFrame, n: int = N, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) and ``more`` numbers of all documents, and (rep, component) of the nodes that have links."""
+    d = docs.select(_id().alias("doc_id"), "text")
+    signed = stage(signatures(docs.select(_id().alias("doc_id"), "text", *more), n), "signatures")
     reps = stage(signed.filter("n_shingles > 0").groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("owner")), "reps")
     lists = candidate_lists(first_posts(_texts(d, reps), n))
     ids = stage(reps.join(lists.select("rep").distinct(), "rep", "left_semi"), "ids")
@@ -370,7 +375,7 @@ def similar_components(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFram
     parts = _apart(lists, found)
     blocks = linked_blocks(parts.filter(F.col("many") > SHORT), sets)
     links = first.unionByName(blocks).unionByName(linked_between(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
-    return signed.select("doc_id", "n_shingles", "node"), connected_components(links).withColumnRenamed("v", "rep")
+    return signed, connected_components(links).withColumnRenamed("v", "rep")
 
 
 def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
@@ -385,5 +390,30 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", "node", known(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null first), of that the smallest digest of a row.
+
+    Rows are told apart by doc_id and a digest of all their columns, so what becomes of a row doesn't
+    hang on other rows of its doc_id. Of rows that are equal in all columns one is put back. Rows
+    without words are in no component and stay."""
+    digest = F.xxhash64(*docs.columns)
+    signed, found = similar_components(docs, n, digest.alias("row_digest"))
+    signed = signed.filter("n_shingles > 0")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row_digest")).alias("first"), F.count("*").alias("many"))
+    nodes = nodes.join(found.withColumnRenamed("rep", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = nodes.groupBy("component").agg(F.min("first").alias("best"), F.sum("many").alias("many")).filter("many > 1")
+    members = signed.join(nodes.select("node", "component").join(best.select("component", "best"), "component"), "node")
+    stays = (F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.row_digest") == F.col("row_digest"))
+    rows = members.groupBy(F.col("doc_id").alias("gone"), F.col("row_digest").alias("gone_digest")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("many"))
+    gone = stage(rows.filter("NOT stays OR many > 1"), "gone")
+    same = (_id() == F.col("gone")) & (digest == F.col("gone_digest"))
+    out = docs.join(_few(gone.select("gone", "gone_digest")), same, "left_anti")
+    equal = gone.filter("stays").select("gone", "gone_digest")
+    if equal.limit(1).count():
+        again = docs.join(_few(equal), same).groupBy("gone", "gone_digest").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out
+
+
 def op7_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
