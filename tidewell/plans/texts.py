@@ -98,6 +98,60 @@ def tfidf_cosine(spark, sf_dir):
     return d.select("a", "b", F.round(F.col("dot") / (F.col("la") * F.col("lb")), 6).alias("cosine"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_COMPOSITE = rf"""{_GRAMS}, k AS (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS k FROM benchmark),
+w AS (SELECT item_id, unnest(list_concat(k, [k[i] || ' ' || k[i + 1] FOR i IN generate_series(1, len(k) - 1)])) AS term FROM k), tf AS (SELECT item_id, term, 1 + ln(count(*)::DOUBLE) AS tf FROM w GROUP BY 1, 2), size AS (SELECT count(*)::DOUBLE AS items FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), v AS (SELECT item_id, term, tf * (ln((1 + items) / (1 + df)) + 1) AS v FROM tf JOIN df USING (term), size WHERE df <= 0.95 * items), l AS (SELECT item_id, sqrt(sum(v * v)) AS l FROM v GROUP BY 1),
+d AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.v * y.v) AS dot FROM v x JOIN v y ON x.term = y.term AND x.item_id < y.item_id GROUP BY 1, 2), cosines AS (SELECT a, b, dot / (x.l * y.l) AS cosine FROM d JOIN l x ON x.item_id = a JOIN l y ON y.item_id = b),
+p AS (SELECT a, b, coalesce(cosine, 0) AS tfidf, coalesce(sim, 0) AS fivegram FROM cosines FULL JOIN s USING (a, b))"""
+
+
+def tfidf_vectors(items: DataFrame) -> DataFrame:
+    """(item_id, term, v): vectors of length 1 over words and word pairs; terms of more than 95 % of the items are left out."""
+    w = items.select("item_id", F.explode(text.word_grams(F.col("text"))).alias("term"))
+    tf = w.groupBy("item_id", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    v = tf.join(df, "term").crossJoin(F.broadcast(items.agg(F.count("*").cast("double").alias("n")))).filter(F.col("df") <= 0.95 * F.col("n"))
+    v = v.select("item_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
+    length = v.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
+    return v.join(length, "item_id").select("item_id", "term", (F.col("v") / F.col("l")).alias("v"))
+
+
+def cosines(spark, sf_dir) -> DataFrame:
+    """(a, b, cosine) of the pairs of items that share a term; all others have 0."""
+    v = tfidf_vectors(table(spark, sf_dir, "benchmark"))
+    a, b = (v.select(F.col("item_id").alias(x), "term", F.col("v").alias(f"v{x}")) for x in "ab")
+    return a.join(b, "term").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("cosine"))
+
+
+@query(f"WITH {_COMPOSITE} SELECT a, b, round(cosine, 6) AS cosine FROM cosines")
+def tfidf_cosine_pairs(spark, sf_dir):
+    """TF-IDF cosine as in the reference: words and word pairs without stop words."""
+    return cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"WITH {_COMPOSITE} SELECT a, b, round(tfidf, 6) AS tfidf, round(fivegram, 6) AS fivegram, round(0.55 * tfidf + 0.35 * fivegram, 6) AS composite FROM p")
+def composite_similarity(spark, sf_dir):
+    """0.55 TF-IDF cosine + 0.35 5-gram Jaccard; the 0.10 for common skills is 0, as items have none."""
+    s = similar_items(spark, sf_dir).select("a", "b", "sim")
+    p = cosines(spark, sf_dir).join(s, ["a", "b"], "full").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("t"), F.coalesce("sim", F.lit(0.0)).alias("f"))
+    return p.select("a", "b", F.round("t", 6).alias("tfidf"), F.round("f", 6).alias("fivegram"), F.round(0.55 * F.col("t") + 0.35 * F.col("f"), 6).alias("composite"))
+
+
+@query(f"""WITH {_COMPOSITE}, u AS (SELECT a AS item_id, 0.55 * tfidf + 0.35 * fivegram AS c FROM p UNION ALL SELECT b, 0.55 * tfidf + 0.35 * fivegram FROM p), m AS (SELECT item_id, sum(c) AS c FROM u GROUP BY 1)
+SELECT item_id, round(1 - coalesce(c, 0) / (items - 1), 9) AS novelty FROM benchmark LEFT JOIN m USING (item_id), size WHERE items > 1""")
+def novelty_composite(spark, sf_dir):
+    """1 - mean similarity to all other items, as in the reference, least novel first; the cosines of an item sum up by terms, without pairs."""
+    items = table(spark, sf_dir, "benchmark")
+    v, s = tfidf_vectors(items), similar_items(spark, sf_dir)
+    t = v.join(v.groupBy("term").agg(F.sum("v").alias("all")), "term").groupBy("item_id").agg(F.sum(F.col("v") * (F.col("all") - F.col("v"))).alias("t"))
+    f = s.select(F.col("a").alias("item_id"), "sim").unionByName(s.select(F.col("b").alias("item_id"), "sim")).groupBy("item_id").agg(F.sum("sim").alias("f"))
+    n = items.agg(F.count("*").alias("n")).filter("n > 1")
+    out = items.select("item_id").join(t, "item_id", "left").join(f, "item_id", "left").crossJoin(F.broadcast(n))
+    like = 0.55 * F.coalesce("t", F.lit(0.0)) + 0.35 * F.coalesce("f", F.lit(0.0))
+    return out.select("item_id", F.round(1 - like / (F.col("n") - 1), 9).alias("novelty")).orderBy("novelty", "item_id")
+
+
 @query("""WITH d AS (SELECT lang, source, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi, sum(n_chars)::BIGINT AS total FROM documents GROUP BY 1, 2) SELECT lang, count(*) AS sources, sum(n)::BIGINT AS n, min(lo) AS lo, max(hi) AS hi, sum(total)::BIGINT AS total FROM d GROUP BY 1""")
 def corpus_day_stats(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("n"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.sum("n_chars").alias("total"))
