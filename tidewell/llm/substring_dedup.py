@@ -14,8 +14,9 @@ smallest one decides for the others at once. So a passage that a third of all do
 one leaf per batch, and groups stay small.
 
 Defined cases: null texts have no words; texts shorter than ``size`` words keep them all; rows
-with the same doc_id are one owner, so they take nothing from each other; null ids count as the
-smallest; an empty table gives no rows; columns other than doc_id and text are not read.
+with the same doc_id are one owner, so they take nothing from each other, and where their texts
+differ each keeps its own marks, told apart by a digest of the text (``tagged``); null ids count as
+the smallest; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.batches import by_size
 from tidewell.llm.hashing import run_hashes, word_hashes
-from tidewell.runtime import table
+from tidewell.runtime import stage, table
 
 SIZE = 13
 CELLS = 4096
@@ -38,6 +39,8 @@ CELLS = 4096
 GROUP = 500_000
 #: Bytes of text in which a task settles repeats by itself before it sends suffixes.
 BATCH = 6 << 20
+#: Ids with several texts, broadcast up to this many; beyond, every text gets its digest.
+BROADCAST_IDS = 500_000
 NO_ID = -(1 << 63)
 
 
@@ -56,8 +59,14 @@ def _owners(docs: bytes, n: bytes) -> np.ndarray:
     return np.repeat(ids, np.frombuffer(zstandard.decompress(n), "<u4"))
 
 
+def _tags(tags: bytes | None, n: bytes) -> np.ndarray:
+    """The tag of each suffix of a row; None: all 0."""
+    n = np.frombuffer(zstandard.decompress(n), "<u4")
+    return np.zeros(n.sum(), np.int64) if tags is None else np.repeat(np.frombuffer(zstandard.decompress(tags), "<i8"), n)
+
+
 def _suffixes(batch: pa.RecordBatch, size: int):
-    """(doc_ids, doc of each suffix, place in its document, first-word, three-word and whole-path digests), by rising doc_id."""
+    """(order of the rows by doc_id, doc_ids, doc of each suffix, place in its document, first-word, three-word and whole-path digests), by rising doc_id."""
     ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
     order = np.argsort(ids, kind="stable")
     texts = batch.column(1).to_pylist()
@@ -69,7 +78,23 @@ def _suffixes(batch: pa.RecordBatch, size: int):
     path = run_hashes(h, size)
     whole[len(path) :] = False
     at = np.flatnonzero(whole)
-    return ids[order], doc[at], pos[at], h[at], run_hashes(h, 3)[at] if len(at) else h[:0], path[at]
+    return order, ids[order], doc[at], pos[at], h[at], run_hashes(h, 3)[at] if len(at) else h[:0], path[at]
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, owner, tag): ``tag`` is a digest of the text where the doc_id has several texts, else 0."""
+    d = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"))
+    digest = F.xxhash64("text")
+    known = d.filter("text IS NOT NULL AND doc_id IS NOT NULL")  # null ids are never marked
+    several = known.select("owner", digest.alias("h")).groupBy("owner").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
+    several = stage(several.select(F.col("owner").alias("of")), "several")
+    n = several.count()
+    if not n:
+        return d.withColumn("tag", F.lit(0).cast("long"))
+    if n > BROADCAST_IDS:
+        return d.withColumn("tag", digest)
+    d = d.join(F.broadcast(several), F.col("owner") == F.col("of"), "left")
+    return d.select("doc_id", "text", "owner", F.when(F.col("of").isNotNull(), digest).otherwise(0).alias("tag"))
 
 
 def _cells(one: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +107,7 @@ def prefix_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
         for batch in by_size(batches, 1):
-            _, _, _, one, three, _ = _suffixes(batch, size)
+            _, _, _, _, one, three, _ = _suffixes(batch, size)
             for row, cells in zip(total, _cells(one, three), strict=True):
                 row += np.bincount(cells, minlength=CELLS)
         level, cell = np.nonzero(total)
@@ -120,7 +145,8 @@ def _send(plan, size: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, batch in enumerate(by_size(batches, 1, BATCH)):
-            ids, doc, pos, one, three, path = _suffixes(batch, size)
+            rows, ids, doc, pos, one, three, path = _suffixes(batch, size)
+            tags = batch.column(2).to_numpy()[rows].astype("<i8")
             if not len(path):
                 continue
             order = np.argsort(path, kind="stable")  # documents rise within equal paths
@@ -139,49 +165,52 @@ def _send(plan, size: int):
                 if not len(some):
                     continue
                 cuts = np.flatnonzero(np.diff(group[some])) + 1
-                cols = ([], [], [], [], [])
+                cols = ([], [], [], [], [], [])
                 for part in np.split(some, cuts):
                     docs, n = np.unique(doc[part], return_counts=True)
-                    row = (int(group[part[0]]), zstandard.compress(np.diff(ids[docs].astype("<i8"), prepend=0).tobytes(), 1), zstandard.compress(n.astype("<u4").tobytes(), 1), _squeeze(pos[part]), None if is_later else path[part].astype("<u8").tobytes())
+                    row = (int(group[part[0]]), zstandard.compress(np.diff(ids[docs].astype("<i8"), prepend=0).tobytes(), 1), zstandard.compress(n.astype("<u4").tobytes(), 1), _squeeze(pos[part]), None if is_later else path[part].astype("<u8").tobytes(), zstandard.compress(tags[docs].tobytes(), 1) if tags[docs].any() else None)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "n", "pos", "path"])
+                yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "docs", "n", "pos", "path", "tags"])
 
     return send
 
 
 def _subtree(t: pa.Table) -> pa.Table:
-    """(doc_id, pos) marks of one group: leaves whose deep node has a leaf of a smaller document."""
-    owners, places, paths, marked, at = [], [], [], [], []
-    rows = zip(*(t.column(c).to_pylist() for c in ("docs", "n", "pos", "path")), strict=True)
-    for docs, n, pos, path in rows:
+    """(doc_id, tag, pos) marks of one group: leaves whose deep node has a leaf of a smaller document."""
+    owners, kinds, places, paths, marked, of, at = [], [], [], [], [], [], []
+    rows = zip(*(t.column(c).to_pylist() for c in ("docs", "n", "pos", "path", "tags")), strict=True)
+    for docs, n, pos, path, tags in rows:
         owner = _owners(docs, n)
+        tag = _tags(tags, n)
         if path is None:
             marked.append(owner)
+            of.append(tag)
             at.append(_expand(pos))
         else:
             owners.append(owner)
+            kinds.append(tag)
             places.append(_expand(pos))
             paths.append(np.frombuffer(path, "<u8"))
     if paths:
-        owner, pos, path = np.concatenate(owners), np.concatenate(places), np.concatenate(paths)
+        owner, tag, pos, path = np.concatenate(owners), np.concatenate(kinds), np.concatenate(places), np.concatenate(paths)
         order = np.lexsort((owner, path))
-        path, owner, pos = path[order], owner[order], pos[order]
+        path, owner, tag, pos = path[order], owner[order], tag[order], pos[order]
         head = np.concatenate([[True], path[1:] != path[:-1]])
         hit = owner != owner[np.flatnonzero(head)][np.cumsum(head) - 1]
         marked.append(owner[hit])
+        of.append(tag[hit])
         at.append(pos[hit])
     join = lambda a, kind: np.concatenate(a).astype(kind) if a else np.empty(0, kind)
-    return pa.table({"doc_id": pa.array(join(marked, np.int64)), "pos": pa.array(join(at, np.int32))})
+    return pa.table({"doc_id": pa.array(join(marked, np.int64)), "tag": pa.array(join(of, np.int64)), "pos": pa.array(join(at, np.int32))})
 
 
 def repeat_marks(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(doc_id, marks): for documents with repeats, the starts of their repeated windows."""
-    d = docs.select("doc_id", "text")
-    plan = partition_plan(prefix_counts(d, size), group)
-    sent = d.mapInArrow(_send(plan, size), "part int, docs binary, n binary, pos binary, path binary")
-    marks = sent.groupBy("part").applyInArrow(_subtree, "doc_id long, pos int")
-    return marks.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))  # at most a document's own words
+    """(doc_id, tag, marks) of ``tagged`` documents: for those with repeats, the starts of their repeated windows."""
+    plan = partition_plan(prefix_counts(docs.select("doc_id", "text"), size), group)
+    sent = docs.select("doc_id", "text", "tag").mapInArrow(_send(plan, size), "part int, docs binary, n binary, pos binary, path binary, tags binary")
+    marks = sent.groupBy("part").applyInArrow(_subtree, "doc_id long, tag long, pos int")
+    return marks.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("marks"))  # at most a document's own words, once for each equal row
 
 
 def covered(marks: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -198,9 +227,9 @@ def maximal_spans(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text): ``spans`` are the removed maximal repeats in words of the input."""
-    marks = repeat_marks(docs, size, group).withColumnRenamed("doc_id", "owner")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("owner")
-    d = docs.select("doc_id", "text").join(marks, key, "left").select("doc_id", "text", "marks")
+    t = tagged(docs)
+    marks = repeat_marks(t, size, group).withColumnRenamed("doc_id", "owner")
+    d = t.join(marks, ["owner", "tag"], "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
