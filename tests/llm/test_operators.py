@@ -173,21 +173,82 @@ def test_line_dedup(spark, odd):
         assert got == set(brute.line_dedup(docs_of(rows)))
 
 
+def dropped_by(state, d):
+    return {(r.doc_id, r.n_dropped) for r in line_dedup.clean(state, d, 2).collect() if r.n_dropped}
+
+
 def test_line_dedup_is_reversible(spark, odd):
     d = documents(spark, odd)
     first, second = d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1")
     a = line_dedup.insert(None, first)
     ab = line_dedup.insert(a, second)
     back = line_dedup.delete(ab, second)
-    counts = lambda s: sorted((bytes(r.key), r.n_docs, r.holder) for r in s.counts.collect())
-    assert counts(back) == counts(a)
-    whole = line_dedup.insert(None, d)
-    assert counts(ab) == counts(whole)
-    kept = {bytes(r.key) for r in a.counts.collect()}
-    gone = {bytes(r.key) for r in whole.counts.collect()} - kept
-    filters = {r.shard: CuckooFilter.load(r.filter) for r in back.filters.collect()}
-    shard = {bytes(r.key): r.shard for r in ab.counts.collect()}
-    assert all(k in filters[shard[k]] for k in kept) and sum(k in filters[shard[k]] for k in gone) <= 1
+    counts = lambda s: sorted((bytes(r.key), r.n_docs, r.holder) for r in s.counts.collect() if r.n_docs > 1)
+    assert counts(back) == counts(a) and dropped_by(back, first) == dropped_by(a, first)
+    whole = line_dedup.insert(None, d, turns=3)
+    assert counts(ab) == counts(whole) == counts(line_dedup.insert(back, second))
+    kept = {bytes(r.key) for r in a.postings.collect()}
+    gone = {bytes(r.key) for r in ab.postings.collect()} - kept
+    (f,) = [CuckooFilter.load(r.filter) for r in back.filters.collect()]  # few keys: one shard
+    assert all(k in f for k in kept) and sum(k in f for k in gone) <= 1
+    assert counts(line_dedup.delete(a, second)) == counts(a)  # not held: nothing changes
+
+
+def test_only_repeated_lines_reach_the_exact_table(spark):
+    rows = [(i, "\n".join([f"line {i} {k} " + "x" * 40 for k in range(5)] + [f"shared {i // 2} " + "y" * 40])) for i in range(40)]
+    state = line_dedup.insert(None, documents(spark, rows), turns=4)
+    assert state.postings.count() == 240 and {r.n_docs for r in state.counts.filter("n_docs > 1").collect()} == {2}
+    assert state.counts.filter("n_docs > 1").count() == 20 and state.counts.count() <= 22
+
+
+def test_line_dedup_goes_through_the_filters(spark, monkeypatch):
+    """Filters that forget what they hold change the result: repeats in later turns are then taken as first sights."""
+    d = documents(spark, [(i, ONE_LINE) for i in range(12)])
+    assert len(dropped_by(line_dedup.insert(None, d, turns=4), d)) == 11
+    ask = line_dedup._ask
+    monkeypatch.setattr(line_dedup, "_ask", lambda filters, *rest: ask(filters.limit(0), *rest))
+    one_each = [(i, ONE_LINE) for i in range(4)]
+    state = None
+    for row in one_each:
+        state = line_dedup.insert(state, documents(spark, [row]))
+    assert dropped_by(state, documents(spark, one_each)) == set()
+
+
+def test_deletion_does_not_hide_a_line_of_the_same_fingerprint(spark):
+    places, f = {}, CuckooFilter(line_dedup.BUCKETS)
+    for i in range(400_000):
+        line = f"a line of forty characters and more, {i:08d}"
+        key = line_dedup.line_keys(line, 40)[0]
+        mark, a, b = f._places(key)
+        if other := places.get(at := (mark, min(a, b), max(a, b))):
+            break
+        places[at] = line
+    rows = lambda text, ids: documents(spark, [(i, text) for i in ids])
+    state = line_dedup.insert(None, rows(other, [1]))
+    state = line_dedup.insert(state, rows(line, [2]))
+    assert [r.own for r in state.counts.collect()] == [False]
+    state = line_dedup.delete(state, rows(other, [1]))
+    state = line_dedup.insert(state, rows(line, [5, 6]))
+    assert [(r.n_docs, r.holder) for r in state.counts.collect()] == [(3, 6)]
+    state = line_dedup.delete(state, rows(line, [2, 5, 6]))
+    assert state.counts.count() == state.postings.count() == 0
+    state = line_dedup.insert(line_dedup.insert(state, rows(line, [7])), rows(line, [8]))
+    assert [(r.n_docs, r.holder) for r in state.counts.collect()] == [(2, 8)]
+
+
+def test_line_dedup_passes_columns_on(spark):
+    names = ["row", "id", "kept_text", "n_lines", "n_dropped", "holder", "doomed", "of", "_doc", "_doomed"]
+    d = documents(spark, [(i, f"{i}\n{ONE_LINE}") for i in range(6)]).withColumns({c: F.lit(777) for c in names})
+    out = line_dedup.dedup(d)
+    assert out.columns == d.columns and {r[c] for r in out.collect() for c in names} == {777}
+    assert {r[c] for r in line_dedup.clean(line_dedup.insert(None, d), d).collect() for c in names} == {777}
+
+
+def test_line_dedup_beyond_the_broadcast_bound(spark, odd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    d = documents(spark, odd)
+    got = line_dedup.clean(line_dedup.insert(None, d, turns=2), d)
+    assert {(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.kept_text or "").encode()).hexdigest()) for r in got.collect()} == set(brute.line_dedup(docs_of(odd)))
 
 
 def test_cuckoo_filter():

@@ -24,3 +24,10 @@ def n_words(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it while ``taken`` has it in any letter case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
