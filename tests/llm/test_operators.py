@@ -78,7 +78,7 @@ def test_null_and_repeated_ids(spark):
     j = ngram_join.jaccard_join(d).collect()
     assert Counter(r.component_id for r in j) == Counter({None: 5, 5: 1})
     m = classifier.fit(np.zeros((0, classifier.HASHED + classifier.N_FORM)), np.zeros(0))
-    assert {r.quality_score for r in classifier.scored(d, m).collect()} == {0.5}
+    assert {r.score_ for r in classifier.scored(d, m).collect()} == {0.5}
 
 
 # 1

@@ -100,3 +100,21 @@ def test_odd_documents_pass_every_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert ngram_join.jaccard_join(docs).count() == len(odd)
     assert corpus_pipeline.run(spark, str(tmp_path)).select("sequence_id").distinct().count() == 1
+
+
+def test_foreign_columns_pass_every_stage(spark, stages):
+    """Columns with the names that operators make come out of each stage as they went in."""
+    names = ["row", "id", "digest", "score", "gone", "gone_digest", "target", "last", "whole", "edge", "cut", "source_size", "epochs", "turn", "_size", "_pick", "_bucket", "_key", "_s", "s",
+             "_doc", "_doomed", "kept_text", "n_lines", "n_dropped", "node", "component", "check", "stays", "many", "n_shingles", "row_digest", "rep", "length", "sequence_id", "w", "cap", "level"]
+    docs = table(spark, DIR, "documents").limit(300).withColumns({c: F.lit(777) for c in names})
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        assert out.select(*[F.count_if(F.col(c) != 777).alias(c) for c in names]).first().asDict() == dict.fromkeys(names, 0), name
+    assert corpus_pipeline.pack(spark, docs, DIR).count() >= 300
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    table(spark, DIR, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, DIR, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a slice, about; a single longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:

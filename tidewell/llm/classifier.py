@@ -26,10 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.batches import by_size
 from tidewell.llm.hashing import run_hashes, word_hashes
+from tidewell.llm.text import free_name
 from tidewell.runtime import table
 
 HASHED = 1024
+#: Bytes of text in a slice whose features are held at a time, 256 rows of them at most.
+FEATURE_SLICE = 1 << 20
 FACTORS = 6
 #: Bound of the labelled rows that the machine is fitted to.
 MAX_ROWS = 6_000
@@ -132,7 +136,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndar
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, 1, FEATURE_SLICE):
             x = [r.astype("<f4").tobytes() for r in features(b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
@@ -146,12 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Facto
 
 
 def scored(docs: DataFrame, machine: FactorMachine) -> DataFrame:
-    """``docs`` with a column ``score``; all columns pass through."""
-    name = "score" if "score" not in docs.columns else "quality_score"
+    """``docs`` with a column ``score``, the last one, under the first free name; all columns pass through."""
+    name, at = free_name("score", docs.columns), docs.columns.index("text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
+        for b in by_size(batches, at, FEATURE_SLICE):
+            texts = b.column(at)
             score = np.concatenate([machine.score(texts.slice(i, 256).to_pylist()) for i in range(0, len(texts), 256)]) if len(texts) else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, name])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Bytes hashed in one go; texts are cut between words where they are longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Words of more bytes get a cryptographic digest: polynomials modulo 2**64 can be made to collide on long words.
+LONG_WORD = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -43,7 +46,10 @@ def _hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(_LETTER[buf] * _power(_BASE, "up", n)[:n], out=sums[1:])
     down = _power(pow(_BASE, -1, 1 << 64), "down", n)
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    h = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return starts, h
 
 
 def _pieces(text: bytes) -> Iterable[bytes]:

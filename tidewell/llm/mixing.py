@@ -36,10 +36,19 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 48)
 
 
-def symbol_quality(text: Column) -> Column:
-    """1 for plain prose, towards 0 for texts full of the symbols of markup; null texts: 1."""
-    kept = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[#*$%&|<>]+", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(kept, F.length(text)), F.lit(1.0)))
+def prose_quality(text: Column) -> Column:
+    """The default weight, 0.05 to 1: the share of characters that are no symbols of markup, times how
+    near the characters for each word come to those of prose (4 to 10). Null or empty texts: 1."""
+    long = F.length(text)
+    plain = F.try_divide(F.length(F.regexp_replace(text, r"[#*$%&|<>]+", "")), long)
+    per_word = F.try_divide(long, n_words(text))
+    near = F.least(F.lit(1.0), per_word / 4, 10 / per_word)
+    return F.greatest(F.lit(0.05), F.coalesce(plain * near, F.lit(1.0)))
+
+
+def weight(quality) -> Column:
+    """``quality``: a function of the text column, or the name of a column (null: 1)."""
+    return quality(F.col("text")) if callable(quality) else F.greatest(F.lit(0.05), F.coalesce(F.col(quality).cast("double"), F.lit(1.0)))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -57,10 +66,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-def keyed(docs: DataFrame, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
-    """``docs`` with _size (words), _pick (what orders a source's documents) and _bucket (of the key)."""
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"))
-    d = docs.withColumns({"_size": n_words(F.col("text")), "_key": key})
+def keyed(docs: DataFrame, seed: str = "mix-1", quality=prose_quality, *more: Column) -> DataFrame:
+    """(doc_id, source) and ``more`` of ``docs`` with _size (words), _pick (what orders a source's documents) and _bucket (of the key)."""
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight(quality)).alias("_key"), *more)
     d = d.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     return d.withColumn("_pick", F.struct(F.col("_key").alias("key"), "doc_id", F.col("_size").alias("size"))).drop("_key")
 
@@ -117,19 +125,19 @@ def mixed(keyed_docs: DataFrame, plan: DataFrame) -> DataFrame:
     return d.drop("whole", "edge", "cut", "last")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=prose_quality) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) for every row of ``docs``."""
-    slim = stage(keyed(docs.select("doc_id", "text", "source"), seed, quality).drop("text"), "keys")
+    slim = stage(keyed(docs, seed, quality), "keys")
     d = mixed(slim, mixing_plan(slim, weights, max_epochs))
     return d.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", (F.col("epochs") * F.col("_size")).alias("taken"))
 
 
-def take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=symbol_quality) -> DataFrame:
+def take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=prose_quality) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as the mix takes it. Texts are not shuffled."""
-    d = keyed(docs, seed, quality)
+    d = keyed(docs, seed, quality, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     plan = mixing_plan(stage(d.select("source", "_size", "_bucket", "_pick"), "keys"), weights, max_epochs)
-    d = mixed(d, plan).filter("epochs > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
-    return d.select(*docs.columns)
+    d = mixed(d, plan).filter("epochs > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
+    return d.select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +53,10 @@ CHUNK_SETS, CHUNK_GRAMS = 400, 60_000
 FIRST_TRY = 8
 #: Ids of documents that may have a partner, broadcast up to this many, else shuffled.
 BROADCAST_IDS = 500_000
-#: Pairs in one task's group, about.
-GROUP_PAIRS = 2000
+#: N-grams of the sets in one group of trials, about: 4 MB.
+GROUP_GRAMS = 500_000
+#: Members of a list that are tried with one of them; longer lists get more such middles.
+STAR = 4096
 NO_ID = -(1 << 63)
 
 
@@ -93,21 +94,41 @@ def least_met(n: Column):
     return F.least(least_shared(n), F.lit(MEET))
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's digest of 128 bits, in two halves."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, node) and the columns after the text: ``node`` is a digest of the whole set (null: empty)."""
+    """(doc_id, n_shingles, node, check) and the columns after the text: ``node`` and ``check`` are a digest of the whole set (null: empty)."""
     more = docs.columns[2:]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
-            sets = list(shingle_sets(batch.column(1).to_pylist(), n))
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_shingles", "node", *more])
+            sizes, nodes = [], []
+            for s in shingle_sets(batch.column(1).to_pylist(), n):
+                sizes.append(len(s))
+                nodes.append(node_of(s) if len(s) else (None, None))
+            halves = [pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), *halves, *batch.columns[2:]], names=["doc_id", "n_shingles", "node", "check", *more])
+
+    return docs.mapInArrow(sign, ", ".join(["doc_id long, n_shingles long, node long, check long", *[f"{c} long" for c in more]]))
+
+
+def _clashes(signed: DataFrame) -> DataFrame | None:
+    """The nodes that different sets share by chance, if any."""
+    c = signed.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo < hi")
+    c = stage(c.select(F.col("node").alias("clash")), "clashes")
+    return c if c.limit(1).count() else None
 
-    return docs.mapInArrow(sign, ", ".join(["doc_id long, n_shingles long, node long", *[f"{c} long" for c in more]]))
+
+def _told_apart(d: DataFrame, clashes: DataFrame | None, node: str = "node") -> DataFrame:
+    """``d`` with another number for each set whose node another set has too; without ``check``."""
+    if clashes is None:
+        return d.drop("check")
+    d = d.join(_few(clashes), F.col(node) == F.col("clash"), "left")
+    return d.withColumn(node, F.when(F.col("clash").isNotNull(), F.xxhash64(node, "check")).otherwise(F.col(node))).drop("check", "clash")
 
 
 def first_posts(representatives: DataFrame, n: int = N) -> DataFrame:
@@ -126,14 +147,15 @@ def first_posts(representatives: DataFrame, n: int = N) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(rep, set): the sets' nodes and sorted digests as bytes."""
+    """(rep, check, set): the sets' digests in two halves and their sorted n-grams as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
             sets = list(shingle_sets(batch.column(0).to_pylist(), n))
-            yield pa.record_batch([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
+            nodes = [node_of(s) for s in sets]
+            yield pa.record_batch([*[pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "check", "set"])
 
-    return docs.select("text").mapInArrow(make, "rep long, set binary")
+    return docs.select("text").mapInArrow(make, "rep long, check long, set binary")
 
 
 class PrefixTree:
@@ -200,33 +222,40 @@ class PrefixTree:
 def _tree(names, sets) -> PrefixTree:
     tree = PrefixTree(np.empty(0, np.uint64))
     for name, s in zip(names, sets, strict=True):
-        s = np.frombuffer(s, np.uint64)
         tree.add(s, name, len(s))
     return tree
 
 
-def _try(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) among the candidates of the documents ``a`` of a group."""
-    sets = {(a, c): s for a, c, s in zip(left["a"], left["chunk"], left["set"], strict=True)}
-    out = ([], [])
-    for key, rows in right.groupby(["a", "chunk"], sort=False):
-        for _, b in _tree(rows["b"], rows["set"]).search([np.frombuffer(sets[key], np.uint64)]):
-            out[0].append(key[0])
+def _sets_of(t: pa.Table) -> dict[int, np.ndarray]:
+    return {rep: np.frombuffer(s, np.uint64) for rep, s in zip(t.column("rep").to_pylist(), t.column("set").to_pylist(), strict=True)}
+
+
+def _links(a: list, b: list) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _try(_: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Links (a, b) among the pairs of a group, whose sets come once each."""
+    of, out, candidates = _sets_of(sets), ([], []), {}
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        candidates.setdefault(a, []).append(b)
+    for a, some in candidates.items():
+        for _, b in _tree(some, [of[x] for x in some]).search([of[a]]):
+            out[0].append(a)
             out[1].append(b)
-    return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
+    return _links(*out)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. A document with many candidates is tried in chunks of them."""
-    p = stage(pairs.withColumn("chunk", F.lit(0)), "pairs")
-    n = p.count()
-    busy = p.groupBy("a").agg((1 + F.floor(F.count("*") / GROUP_PAIRS)).alias("chunks")).filter("chunks > 1")
-    p = p.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0)).alias("chunk"))
-    p = p.withColumn("part", F.pmod(F.xxhash64("a", "chunk"), F.lit(1 + n // GROUP_PAIRS)))
-    right = p.join(sets.select(F.col("rep").alias("b"), "set"), "b").select(*[F.col(c).alias(c) for c in ("part", "a", "chunk", "b", "set")])
-    left = p.select("part", "a", "chunk").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a").select(*[F.col(c).alias(c) for c in ("part", "a", "chunk", "set")])
-    got = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(_try, "a long, b long")
-    return stage(got, "links")
+    """The pairs (a, b, nb) that are similar. A document with many candidates is tried in chunks of
+    them; a group of trials has about GROUP_GRAMS n-grams, and each set once."""
+    p = stage(pairs, "pairs")
+    grams = p.agg(F.sum("nb")).first()[0] or 0
+    busy = p.groupBy("a").agg((1 + F.floor(F.sum("nb") / GROUP_GRAMS)).alias("chunks")).filter("chunks > 1")
+    p = p.join(busy, "a", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0)))
+    p = p.select(F.pmod(F.xxhash64("a", "chunk"), F.lit(1 + grams // GROUP_GRAMS)).alias("part"), "a", "b")
+    of = p.select("part", F.col("a").alias("rep")).union(p.select("part", F.col("b").alias("rep"))).distinct().join(sets, "rep").select(*[F.col(c).alias(c) for c in ("part", "rep", "set")])
+    return stage(of.groupBy("part").cogroup(p.groupBy("part")).applyInArrow(_try, "a long, b long"), "links")
 
 
 def _near_sizes(a: Column, b: Column) -> Column:
@@ -234,7 +263,7 @@ def _near_sizes(a: Column, b: Column) -> Column:
 
 
 def candidate_lists(posts: DataFrame) -> DataFrame:
-    """(token, rep, n, at): representatives by the n-grams that make them candidates, from the rarest (at = 0) on.
+    """(token, rep, n, at, df): representatives by the n-grams that make them candidates, from the rarest (at = 0) on.
 
     Similar sets meet in ``least_met`` of these lists or more."""
     often = posts.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
@@ -243,7 +272,7 @@ def candidate_lists(posts: DataFrame) -> DataFrame:
     lone = first_part(F.col("n")) - F.size("shared")
     rarest = (first_part(F.col("n")) - least_shared(F.col("n")) + least_met(F.col("n")) - lone).cast("int")
     shared = shared.filter(rarest >= least_met(F.col("n"))).select("rep", "n", F.posexplode(F.slice("shared", F.lit(1), rarest)).alias("at", "x"))
-    return stage(shared.select("x.token", "rep", "n", "at"), "lists")
+    return stage(shared.select("x.token", "rep", "n", "at", "x.df"), "lists")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -253,25 +282,40 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The lists whose members are in more than one component, with the members' components ``c``."""
-    parts = lists.select("token", "rep", "n").join(_few(found), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    parts = lists.select("token", "rep", "n", "df").join(_few(found), "rep", "left").select("token", "rep", "n", "df", F.coalesce("component", "rep").alias("c"))
     mixed = parts.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("many")).filter("c0 < c1").select("token", "many")
     return stage(parts.join(mixed, "token"), "apart")
 
 
 def _star(lists: DataFrame) -> DataFrame:
-    """(a, b): one member of each list with every other member."""
-    middle = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("m"), F.count("*").alias("many"))
-    star = lists.join(middle.filter("many > 1").select("token", "m"), "token").filter(F.col("m.rep") != F.col("rep"))
-    return star.select(F.col("m.rep").alias("a"), F.col("rep").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb")).distinct()
+    """(a, b, na, nb): one member of each list with every other member. A list of more than STAR is cut
+    into parts of about that size, each with a middle of its own, and the middles are a list again."""
+    lists = lists.select("token", F.pmod(F.xxhash64("rep"), 1 + F.floor(F.col("df") / STAR)).alias("cut"), "rep", "n")
+    first = F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n"))
+    middle = stage(lists.groupBy("token", "cut").agg(first.alias("m"), F.count("*").alias("many")), "middles")
+    top = middle.groupBy("token").agg(F.min("m").alias("t"), F.count("*").alias("cuts")).filter("cuts > 1")
+    star = lists.join(middle.filter("many > 1").select("token", "cut", "m"), ["token", "cut"])
+    among = middle.join(top, "token").select("t", F.col("m.rep").alias("rep"), F.col("m.n").alias("n"))
+    star = star.select(F.col("m").alias("t"), "rep", "n").union(among).filter(F.col("t.rep") != F.col("rep"))
+    return star.select(F.col("t.rep").alias("a"), F.col("rep").alias("b"), F.col("t.n").alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def _forest(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the two sides of each meeting of a group, reduced to as many as connect what they connect."""
+    out = ([], [])
 
+    def meetings(t: pa.Table) -> dict[int, list[int]]:
+        rows = {}
+        for i, m in enumerate(t.column("meeting").to_pylist()):
+            rows.setdefault(m, []).append(i)
+        return rows
 
-def _forest(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between the two sides of each meeting of a group, reduced to as many as connect what they connect."""
-    out, others = ([], []), dict(list(right.groupby("meeting", sort=False)))
-    for meeting, rows in left.groupby("meeting", sort=False):
+    others = meetings(right)
+    for meeting, rows in meetings(left).items():
         if meeting not in others:
             continue
-        a, b = rows["rep"].tolist(), others[meeting]["rep"].tolist()
+        mine, its = left.take(rows), right.take(others[meeting])
+        a, b = mine.column("rep").to_pylist(), its.column("rep").to_pylist()
         root = {x: x for x in a + b}
 
         def find(x: int, root: dict = root) -> int:
@@ -280,19 +324,20 @@ def _forest(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        for q, name in _tree(b, others[meeting]["set"]).search([np.frombuffer(s, np.uint64) for s in rows["set"]]):
+        arrays = lambda t: [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+        for q, name in _tree(b, arrays(its)).search(arrays(mine)):
             x, y = find(a[q]), find(name)
             if x != y:
                 root[x] = y
                 out[0].append(a[q])
                 out[1].append(name)
-    return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
+    return _links(*out)
 
 
 def _met(left: DataFrame, right: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Links between the members (meeting, rep) of both sides of each meeting; meetings are dealt to ``parts`` groups."""
     with_sets = lambda d: d.join(sets, "rep").select(F.pmod(F.xxhash64("meeting"), F.lit(parts)).alias("part"), *[F.col(c).alias(c) for c in ("meeting", "rep", "set")])
-    return stage(with_sets(left).groupBy("part").cogroup(with_sets(right).groupBy("part")).applyInPandas(_forest, "a long, b long"), "links")
+    return stage(with_sets(left).groupBy("part").cogroup(with_sets(right).groupBy("part")).applyInArrow(_forest, "a long, b long"), "links")
 
 
 def linked_between(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,7 +350,7 @@ def linked_between(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def chunked(me: str, n: str) -> DataFrame:
         d = p.select("ca", "cb", F.col(me).alias("rep"), F.col(n).alias("n")).distinct()
         room = d.groupBy("ca", "cb").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).alias(f"k{me}"))
-        return stage(d.join(room, ["ca", "cb"]).select("ca", "cb", "rep", f"k{me}", F.pmod(F.xxhash64("rep"), F.col(f"k{me}")).alias(f"chunk{me}")), f"side_{me}")
+        return stage(d.join(room, ["ca", "cb"]).select("ca", "cb", "rep", f"k{me}", "n", F.pmod(F.xxhash64("rep"), F.col(f"k{me}")).alias(f"chunk{me}")), f"side_{me}")
 
     a, b = chunked("a", "na"), chunked("b", "nb")
 
@@ -314,7 +359,8 @@ def linked_between(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         d = d.join(rooms, ["ca", "cb"]).withColumn(f"chunk{its}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"k{its}").cast("long") - 1)))
         return d.select(F.xxhash64("ca", "cb", F.col("chunka").cast("long"), F.col("chunkb").cast("long")).alias("meeting"), "rep")
 
-    return _met(meeting(a, b, "a", "b"), meeting(b, a, "b", "a"), sets, 1 + a.count() // GROUP_PAIRS)
+    grams = sum(d.agg(F.sum("n")).first()[0] or 0 for d in (a, b))
+    return _met(meeting(a, b, "a", "b"), meeting(b, a, "b", "a"), sets, 1 + grams // GROUP_GRAMS)
 
 
 def linked_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,13 +409,15 @@ def similar_components(docs: DataFrame, n: int = N, *more: Column) -> tuple[Data
     """(doc_id, n_shingles, node) and ``more`` numbers of all documents, and (rep, component) of the nodes that have links."""
     d = docs.select(_id().alias("doc_id"), "text")
     signed = stage(signatures(docs.select(_id().alias("doc_id"), "text", *more), n), "signatures")
+    clashes = _clashes(signed)
+    signed = _told_apart(signed, clashes)
     reps = stage(signed.filter("n_shingles > 0").groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("owner")), "reps")
     lists = candidate_lists(first_posts(_texts(d, reps), n))
     ids = stage(reps.join(lists.select("rep").distinct(), "rep", "left_semi"), "ids")
-    sets = stage(whole_sets(_texts(d, ids), n).dropDuplicates(["rep"]), "sets")
+    sets = stage(_told_apart(whole_sets(_texts(d, ids), n), clashes, "rep").dropDuplicates(["rep"]), "sets")
 
     # copies share most of their n-grams: a few of each set link most of what is alike
-    star = _star(lists.filter(F.col("at") < FIRST_TRY)).filter(_near_sizes(F.col("na"), F.col("nb"))).select("a", "b")
+    star = _star(lists.filter(F.col("at") < FIRST_TRY)).filter(_near_sizes(F.col("na"), F.col("nb"))).select("a", "b", "nb")
     first = linked(star, sets)
     found = stage(connected_components(first).withColumnRenamed("v", "rep"), "found")
     parts = _apart(lists, found)
@@ -396,7 +444,8 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     Rows are told apart by doc_id and a digest of all their columns, so what becomes of a row doesn't
     hang on other rows of its doc_id. Of rows that are equal in all columns one is put back. Rows
     without words are in no component and stay."""
-    digest = F.xxhash64(*docs.columns)
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    d = docs.select(_id().alias("id"), digest.alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     signed, found = similar_components(docs, n, digest.alias("row_digest"))
     signed = signed.filter("n_shingles > 0")
     nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row_digest")).alias("first"), F.count("*").alias("many"))
@@ -404,15 +453,13 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     best = nodes.groupBy("component").agg(F.min("first").alias("best"), F.sum("many").alias("many")).filter("many > 1")
     members = signed.join(nodes.select("node", "component").join(best.select("component", "best"), "component"), "node")
     stays = (F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.row_digest") == F.col("row_digest"))
-    rows = members.groupBy(F.col("doc_id").alias("gone"), F.col("row_digest").alias("gone_digest")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("many"))
+    rows = members.groupBy(F.col("doc_id").alias("id"), F.col("row_digest").alias("digest")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("many"))
     gone = stage(rows.filter("NOT stays OR many > 1"), "gone")
-    same = (_id() == F.col("gone")) & (digest == F.col("gone_digest"))
-    out = docs.join(_few(gone.select("gone", "gone_digest")), same, "left_anti")
-    equal = gone.filter("stays").select("gone", "gone_digest")
+    out = d.join(_few(gone.select("id", "digest")), ["id", "digest"], "left_anti").select("row")
+    equal = gone.filter("stays").select("id", "digest")
     if equal.limit(1).count():
-        again = docs.join(_few(equal), same).groupBy("gone", "gone_digest").agg(F.first(F.struct(*docs.columns)).alias("row"))
-        out = out.unionByName(again.select("row.*"))
-    return out
+        out = out.unionByName(d.join(_few(equal), ["id", "digest"]).groupBy("id", "digest").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op7_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:

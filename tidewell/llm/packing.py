@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.batches import by_size
 from tidewell.llm.tokens import WordTokens
 from tidewell.runtime import literal_table, stage, table
 
 SIZE = 2048
-FINE = 64
+#: Pieces of one length that are ranked together, about; more where that would make over PARTS parts in all.
+PART, PARTS = 50_000, 65_536
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -90,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(vocabulary)
-        for batch in batches:
+        for batch in by_size(batches, 1):
             ids, rows = batch.column(0), ([], [], [], [], [])
             for i, data in enumerate(tokens.encode(batch.column(1).to_pylist())):
                 data += end
@@ -104,20 +107,33 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = 0)
     return d.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def by_cells(found: list[dict], counts: dict[int, int]) -> tuple[list[dict], dict[int, int]]:
+    """The ranges of each length cut at the borders of cells of equal width, as many as it has ranges, so
+    that a rank finds its range by equality on (length, cell); and the width for each length."""
+    many = Counter(r["length"] for r in found)
+    width = {x: -(-n // many[x]) for x, n in counts.items()}
+    return [r | {"cell": c} for r in found for c in range(r["r0"] // width[r["length"]], (r["r1"] - 1) // width[r["length"]] + 1)], width
+
+
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
-    cut = stage(pieces(docs, vocabulary, size).withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(FINE)).cast("int")), "pieces")
-    subs = stage(cut.groupBy("length", "sub").agg(F.count("*").alias("n")), "lengths")
-    counts = {r.length: r.n for r in subs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
-    plan = literal_table(docs.sparkSession, json.dumps(ranges(counts, size)), "length long, r0 long, r1 long, per long, seq0 long, at long")
+    cut = stage(pieces(docs, vocabulary, size), "pieces")
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most
+    # patterns: each uses a length up, or leaves less of it than it takes; a bound set by ``size``
+    plan, width = by_cells(ranges(counts, size), counts)
+    plan = literal_table(docs.sparkSession, json.dumps(plan), "length long, cell long, r0 long, r1 long, per long, seq0 long, at long")
+    part = max(PART, -(-sum(counts.values()) // PARTS))
+    lengths = [{"length": x, "parts": -(-n // part), "width": width[x]} for x, n in counts.items()]
+    lengths = literal_table(docs.sparkSession, json.dumps(lengths), "length long, parts long, width long")
+    d = cut.join(F.broadcast(lengths), "length").withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")))
     before = Window.partitionBy("length").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = subs.select("length", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = d.groupBy("length", "sub").agg(F.count("*").alias("n"))
+    starts = starts.select("length", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("length", "sub").orderBy("doc_id", "piece", "ids_crc32")
-    d = cut.withColumn("rn", F.row_number().over(within) - 1)
-    d = d.join(F.broadcast(starts), ["length", "sub"])  # size x FINE rows at most
-    d = d.withColumn("rank", F.col("first") + F.col("rn"))
-    # patterns: each uses a length up, or leaves less of it than it takes; a bound set by ``size``
-    d = d.join(F.broadcast(plan), "length").filter((F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
+    d = d.withColumn("rn", F.row_number().over(within) - 1)
+    d = d.join(F.broadcast(starts), ["length", "sub"])  # size + PARTS rows at most
+    d = d.withColumn("rank", F.col("first") + F.col("rn")).withColumn("cell", F.floor(F.col("rank") / F.col("width")))
+    d = d.join(F.broadcast(plan), ["length", "cell"]).filter((F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
     k = F.col("rank") - F.col("r0")
     return d.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
