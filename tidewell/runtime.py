@@ -21,8 +21,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The folder named in ``spark.checkpoint.dir``; where it is unset and the master is local, a temporary one.
+
+    On a cluster a machine-local folder would lose rows without an error, so there is none."""
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{_own_folder()}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
