@@ -3,6 +3,11 @@
 Every stage reads what its predecessor kept and returns the columns of ``documents``; the last one
 returns the packed pieces. Stages hand over through Parquet files, so a lost executor costs a part
 of one stage.
+
+Defined cases: columns beyond those of ``documents`` pass through all stages but the last, whatever
+their names; null and empty texts are scored, have no line or n-gram to share, are taken 0 words by
+the mix and so end there; rows with null or repeated ids count as each operator's docstring says; an
+empty table gives empty stages, and an empty ``labels`` table accepts every document.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to labels of these documents, accepts."""
     machine = classifier.train(docs, table(spark, sf_dir, "labels"))
     scored = classifier.scored(docs, machine)
-    return scored.filter(F.col(scored.columns[-1]) >= KEEP_SCORE).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= KEEP_SCORE).drop(scored.columns[-1])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long lines that five documents or more share, except in the line's holder."""
-    state = line_dedup.insert(None, docs)
-    cleaned = line_dedup.clean(state, docs, 5).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+    cleaned = line_dedup.dedup(docs, 5)
+    return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
