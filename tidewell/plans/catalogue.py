@@ -1,6 +1,6 @@
 """Every registered query with its SQL twin."""
 
-from tidewell.plans import activity, events, panels, runs, texts
+from tidewell.plans import activity, audits, events, panels, reducers, runs, texts
 
-QUERIES: dict = {**events.QUERIES, **runs.QUERIES, **texts.QUERIES, **panels.QUERIES, **activity.QUERIES}
-ORACLE: dict = {**events.ORACLE, **runs.ORACLE, **texts.ORACLE, **panels.ORACLE, **activity.ORACLE}
+QUERIES: dict = {**events.QUERIES, **runs.QUERIES, **texts.QUERIES, **panels.QUERIES, **activity.QUERIES, **reducers.QUERIES, **audits.QUERIES}
+ORACLE: dict = {**events.ORACLE, **runs.ORACLE, **texts.ORACLE, **panels.ORACLE, **activity.ORACLE, **reducers.ORACLE, **audits.ORACLE}
