@@ -35,6 +35,22 @@ def test_fold_equals_batch(spark, source, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
 
 
+def test_a_silent_key_closes_and_its_state_goes(spark, tmp_path):
+    minute = 60_000_000
+    schema = "k string, n long, us long, ended boolean, ts timestamp"
+    t = 1_000_000 * minute
+    files = [[("quiet", 1, t), ("quiet", 2, t + minute), ("loud", 3, t + minute)], [("loud", 4, t + 300 * minute)], [("loud", 5, t + 301 * minute)], [("loud", 6, t + 302 * minute)]]
+    for rows in files:
+        d = spark.createDataFrame([(k, n, us, False) for k, n, us in rows], "k string, n long, us long, ended boolean")
+        d.withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    fold = folds.idle_sessions("us", "ended", 30 * minute)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 minute")
+    got = run(spark, state.stateful_fold(stream, "k", ["us", "n"], fold, idle_ms=60 * 60_000), "silent", tmp_path / "c")
+    rows = {(r.k, r.session, r.started, r.last, r.events, r.close_reason) for r in got.collect()}
+    assert ("quiet", 1, t, t + minute, 2, "open") in rows  # closed by the watermark alone
+    assert {r for r in rows if r[0] == "loud"} in ({("loud", 1, t + minute, t + minute, 1, "idle_timeout")}, {("loud", 1, t + minute, t + minute, 1, "open")})
+
+
 def test_dedupe_and_rates(spark, source, tmp_path):
     folder, e = source
     stream = spark.readStream.schema(e.schema).parquet(folder)

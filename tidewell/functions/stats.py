@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.prefix import running
+
 
 def moments(x: Column) -> dict[str, Column]:
     """Exact sums of a decimal or whole column: n, total and squares, from which mean and deviation follow."""
@@ -65,7 +67,6 @@ def ks_distance(values: DataFrame) -> DataFrame:
     side = lambda s: F.sum((F.col("side") == s).cast("long"))
     points = values.groupBy("v").agg(side(0).alias("x"), side(1).alias("y"))
     total = points.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumns({"cx": F.sum("x").over(w), "cy": F.sum("y").over(w)}).crossJoin(F.broadcast(total))
+    points = running(points, "v", {"cx": ("sum", "x"), "cy": ("sum", "y")}).crossJoin(F.broadcast(total))
     gap = F.abs(F.try_divide(F.col("cx"), F.col("nx")) - F.try_divide(F.col("cy"), F.col("ny")))
     return points.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))

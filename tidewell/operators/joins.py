@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.timeutil import DAY
+from tidewell.operators.prefix import running
 
 
 def orphans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,8 +66,10 @@ def pareto(points: DataFrame, cost: str, score: str, group: str | None = None) -
     the ordered part has a row per distinct cost."""
     keys = [group] if group else []
     best = points.groupBy(*keys, cost).agg(F.max(score).alias("_best"))
-    w = Window.partitionBy(*keys).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_cheaper", F.max("_best").over(w))
+    if group:
+        best = best.withColumn("_cheaper", F.max("_best").over(Window.partitionBy(group).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        best = running(best, cost, {"_cheaper": ("max", "_best")}, itself=False)
     p = points.join(best, [*keys, cost])
     dominated = (F.col(score) < F.col("_best")) | F.coalesce(F.col(score) <= F.col("_cheaper"), F.lit(False))
     return p.withColumn("dominated", dominated).drop("_best", "_cheaper")

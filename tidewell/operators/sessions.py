@@ -56,9 +56,14 @@ def bucket_counts(events: DataFrame, key: str, time: str, bucket: int, last: int
 
 
 def rolling_count(events: DataFrame, key: str, time: str, span: int, alias: str = "n", what: Column | None = None) -> DataFrame:
-    """``events`` with how many (or the sum of ``what``) lie within ``span`` before each, itself included."""
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(-span, 0)
-    return events.withColumn(alias, (F.count("*") if what is None else F.sum(what)).over(w))
+    """``events`` with how many (or the sum of ``what``) lie within ``span`` before each, itself included.
+
+    Time is cut into slices of ``span``; an event also goes to the slice behind its own, so that a
+    slice knows all that its events look back at, and no key's events are held together."""
+    own = F.floor(F.col(time) / span)
+    e = events.withColumn("_own", own).withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(key, "_slice").orderBy(time).rangeBetween(-span, 0)
+    return e.withColumn(alias, (F.count("*") if what is None else F.sum(what)).over(w)).filter("_own = _slice").drop("_own", "_slice")
 
 
 def rate_per_minute(count: Column, first: Column, last: Column) -> Column:

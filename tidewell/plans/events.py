@@ -106,9 +106,9 @@ def dedupe_within_hour(spark, sf_dir):
     return keys.dedupe(e, ["user_id", "event_type", "h"], [F.col("us"), F.col("event_id")]).select("event_id", "user_id", "event_type")
 
 
-@query(f"WITH {EVENTS} SELECT user_id, event_type, arg_max(event_id, us) AS event_id, max(us) AS us FROM ev GROUP BY 1, 2")
+@query(f"WITH {EVENTS} SELECT user_id, event_type, arg_max(event_id, (us, event_id)) AS event_id, max(us) AS us FROM ev GROUP BY 1, 2")
 def keep_newest_per_key(spark, sf_dir):
-    return keys.newest(events(spark, sf_dir), ["user_id", "event_type"], F.col("us"), ["event_id", "us"])
+    return keys.newest(events(spark, sf_dir), ["user_id", "event_type"], F.struct("us", "event_id"), ["event_id", "us"])
 
 
 @query(f"WITH {EVENTS} SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY us DESC, event_id) AS rank FROM ev QUALIFY rank <= 256")

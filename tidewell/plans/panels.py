@@ -77,11 +77,10 @@ def rates_with_overflow(spark, sf_dir):
     return panels.rates_with_overflow(g, [F.desc("last"), F.desc("n"), F.col("user_id")])
 
 
-@query(f"WITH {EVENTS} SELECT user_id, us // {DAY} AS day, arg_max(event_id, us) AS event_id, count(*) AS n FROM ev GROUP BY 1, 2")
+@query(f"WITH {EVENTS} SELECT user_id, us // {DAY} AS day, arg_max(event_id, (us, event_id)) AS event_id, count(*) AS n FROM ev GROUP BY 1, 2")
 def keep_last_per_generation(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY))
-    n = e.groupBy("user_id", "day").agg(F.count("*").alias("n"))
-    return keys.newest(e, ["user_id", "day"], F.col("us"), ["event_id"]).join(n, ["user_id", "day"])
+    return e.groupBy("user_id", "day").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT user_id, us // {DAY} AS day, sum(value) AS score FROM ev GROUP BY 1, 2) SELECT user_id, day, score, score - lag(score) OVER (PARTITION BY user_id ORDER BY day) AS delta, coalesce(score - lag(score) OVER (PARTITION BY user_id ORDER BY day) >= 20, false) AS starred FROM d""")

@@ -140,19 +140,17 @@ b AS (SELECT run_id, unnest([x FOR x IN [CASE WHEN ctx THEN 'context_failure' EN
 CASE WHEN (labeled_at IS NOT NULL AND outcome = 'thrashed') OR (NOT coalesce(labeled_at IS NOT NULL AND outcome = 'clean', false) AND event_count >= 150) THEN 'planning_failure' END, CASE WHEN NOT ctx AND permissions = 0 AND NOT ver AND NOT ((labeled_at IS NOT NULL AND coalesce(outcome = 'thrashed', false)) OR (NOT coalesce(labeled_at IS NOT NULL AND outcome = 'clean', false) AND event_count >= 150)) THEN 'unclassified' END] IF x IS NOT NULL]) AS bucket FROM x)
 SELECT bucket, count(*) AS n FROM b GROUP BY 1""")
 def failure_taxonomy(spark, sf_dir):
-    hits = hit_table(spark, sf_dir).groupBy("run_id").agg(F.collect_set("detector").alias("hits"))
-    asked = table(spark, sf_dir, "lineitem").filter(F.col("l_tax") >= 0.08).groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("permissions"))
-    r = run_table(spark, sf_dir).join(hits, "run_id", "left").join(asked, "run_id", "left")
+    hit = F.col("l_returnflag") == "R"
+    detector = F.when(hit, F.when(F.col("l_linestatus") == "F", "reread_same_file").otherwise("edit_build_fail_revert"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_set(detector).alias("hits"), F.count_if(F.col("l_tax") >= 0.08).alias("permissions"))  # two names at most
+    r = run_table(spark, sf_dir).join(lines, "run_id", "left")
     found = runs.failure_buckets(F.coalesce("hits", F.array().cast("array<string>")), F.col("outcome"), runs.labeled(), F.coalesce("permissions", F.lit(0)), F.col("event_count"))
     return r.select(F.explode(found).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {HITS} SELECT run_id, detector, min(line) AS line, count(*) AS repeats FROM hit GROUP BY 1, 2")
 def distinct_hits(spark, sf_dir):
-    h = hit_table(spark, sf_dir)
-    n = h.groupBy("run_id", "detector").agg(F.count("*").alias("repeats"))
-    first = keys.dedupe(h, ["run_id", "detector"], [F.col("line"), F.col("supp"), F.col("ts")]).select("run_id", "detector", "line")
-    return first.join(n, ["run_id", "detector"])
+    return hit_table(spark, sf_dir).groupBy("run_id", "detector").agg(F.min("line").alias("line"), F.count("*").alias("repeats"))
 
 
 @query(f"""WITH {HITS}, o AS (SELECT detector, supp, count(DISTINCT run_id) AS c, min(ts) AS a, max(ts) AS b FROM hit WHERE ts < {AS_OF} GROUP BY 1, 2), n AS (SELECT detector, supp, count(DISTINCT run_id) AS c, min(ts) AS a, max(ts) AS b FROM hit WHERE ts >= {AS_OF} GROUP BY 1, 2)

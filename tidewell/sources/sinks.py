@@ -26,7 +26,7 @@ def dead_letters(failed: DataFrame, excerpt: int = 500) -> DataFrame:
 def mirror_stream(validated: DataFrame, table_path: str, dead_path: str, checkpoint: str, within: str = "10 minutes"):
     """The same as a stream: events of one id within the time are written once. Returns the writer, to be started."""
     once = validated.withWatermark("ts", within).dropDuplicatesWithinWatermark(["id"])
-    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: mirror(df.persist(), table_path, dead_path))
+    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(dispatch([(F.lit(True), lambda df: mirror(df, table_path, dead_path))]))
 
 
 def route(signals: DataFrame, tiers: list[tuple[str, Column]], default: str = "log") -> DataFrame:

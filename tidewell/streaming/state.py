@@ -14,24 +14,48 @@ from pyspark.sql.types import StructType
 from tidewell.operators.folds import Fold
 
 
-def stateful_fold(stream: DataFrame, key: str, order: list[str], fold: Fold, every_state: bool = False) -> DataFrame:
+def stateful_fold(stream: DataFrame, key: str, order: list[str], fold: Fold, every_state: bool = False, idle_ms: int | None = None) -> DataFrame:
     """Results of a fold as they come. Events of a micro-batch are put in order; later batches must hold later events.
 
-    ``every_state``: also what ``finish`` would say of each key touched, for running totals (update mode)."""
+    ``every_state``: also what ``finish`` would say of each key touched, for running totals (update mode).
+    ``idle_ms``: a key of which the stream's watermark has seen no event for so long is finished: what
+    ``finish`` says comes out and its state is dropped, without a further event of the key. The stream
+    needs a watermark. Without ``idle_ms`` states stay for ever."""
     names = [key, *StructType.fromDDL(fold.schema).names]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = json.loads(state.get[0]) if state.exists else fold.start()
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order)[list(fold.columns)]
-        out = [r for row in rows.astype(object).itertuples(index=False, name=None) for r in fold.step(now, row)]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame.from_records([(k[0], *r) for r in fold.finish(now)], columns=names)
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order)
+        out = [r for row in rows[list(fold.columns)].astype(object).itertuples(index=False, name=None) for r in fold.step(now, row)]
         state.update((json.dumps(now),))
+        if idle_ms is not None:
+            last = int(rows["_event_ms"].max())
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         if every_state:
             out += fold.finish(json.loads(json.dumps(now)))
         yield pd.DataFrame.from_records([(k[0], *r) for r in out], columns=names)
 
-    needed = dict.fromkeys([key, *order, *fold.columns])
-    grouped = stream.select(*needed).groupBy(key)
-    return grouped.applyInPandasWithState(run, fold.result_schema(stream, key), "state string", "update" if every_state else "append", GroupStateTimeout.NoTimeout)
+    timed = stream if idle_ms is None else stream.withColumn("_event_ms", F.unix_millis(_event_time(stream)))
+    needed = dict.fromkeys([key, *order, *fold.columns] + (["_event_ms", _event_time_name(stream)] if idle_ms is not None else []))
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    grouped = timed.select(*needed).groupBy(key)
+    return grouped.applyInPandasWithState(run, fold.result_schema(stream, key), "state string", "update" if every_state else "append", timeout)
+
+
+def _event_time_name(stream: DataFrame) -> str:
+    """The column that carries the stream's watermark."""
+    found = [f.name for f in stream.schema if "spark.watermarkDelayMs" in f.metadata]
+    if not found:
+        raise ValueError("idle_ms needs a stream with a watermark")
+    return found[0]
+
+
+def _event_time(stream: DataFrame) -> Column:
+    return F.col(_event_time_name(stream))
 
 
 def rates(stream: DataFrame, time: str, key: str, bucket: str = "1 minute", late: str = "10 minutes") -> DataFrame:
