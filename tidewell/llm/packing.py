@@ -29,7 +29,7 @@ from tidewell.runtime import literal_table, stage, table
 
 SIZE = 2048
 #: Pieces of one length that are ranked together, about; more where that would make over PARTS parts in all.
-PART, PARTS = 50_000, 65_536
+PART, PARTS = 1_000, 65_536
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

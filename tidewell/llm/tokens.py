@@ -11,7 +11,7 @@ import numpy as np
 
 FOLDER = "/opt/tokenizers"
 #: Parts of words remembered by a task before it starts afresh: a bound of its memory.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 #: Texts whose normal form is their lower case and nothing else: Latin-1 without odd controls and spaces.
 SIMPLE = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xff]*")
 #: How the vocabulary's own pre-tokenizer splits such texts in lower case; fixed by word_bpe_49k.json:
