@@ -5,7 +5,7 @@ A session is a user, an iteration a day, a case one of 20 numbers; an event's ty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, wording
@@ -36,7 +36,9 @@ def results(spark, sf_dir) -> DataFrame:
     return e.withColumns({"session": F.col("user_id"), "iteration": F.floor(F.col("us") / DAY), "case_id": case, "verdict": verdict})
 
 
-AT = F.struct("us", "event_id")
+def last() -> Column:
+    """What orders a session's events."""
+    return F.struct("us", "event_id")
 
 
 @query(f"WITH {RES} SELECT session, count(*) AS n, round(count(*) FILTER (verdict = 'CE') / count(*)::DOUBLE, 9) AS ce_rate, bool_or(NOT starts_with(case_id, 'cf-') AND case_id <> '') AS cross_domain FROM res GROUP BY 1")
@@ -86,7 +88,7 @@ def cycle_outcome(spark, sf_dir):
 
 @query(f"WITH {RES}, f AS (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY session, iteration, case_id ORDER BY us, event_id) = 1) SELECT session, verdict, count(*) AS n, count(DISTINCT case_id) AS cases FROM f GROUP BY 1, 2")
 def live_verdicts(spark, sf_dir):
-    f = results(spark, sf_dir).groupBy("session", "iteration", "case_id").agg(F.min_by("verdict", AT).alias("verdict"))
+    f = results(spark, sf_dir).groupBy("session", "iteration", "case_id").agg(F.min_by("verdict", last()).alias("verdict"))
     return f.groupBy("session", "verdict").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases"))
 
 
@@ -127,7 +129,7 @@ def queue_pressure(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT us // {DAY} AS day, event_id, value FROM ev QUALIFY row_number() OVER (PARTITION BY us // {DAY} ORDER BY us DESC, event_id DESC) = 1")
 def latest_snapshot(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY))
-    return keys.newest(e, ["day"], AT, ["event_id", "value"])
+    return keys.newest(e, ["day"], last(), ["event_id", "value"])
 
 
 @query(f"""WITH {EVENTS}, p AS (SELECT event_id, user_id, us, value FROM ev WHERE event_type = 'click'), k AS (SELECT * FROM p ORDER BY us DESC, event_id DESC LIMIT 400) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS recency, CASE WHEN value >= 20 THEN 'confirmed' ELSE 'open' END AS state FROM k QUALIFY recency <= 5""")
@@ -142,7 +144,7 @@ def prediction_history(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT user_id, arg_max(event_type, (us, event_id)) AS latest, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'error') AS parsed, count(*) AS seen FROM ev GROUP BY 1")
 def parse_status(spark, sf_dir):
     bad = F.col("event_type") == "error"
-    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", AT).alias("latest"), F.count_if(bad).alias("failed"), F.count_if(~bad).alias("parsed"), F.count("*").alias("seen"))
+    return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", last()).alias("latest"), F.count_if(bad).alias("failed"), F.count_if(~bad).alias("parsed"), F.count("*").alias("seen"))
 
 
 @query(f"""WITH {RES}, s AS (SELECT session, iteration, sum(value) AS score, count(*) AS cost FROM res WHERE event_type = 'signup' GROUP BY 1, 2), m AS (SELECT session, max(value) AS score, count(*) AS cost FROM res WHERE session NOT IN (SELECT session FROM s) GROUP BY 1) SELECT session, iteration, score, cost FROM s UNION ALL SELECT session, NULL, score, cost FROM m""")
@@ -157,7 +159,7 @@ def pareto_cloud(spark, sf_dir):
 @query(f"""WITH {EVENTS}, m AS (SELECT max(us) AS now FROM ev), g AS (SELECT user_id, arg_max(event_type, (us, event_id)) AS phase, max(us) AS last, sum(value) AS spent, min(us) AS first FROM ev GROUP BY 1) SELECT phase, count(*) AS n, count(*) FILTER (now - last > {6 * HOUR}) AS stuck, round(sum(spent::DOUBLE / greatest(1.0::DOUBLE, (last - first) / {HOUR}.0::DOUBLE)), 6) AS per_hour FROM g, m GROUP BY 1""")
 def phase_board(spark, sf_dir):
     e = events(spark, sf_dir)
-    g = e.groupBy("user_id").agg(F.max_by("event_type", AT).alias("phase"), F.max("us").alias("last"), F.sum("value").alias("spent"), F.min("us").alias("first"))
+    g = e.groupBy("user_id").agg(F.max_by("event_type", last()).alias("phase"), F.max("us").alias("last"), F.sum("value").alias("spent"), F.min("us").alias("first"))
     g = g.crossJoin(F.broadcast(e.agg(F.max("us").alias("now"))))  # one row
     rate = F.col("spent").cast("double") / F.greatest(F.lit(1.0), (F.col("last") - F.col("first")) / float(HOUR))
     return g.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("now") - F.col("last") > 6 * HOUR).alias("stuck"), F.round(F.sum(rate), 6).alias("per_hour"))
@@ -189,13 +191,13 @@ def iteration_eta(spark, sf_dir):
 @query(f"WITH {EVENTS}, k AS (SELECT event_type, user_id, substr(props, 1, 80) AS head, max(us) AS t, arg_max(event_id, (us, event_id)) AS event_id FROM ev GROUP BY 1, 2, 3) SELECT event_type, user_id, head, event_id FROM k ORDER BY t DESC, event_id DESC LIMIT 40")
 def probe_newest(spark, sf_dir):
     """Newest of each cluster of like events, then the newest 40 clusters."""
-    k = events(spark, sf_dir).groupBy("event_type", "user_id", F.substring("props", 1, 80).alias("head")).agg(F.max(AT).alias("at"))
+    k = events(spark, sf_dir).groupBy("event_type", "user_id", F.substring("props", 1, 80).alias("head")).agg(F.max(last()).alias("at"))
     return keys.ranked_limit(k, [F.desc("at")], 40).select("event_type", "user_id", "head", F.col("at.event_id").alias("event_id"))
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT user_id, max(us) AS updated, arg_max(event_type, (us, event_id)) <> 'error' AS running FROM ev GROUP BY 1) SELECT user_id, updated, running FROM g ORDER BY running DESC, updated DESC, user_id LIMIT 8""")
 def leaderboard(spark, sf_dir):
-    g = events(spark, sf_dir).groupBy("user_id").agg(F.max("us").alias("updated"), (F.max_by("event_type", AT) != "error").alias("running"))
+    g = events(spark, sf_dir).groupBy("user_id").agg(F.max("us").alias("updated"), (F.max_by("event_type", last()) != "error").alias("running"))
     return keys.ranked_limit(g, [F.desc("running"), F.desc("updated"), F.col("user_id")], 8)
 
 
@@ -214,7 +216,7 @@ def sessions_kept(spark, sf_dir):
 
 @query(f"""WITH {EVENTS}, g AS (SELECT event_type || '/' || (user_id % 40) AS alert, max(us) AS last, CASE arg_max(event_type, (us, event_id)) WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS status FROM ev GROUP BY 1) SELECT alert, status, last FROM g ORDER BY status, last DESC, alert LIMIT 60""")
 def alerts_in_order(spark, sf_dir):
-    status = F.max_by("event_type", AT)
+    status = F.max_by("event_type", last())
     rank = F.when(status == "error", 0).when(status == "view", 1).otherwise(2)
     g = events(spark, sf_dir).groupBy(F.concat_ws("/", "event_type", (F.col("user_id") % 40).cast("string")).alias("alert")).agg(F.max("us").alias("last"), rank.alias("status"))
     return keys.ranked_limit(g, [F.col("status"), F.desc("last"), F.col("alert")], 60)
@@ -250,7 +252,7 @@ def fingerprint_ledger(spark, sf_dir):
     """Counts of like messages by channel from at most 20 of each window."""
     e = events(spark, sf_dir).withColumns({"win": F.floor(F.col("us") / (6 * HOUR)), "fp": text.fingerprint(F.col("props"))})
     k = keys.per_key(e, ["event_type", "win"], [F.col("us"), F.col("event_id")], 20)
-    return k.groupBy("event_type", "fp").agg(F.count("*").alias("n"), F.min("us").alias("first_seen"), F.max("us").alias("last_seen"), F.min_by(F.substring("props", 1, 200), AT).alias("sample"))
+    return k.groupBy("event_type", "fp").agg(F.count("*").alias("n"), F.min("us").alias("first_seen"), F.max("us").alias("last_seen"), F.min_by(F.substring("props", 1, 200), last()).alias("sample"))
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT event_type, user_id % 30 AS fp, count(*) AS n, max(us) AS last_seen FROM ev GROUP BY 1, 2 HAVING count(*) >= 2) SELECT event_type, fp, n, last_seen, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, fp) AS rank FROM g QUALIFY rank <= 8""")
@@ -288,7 +290,7 @@ def session_lines(spark, sf_dir):
 @query(f"""WITH {RES}, i AS (SELECT session, iteration, sum(value) AS score, arg_max(event_type, (us, event_id)) AS last FROM res GROUP BY 1, 2), d AS (SELECT *, score - lag(score) OVER (PARTITION BY session ORDER BY iteration) AS delta FROM i)
 SELECT session, CASE WHEN last = 'signup' THEN 'running' WHEN delta IS NULL THEN 'complete' WHEN delta > 0 THEN 'improved' WHEN delta < 0 THEN 'regressed' ELSE 'flat' END AS verdict FROM d QUALIFY row_number() OVER (PARTITION BY session ORDER BY iteration DESC) = 1""")
 def session_verdict(spark, sf_dir):
-    i = results(spark, sf_dir).groupBy("session", "iteration").agg(F.sum("value").alias("score"), F.max_by("event_type", AT).alias("last"))
+    i = results(spark, sf_dir).groupBy("session", "iteration").agg(F.sum("value").alias("score"), F.max_by("event_type", last()).alias("last"))
     d = i.withColumn("delta", F.col("score") - F.lag("score").over(Window.partitionBy("session").orderBy("iteration")))
     v = wording.verdict(F.when(F.col("last") == "signup", "start").otherwise("done"), F.col("delta").cast("double"))
     return keys.newest(d.withColumn("verdict", v), ["session"], F.col("iteration"), ["verdict"])
