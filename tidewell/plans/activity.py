@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import commands as C
 from tidewell.functions.timeutil import DAY, HOUR
-from tidewell.operators import agents
+from tidewell.operators import agents, detectors
 from tidewell.plans.events import EVENTS, events
 from tidewell.runtime import table
 
@@ -331,3 +331,49 @@ def worktree_groups(spark, sf_dir):
     r = k.join(labelled_runs(spark, sf_dir).filter(F.col("outcome").isin("landed", "clean")).select("run_id", "outcome"), "run_id")
     g = r.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("run_id", "outcome"))).alias("x"))
     return g.select("slug", F.array_join(F.transform("x", lambda s: s["run_id"].cast("string")), "|").alias("run_ids"), F.array_join(F.transform("x", lambda s: s["outcome"]), "|").alias("outcomes"))
+
+
+ADAPTERS = [detectors.Adapter("p1", [("build", r"\bbd\s+close\b")]), detectors.Adapter("p[12]", [("wait", r"\bgit\s+push\b")])]
+
+
+@query(f"""WITH {ACT}, b AS (SELECT event_id, 'p' || (run_id % 3) AS project, {_FCMD} AS command FROM act WHERE tool = 'Bash') SELECT event_id, project, CASE WHEN project = 'p1' AND regexp_matches(command, '\\bbd\\s+close\\b') THEN 'build' WHEN project = 'p2' AND regexp_matches(command, '\\bgit\\s+push\\b') THEN 'wait' ELSE {_CLASS('command')} END AS class FROM b""")
+def project_command_classes(spark, sf_dir):
+    """Command classes where projects bring their own: the first adapter that applies to the project counts."""
+    b = activity(spark, sf_dir).filter(F.col("tool") == "Bash").select("event_id", F.concat(F.lit("p"), (F.col("run_id") % 3).cast("string")).alias("project"), F.coalesce(agents.json_command(), F.lit("")).alias("command"))
+    return b.select("event_id", "project", detectors.command_class(F.col("command"), F.col("project"), ADAPTERS).alias("class"))
+
+
+DETECTORS = [
+    detectors.Detector("repeated_build", "automate", lambda e: agents.repeated_builds(e).withColumnRenamed("command", "signature")),
+    detectors.Detector("harness_change_watch", "inform", lambda e: agents.harness_changes(e).withColumnRenamed("label", "signature")),
+    detectors.Detector("left_red", "eliminate", lambda e: agents.worktree_outcomes(e).filter(F.col("class") == "left_red").withColumnRenamed("slug", "signature")),
+]
+PASS = f"""{LABELS}, {_TREES}, hc AS (SELECT DISTINCT run_id, CASE WHEN tool IN ('Edit', 'Write') THEN {_LABEL(_PATH)} WHEN tool = 'Bash' AND {_w(_CMD0, ('git',))} THEN {_LABEL("(coalesce(" + _CMD0 + ", '') || chr(10) || response)")} END AS signature FROM act),
+rb AS (SELECT run_id, trim(regexp_replace({_FCMD}, '\\s+', ' ', 'g')) AS signature FROM act WHERE tool = 'Bash' AND {_w(_FCMD, C.BUILD_WORDS)} GROUP BY 1, 2 HAVING count(*) > 1),
+fd AS (SELECT run_id, 'repeated_build' AS detector, signature FROM rb UNION ALL SELECT run_id, 'harness_change_watch', signature FROM hc WHERE signature IS NOT NULL UNION ALL SELECT run_id, 'left_red', slug FROM wo WHERE class = 'left_red'),
+ru AS (SELECT run_id, 'p' || (run_id % 3) AS project, old_outcome AS outcome FROM lb), tt AS (SELECT project, count(*) AS runs FROM ru GROUP BY 1),
+gi AS (SELECT project, detector, signature, count(*) AS hit_runs, count(*) FILTER (run_id % 5 <> 0) AS new_hits, count(*) FILTER (outcome IN ('thrashed', 'abandoned', 'reverted')) AS failures, count(*) FILTER (outcome IN ('clean', 'landed', 'corrected')) AS clean FROM fd JOIN ru USING (run_id) GROUP BY 1, 2, 3),
+si AS (SELECT gi.*, runs, CASE detector WHEN 'repeated_build' THEN 'automate' WHEN 'left_red' THEN 'eliminate' ELSE 'inform' END AS rung, CASE WHEN hit_runs >= 2 THEN 'passed' ELSE 'insufficient_history' END AS replay FROM gi JOIN tt USING (project)),
+sc AS (SELECT *, 0.35::DOUBLE * hit_runs / runs + 0.25::DOUBLE * least(1.0::DOUBLE, ln(1 + hit_runs::DOUBLE) / ln(21.0::DOUBLE)) + 0.25::DOUBLE * (CASE rung WHEN 'eliminate' THEN 1.0::DOUBLE WHEN 'automate' THEN 2.0::DOUBLE / 3 ELSE 1.0::DOUBLE / 3 END) + 0.08::DOUBLE * (CASE WHEN failures + clean = 0 THEN 0.0::DOUBLE ELSE 0.30::DOUBLE * (failures::DOUBLE / (failures + clean) - 0.5::DOUBLE) END) + 0.07::DOUBLE AS score FROM si)"""
+
+
+@query(f"""WITH {PASS} SELECT project, detector, signature, hit_runs, new_hits, failures, clean, rung, round(score, 6) AS score, CASE WHEN runs < 2 OR replay = 'insufficient_history' THEN 'needs_more_data' WHEN clean > failures AND clean >= 3 THEN 'suppressed' WHEN rung = 'inform' AND score >= 0.55 THEN 'propose_fix' WHEN rung <> 'inform' AND replay = 'passed' AND score >= 0.30 THEN 'propose_fix' ELSE 'monitor' END AS decision FROM sc""")
+def synthesis_pass(spark, sf_dir):
+    """All detectors in order, their hits against those known, and the decision on every issue."""
+    found = detectors.hits(DETECTORS, activity(spark, sf_dir))
+    found = detectors.with_novelty(found, found.filter(F.col("run_id") % 5 == 0))
+    r = labelled_runs(spark, sf_dir).select("run_id", F.concat(F.lit("p"), (F.col("run_id") % 3).cast("string")).alias("project"), "outcome", "labeled_at")
+    i = detectors.issues(DETECTORS, found, r, F.lit(1.0))
+    return i.select("project", "detector", "signature", "hit_runs", "new_hits", "failures", "clean", "rung", F.round("score", 6).alias("score"), "decision")
+
+
+@query(f"""WITH {PASS}, td AS (SELECT 'detector' AS section, detector AS name, sum(hit_runs)::BIGINT AS n, row_number() OVER (ORDER BY sum(hit_runs) DESC, detector) AS k FROM gi GROUP BY 2), hd AS (SELECT 'harness' AS section, signature AS name, sum(hit_runs)::BIGINT AS n FROM gi WHERE detector = 'harness_change_watch' GROUP BY 2)
+SELECT section, name, n FROM td WHERE k <= 2 UNION ALL SELECT * FROM hd UNION ALL SELECT 'outcome', coalesce(outcome, 'unlabeled'), count(*) FROM ru GROUP BY 2""")
+def nightly_digest(spark, sf_dir):
+    """The two detectors with most hits, what changed around the agents, and runs by outcome."""
+    g = detectors.hits(DETECTORS, activity(spark, sf_dir)).groupBy("detector", "signature").agg(F.count("*").alias("n"))
+    top = g.groupBy(F.col("detector").alias("name")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(2)
+    harness = g.filter(F.col("detector") == "harness_change_watch").groupBy(F.col("signature").alias("name")).agg(F.sum("n").alias("n"))
+    outcomes = labelled_runs(spark, sf_dir).groupBy(F.coalesce("outcome", F.lit("unlabeled")).alias("name")).agg(F.count("*").alias("n"))
+    section = lambda d, s: d.select(F.lit(s).alias("section"), "name", "n")
+    return section(top, "detector").unionByName(section(harness, "harness")).unionByName(section(outcomes, "outcome"))

@@ -228,10 +228,10 @@ def asof_last_verify(spark, sf_dir):
     return sequences.last_before(events(spark, sf_dir), "user_id", ORDER, kind("view"), F.col("value"), 200, "last_view").select("event_id", "last_view")
 
 
-@query(f"WITH {EVENTS} SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM ev WHERE event_type = 'signup')")
+@query(f"WITH {EVENTS} SELECT DISTINCT user_id, us // {DAY} AS day FROM ev WHERE event_type = 'purchase' EXCEPT SELECT user_id, us // {DAY} FROM ev WHERE event_type = 'view'")
 def orphan_anti(spark, sf_dir):
-    e = events(spark, sf_dir)
-    return joins.orphans(e.filter(kind("purchase")).select("user_id").distinct(), e.filter(kind("signup")), ["user_id"])
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY))
+    return joins.orphans(e.filter(kind("purchase")).select("user_id", "day").distinct(), e.filter(kind("view")), ["user_id", "day"])
 
 
 @query(f"""WITH {EVENTS}, a AS (SELECT user_id, us // {DAY} AS day FROM ev WHERE event_type = 'signup'), b AS (SELECT user_id, us // {DAY} AS day FROM ev WHERE event_type = 'purchase'),

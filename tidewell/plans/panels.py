@@ -103,10 +103,11 @@ def recent_runs(spark, sf_dir):
     return g.crossJoin(F.broadcast(e.agg(F.max("us").alias("latest")))).filter(F.col("latest") - F.col("last") <= 6 * HOUR).drop("latest")
 
 
-@query(f"WITH {EVENTS} SELECT user_id, props, count(*) AS reads, min(event_id) AS first_read FROM ev WHERE event_type = 'view' GROUP BY 1, 2 HAVING count(*) >= 4")
+@query(f"WITH {EVENTS} SELECT user_id, json_extract_string(props, '$.k')::BIGINT // 10 AS item, count(*) AS reads, min(event_id) AS first_read FROM ev WHERE event_type = 'view' GROUP BY 1, 2 HAVING count(*) >= 3")
 def reread_same_item(spark, sf_dir):
-    g = events(spark, sf_dir).filter(kind("view")).groupBy("user_id", "props").agg(F.count("*").alias("reads"), F.min("event_id").alias("first_read"))
-    return g.filter(F.col("reads") >= 4)
+    item = F.floor(F.get_json_object("props", "$.k").cast("long") / 10)
+    g = events(spark, sf_dir).filter(kind("view")).groupBy("user_id", item.alias("item")).agg(F.count("*").alias("reads"), F.min("event_id").alias("first_read"))
+    return g.filter(F.col("reads") >= 3)
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT user_id, us // {DAY} AS day, count(*) FILTER (event_type = 'click') AS edits, count(*) FILTER (event_type = 'view') AS tests FROM ev GROUP BY 1, 2) SELECT user_id, day, edits FROM g WHERE edits >= 3 AND tests = 0""")

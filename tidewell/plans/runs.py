@@ -218,7 +218,7 @@ def logical_run_roots(spark, sf_dir):
 
 
 NAMES = "ch AS (SELECT DISTINCT lower(p_brand) AS name0, 'shop.' || replace(lower(p_brand), '#', '') || '.' || lower(p_type) AS name FROM part)"
-SUBS = "sub AS (SELECT s_suppkey AS consumer, 'shop.brand' || (1 + s_suppkey % 7) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '.economy' END AS channel, CASE WHEN s_suppkey % 2 = 0 THEN 'prefix' ELSE 'exact' END AS match_type FROM supplier)"
+SUBS = "sub AS (SELECT s_suppkey AS consumer, CASE WHEN s_suppkey % 11 = 0 THEN 'shop.ghost' ELSE 'shop.brand' END || (1 + s_suppkey % 7) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '.economy' END AS channel, CASE WHEN s_suppkey % 2 = 0 THEN 'prefix' ELSE 'exact' END AS match_type FROM supplier)"
 
 
 def names(spark, sf_dir) -> DataFrame:
@@ -229,7 +229,7 @@ def names(spark, sf_dir) -> DataFrame:
 def subscriptions(spark, sf_dir) -> DataFrame:
     even = F.col("s_suppkey") % 2 == 0
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("consumer"), F.concat(F.lit("shop.brand"), (1 + F.col("s_suppkey") % 7).cast("string"), F.when(even, "").otherwise(".economy")).alias("channel"), F.when(even, "prefix").otherwise("exact").alias("match_type")
+        F.col("s_suppkey").alias("consumer"), F.concat(F.when(F.col("s_suppkey") % 11 == 0, "shop.ghost").otherwise("shop.brand"), (1 + F.col("s_suppkey") % 7).cast("string"), F.when(even, "").otherwise(".economy")).alias("channel"), F.when(even, "prefix").otherwise("exact").alias("match_type")
     )
 
 
@@ -251,11 +251,11 @@ def orphan_schemas(spark, sf_dir):
     return joins.orphans(names(spark, sf_dir), hit, ["name"])
 
 
-@query("SELECT DISTINCT p_brand AS channel FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity >= 50)")
+@query("SELECT p_partkey AS channel FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
 def silent_channels(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    seen = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50).select(F.col("l_partkey").alias("p_partkey")).join(p, "p_partkey").select("p_brand").distinct()
-    return joins.orphans(p.select("p_brand").distinct(), seen, ["p_brand"]).withColumnRenamed("p_brand", "channel")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("channel"))
+    seen = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 45).select(F.col("l_partkey").alias("channel"))
+    return joins.orphans(p, seen, ["channel"])
 
 
 @query("""WITH r AS (SELECT n_name, count(*) AS suppliers, count(*) FILTER (s_acctbal < 0) AS negative FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) SELECT n_name AS project, suppliers, negative, CASE WHEN negative >= 2 AND suppliers - negative >= 2 THEN true ELSE false END AS contrast FROM r""")
@@ -265,11 +265,11 @@ def contrast_sets(spark, sf_dir):
     return r.withColumn("contrast", (F.col("negative") >= 2) & (F.col("suppliers") - F.col("negative") >= 2))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS cohort, l_returnflag AS class, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY cohort) AS width FROM c) SELECT cohort, class, n, width::BIGINT AS width FROM t WHERE n >= 0.6 * width AND width >= 2""")
+@query("""WITH c AS (SELECT l_orderkey AS cohort, l_returnflag AS class, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY cohort) AS width FROM c) SELECT cohort, class, n, width::BIGINT AS width FROM t WHERE n >= 0.6 * width AND width >= 2""")
 def majority_class(spark, sf_dir):
     from pyspark.sql import Window
 
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cohort"), F.col("l_returnflag").alias("class")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cohort"), F.col("l_returnflag").alias("class")).agg(F.count("*").alias("n"))
     c = c.withColumn("width", F.sum("n").over(Window.partitionBy("cohort")))
     return c.filter((F.col("n") >= 0.6 * F.col("width")) & (F.col("width") >= 2))
 
