@@ -1,6 +1,7 @@
 """The numbered operators against brute force, and on odd rows."""
 
 import array
+import bisect
 import hashlib
 import math
 import random
@@ -99,6 +100,33 @@ def test_sharding(spark, odd, factor):
         assert all(r["size"] == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in got)
 
 
+@pytest.mark.parametrize("factor", [1.0, 1.25])
+def test_sharding_against_a_plain_ring(spark, odd, factor):
+    """Every row's shard and slot by walking the ring in plain Python: own rows of each arc first, then overflow clockwise."""
+    for rows, d in both(spark, odd):
+        points = sharding.ring_points(spark, 16, 64)
+        slim = d.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), F.pmod(F.xxhash64(F.lit("key"), "doc_id"), F.lit(1 << 32)).alias("pos"))
+        arcs = defaultdict(list)
+        for r in slim.withColumn("sub", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(64))).collect():
+            arcs[bisect.bisect_left(points, (r.pos, -1)) % len(points)].append((r.sub, r.pos, r.doc_id, r.crc, r["size"]))
+        n = len(rows)
+        room = [n // 16 + (s < n % 16) for s in range(16)] if factor == 1.0 else [math.ceil(factor * n / 16)] * 16
+        shards, left = [[] for _ in range(16)], []
+        for arc, (_, shard) in enumerate(points):
+            own = sorted(arcs[arc])
+            free = room[shard] - len(shards[shard])
+            shards[shard] += own[:free]
+            left += [(arc, x) for x in own[free:]]
+        for arc, x in left:
+            step = arc + 1
+            while len(shards[points[step % len(points)][1]]) >= room[points[step % len(points)][1]]:
+                step += 1
+            shards[points[step % len(points)][1]].append(x)
+        want = {(x[2], s, slot) for s, own in enumerate(shards) for slot, x in enumerate(own)}
+        got = {(r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(d, 16, load_factor=factor).collect()}
+        assert got == want
+
+
 def test_sharding_moves_few_keys(spark):
     d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a, b = (sharding.shard_rows(d, n, load_factor=1.25).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (16, 17))
