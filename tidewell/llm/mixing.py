@@ -36,19 +36,19 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 48)
 
 
-def prose_quality(text: Column) -> Column:
+def prose_quality(text: Column, words: Column) -> Column:
     """The default weight, 0.05 to 1: the share of characters that are no symbols of markup, times how
     near the characters for each word come to those of prose (4 to 10). Null or empty texts: 1."""
     long = F.length(text)
     plain = F.try_divide(F.length(F.regexp_replace(text, r"[#*$%&|<>]+", "")), long)
-    per_word = F.try_divide(long, n_words(text))
+    per_word = F.try_divide(long, words)
     near = F.least(F.lit(1.0), per_word / 4, 10 / per_word)
     return F.greatest(F.lit(0.05), F.coalesce(plain * near, F.lit(1.0)))
 
 
 def weight(quality) -> Column:
-    """``quality``: a function of the text column, or the name of a column (null: 1)."""
-    return quality(F.col("text")) if callable(quality) else F.greatest(F.lit(0.05), F.coalesce(F.col(quality).cast("double"), F.lit(1.0)))
+    """``quality``: a function of the text and its number of words, or the name of a column (null: 1)."""
+    return quality(F.col("text"), F.col("_size")) if callable(quality) else F.greatest(F.lit(0.05), F.coalesce(F.col(quality).cast("double"), F.lit(1.0)))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -68,7 +68,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 def keyed(docs: DataFrame, seed: str = "mix-1", quality=prose_quality, *more: Column) -> DataFrame:
     """(doc_id, source) and ``more`` of ``docs`` with _size (words), _pick (what orders a source's documents) and _bucket (of the key)."""
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight(quality)).alias("_key"), *more)
+    given = [] if callable(quality) else [F.col(quality).alias("_quality")]
+    d = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("_size"), *given, *more)
+    key = -F.log(uniform(F.col("doc_id"), seed)) / weight(quality if callable(quality) else "_quality")
+    d = d.withColumn("_key", key).drop("text", "_quality")
     d = d.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     return d.withColumn("_pick", F.struct(F.col("_key").alias("key"), "doc_id", F.col("_size").alias("size"))).drop("_key")
 
