@@ -83,11 +83,11 @@ def triggers(channel: Column, overrides: list[tuple[str, int, float]]) -> Column
     return out.when(channel.startswith("log:"), one(LOG_TRIGGER)).otherwise(one(BUS_TRIGGER))
 
 
-def project_of_pane(pane: Column, known: list[str]) -> Column:
-    """The project of a terminal pane (kind:name:number): the name, of a container the known project in it or "loomie"; "?" without a pane."""
+def project_of_pane(pane: Column, known: list[str], other: str) -> Column:
+    """The project of a terminal pane (kind:name:number): the name, of a container the known project in it or ``other``; "?" without a pane."""
     name = F.split(pane, ":")
     second = F.try_element_at(name, F.lit(2))
-    of_container = functools.reduce(lambda w, p: w.when(F.contains(second, F.lit(p)), p), known, F).otherwise("loomie") if known else F.lit("loomie")
+    of_container = functools.reduce(lambda w, p: w.when(F.contains(second, F.lit(p)), p), known, F).otherwise(other) if known else F.lit(other)
     named = second.isNotNull()
     return F.when(F.coalesce(pane, F.lit("")) == "", "?").when(named & (name[0] == "docker"), of_container).when(named & name[0].isin("zellij", "host"), second).otherwise(name[0])
 
@@ -102,12 +102,13 @@ def live(state: Column, agent_type: Column, states: tuple[str, ...]) -> Column:
     return state.isin(*states) & (F.trim(F.coalesce(agent_type, F.lit(""))) != "")
 
 
-def kernel_kind(type_: Column, domain: Column, kinds: dict[str, str], shared: dict[str, str]) -> Column:
-    """domain/kind of a kernel's event, by old (<domain>.<event>.v1) and new (kernel.<event>.v1) names; null for others."""
+def kernel_kind(type_: Column, domain: Column, kinds: dict[str, str], shared: dict[str, str], reserved: str) -> Column:
+    """domain/kind of a kernel's event, by old (<domain>.<event>.v1) and new (kernel.<event>.v1) names; null
+    for others and for all of the namespace ``reserved`` but the ``shared`` types, whose domain is not known."""
     body = F.regexp_replace(type_, r"\.v1$", "")
     head, rest = F.regexp_extract(body, r"^([^.]*)", 1), F.regexp_extract(body, r"^[^.]*\.(.*)$", 1)
     kind = functools.reduce(lambda w, k: w.when(rest == k[0], k[1]), kinds.items(), F)
-    owner = F.when(head == "kernel", F.coalesce(F.nullif(domain, F.lit("")), F.lit("?"))).when(head != "autobench", head)
+    owner = F.when(head == "kernel", F.coalesce(F.nullif(domain, F.lit("")), F.lit("?"))).when(head != reserved, head)
     known = functools.reduce(lambda w, s: w.when(type_ == s[0], f"?/{s[1]}"), shared.items(), F)
     return known.when(type_.endswith(".v1"), F.concat(owner, F.lit("/"), kind))
 

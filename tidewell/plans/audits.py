@@ -134,7 +134,7 @@ def not_allowed_names(spark, sf_dir):
 PANES = "pn AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'zellij:desk' || (user_id % 5) || ':1' WHEN 1 THEN 'docker:shop-agent-' || user_id WHEN 2 THEN 'host:h' || (user_id % 3) || ':2' ELSE '' END AS pane, CASE user_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN '' WHEN 2 THEN 'alpha' END AS project, CASE WHEN user_id % 6 = 5 THEN '' ELSE '/src' || (user_id % 3) || '/x' END AS source, ['working', 'idle', 'waiting', 'done'][1 + event_id % 4] AS state, CASE WHEN user_id % 5 = 0 THEN ' ' ELSE 'agent' END AS agent_type FROM ev)"
 
 
-@query(f"""WITH {EVENTS}, {PANES} SELECT CASE WHEN pane = '' THEN '?' WHEN starts_with(pane, 'docker:') THEN CASE WHEN contains(pane, 'shop') THEN 'shop' ELSE 'loomie' END ELSE split_part(pane, ':', 2) END AS pane_project, coalesce(nullif(nullif(project, ''), 'unknown'), nullif(split_part(ltrim(source, '/'), '/', 1), ''), '?') AS label, count(*) AS n FROM pn WHERE state IN ('working', 'idle', 'waiting') AND trim(agent_type) <> '' GROUP BY 1, 2""")
+@query(f"""WITH {EVENTS}, {PANES} SELECT CASE WHEN pane = '' THEN '?' WHEN starts_with(pane, 'docker:') THEN CASE WHEN contains(pane, 'shop') THEN 'shop' ELSE 'other' END ELSE split_part(pane, ':', 2) END AS pane_project, coalesce(nullif(nullif(project, ''), 'unknown'), nullif(split_part(ltrim(source, '/'), '/', 1), ''), '?') AS label, count(*) AS n FROM pn WHERE state IN ('working', 'idle', 'waiting') AND trim(agent_type) <> '' GROUP BY 1, 2""")
 def project_labels(spark, sf_dir):
     """Live sessions by the project of their pane and of their events."""
     i, u, s = F.col("event_id"), F.col("user_id"), lambda c: c.cast("string")
@@ -144,21 +144,21 @@ def project_labels(spark, sf_dir):
     state = F.element_at(F.array(*map(F.lit, ("working", "idle", "waiting", "done"))), (1 + i % 4).cast("int"))
     live = channels.live(state, F.when(u % 5 == 0, " ").otherwise("agent"), ("working", "idle", "waiting"))
     e = events(spark, sf_dir).filter(live)
-    return e.groupBy(channels.project_of_pane(pane, ["shop"]).alias("pane_project"), channels.project_label(project, source).alias("label")).agg(F.count("*").alias("n"))
+    return e.groupBy(channels.project_of_pane(pane, ["shop"], "other").alias("pane_project"), channels.project_label(project, source).alias("label")).agg(F.count("*").alias("n"))
 
 
-KINDS = "kn AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'tsp.best.v1' WHEN 1 THEN 'kernel.run.start.v1' WHEN 2 THEN 'autobench.island.health.v1' WHEN 3 THEN 'kernel.best.v1' ELSE 'autobench.x.best.v1' END AS type, CASE WHEN event_id % 3 = 0 THEN 'tsp' WHEN event_id % 3 = 1 THEN 'sat' END AS domain FROM ev)"
+KINDS = "kn AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'tsp.best.v1' WHEN 1 THEN 'kernel.run.start.v1' WHEN 2 THEN 'bench.island.health.v1' WHEN 3 THEN 'kernel.best.v1' ELSE 'bench.x.best.v1' END AS type, CASE WHEN event_id % 3 = 0 THEN 'tsp' WHEN event_id % 3 = 1 THEN 'sat' END AS domain FROM ev)"
 
 
-@query(f"""WITH {EVENTS}, {KINDS} SELECT type, domain, CASE WHEN type = 'autobench.island.health.v1' THEN '?/island_health' WHEN starts_with(type, 'kernel.') THEN coalesce(domain, '?') || CASE type WHEN 'kernel.best.v1' THEN '/best' ELSE '/start' END WHEN starts_with(type, 'autobench.') THEN NULL ELSE 'tsp/best' END AS kind,
+@query(f"""WITH {EVENTS}, {KINDS} SELECT type, domain, CASE WHEN type = 'bench.island.health.v1' THEN '?/island_health' WHEN starts_with(type, 'kernel.') THEN coalesce(domain, '?') || CASE type WHEN 'kernel.best.v1' THEN '/best' ELSE '/start' END WHEN starts_with(type, 'bench.') THEN NULL ELSE 'tsp/best' END AS kind,
 CASE WHEN starts_with(type, 'tsp.') THEN type WHEN starts_with(type, 'kernel.') AND coalesce(domain, 'tsp') = 'tsp' THEN CASE type WHEN 'kernel.best.v1' THEN 'tsp.best.v1' ELSE 'tsp.run.start.v1' END END AS legacy, count(*) AS n FROM kn GROUP BY 1, 2""")
 def kernel_kinds(spark, sf_dir):
     i = F.col("event_id")
-    type_ = F.when(i % 5 == 0, "tsp.best.v1").when(i % 5 == 1, "kernel.run.start.v1").when(i % 5 == 2, "autobench.island.health.v1").when(i % 5 == 3, "kernel.best.v1").otherwise("autobench.x.best.v1")
+    type_ = F.when(i % 5 == 0, "tsp.best.v1").when(i % 5 == 1, "kernel.run.start.v1").when(i % 5 == 2, "bench.island.health.v1").when(i % 5 == 3, "kernel.best.v1").otherwise("bench.x.best.v1")
     domain = F.when(i % 3 == 0, "tsp").when(i % 3 == 1, "sat")
     e = events(spark, sf_dir).groupBy(type_.alias("type"), domain.alias("domain")).agg(F.count("*").alias("n"))
     kinds = {"best": "best", "run.start": "start"}
-    return e.withColumns({"kind": channels.kernel_kind(F.col("type"), F.col("domain"), kinds, {"autobench.island.health.v1": "island_health"}), "legacy": channels.legacy_kernel_type(F.col("type"), F.col("domain"), "tsp", list(kinds))})
+    return e.withColumns({"kind": channels.kernel_kind(F.col("type"), F.col("domain"), kinds, {"bench.island.health.v1": "island_health"}, "bench"), "legacy": channels.legacy_kernel_type(F.col("type"), F.col("domain"), "tsp", list(kinds))})
 
 
 @query(f"""WITH {ACT}, q AS (SELECT event_id, run_id, CASE WHEN event_id % 2 = 0 THEN 'permission_requested' ELSE 'activity' END AS event_type, tool, summary FROM act) SELECT event_id, CASE WHEN event_type = 'permission_requested' THEN trim(summary) ELSE trim(json_extract_string(CASE WHEN json_valid(summary) THEN summary END, '$.description')) END AS question FROM q
