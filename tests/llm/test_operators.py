@@ -137,10 +137,14 @@ def test_sharding_moves_few_keys(spark):
 # 2
 
 
-@pytest.mark.parametrize("kind", ["random", "equal", "odd"])
-def test_metric_search(spark, kind):
+@pytest.mark.parametrize("kind", ["random", "equal", "deep", "odd"])
+def test_metric_search(spark, monkeypatch, kind):
     rng = np.random.default_rng(5)
-    if kind == "random":
+    if kind == "deep":  # levels of small cells; a third of all vectors are equal
+        for name, value in {"PAGE": 40, "ROUTERS": 3, "FANOUT": 4, "SLICE": 300}.items():
+            monkeypatch.setattr(metric_search, name, value)
+        rows = [(i, [0.5, 0.25, 0.0, 1.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(2400)]
+    elif kind == "random":
         rows = [(i, rng.normal(size=8).tolist()) for i in range(7000)]
     elif kind == "equal":
         rows = [(i, [0.5, 0.25] if i % 3 else rng.normal(size=2).tolist()) for i in range(6000)]

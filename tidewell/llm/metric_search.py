@@ -4,15 +4,18 @@ Inner products become distances by one more coordinate: with M the largest norm
 x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) give |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so the nearest
 points have the highest products, and the triangle inequality holds.
 
-The top of the tree is a set of at most ``ROUTERS`` routing objects, candidates chosen by a digest
-of their ids (a bounded sample; it changes the speed and no result); every candidate is indexed
-below its nearest one, in pages of bounded size, so that a router to which a third of all vectors
-belong has many pages. A page holds a tree of nodes with covering radii and with distances to their
-parents. A query first searches a page of its nearest router, best node first; its k-th score then
-rules out other routers by their covering radii, and in the pages of those that are left every node
-and vector whose bound, from stored distances and the triangle inequality, can't reach that score
-is left out without computing its distance. Scores are exact integers; bounds have a margin above
-their rounding errors.
+The tree is built from the top, a level at a time. Its first level are at most ``ROUTERS`` routing
+objects, candidates chosen by a digest of their ids (a bounded sample; it changes the speed and no
+result); every candidate belongs below its nearest one. A cell of more than a page is split again
+among at most ``FANOUT`` of its own members, in slices of bounded size, until cells fit in a page;
+one whose vectors are all equal is dealt to pages by hash instead. Levels below the first are
+tables, so no node list grows on the driver. A page holds a tree of nodes with covering radii and
+with distances to their parents. A query first goes down to the nearest page and searches it, best
+node first; its k-th score then rules out cells by their covering radii at every level, and in the
+pages that are left every node and vector whose bound, from stored distances and the triangle
+inequality, can't reach that score is left out without computing its distance. Queries meet nodes
+and pages in slices of bounded size. Scores are exact integers; bounds have a margin above their
+rounding errors.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a
 shorter vector counts as ending in zeros; rows with the query's vec_id are its own; of repeated
@@ -34,6 +37,8 @@ from tidewell.runtime import stage, table
 ROUTERS = 256
 PAGE = 2048
 LEAF, FAN = 256, 8
+#: Cells that one cell is split into, levels of cells at most, and members routed by one task's group.
+FANOUT, DEPTH, SLICE = 64, 12, 16384
 #: Queries that go down a tree together.
 BLOCK = 1024
 NO_ID = -(1 << 63)
@@ -159,8 +164,8 @@ def _keep(got: list, k: int, kth: np.ndarray):
     return (q[rank < k], s[rank < k], i[rank < k]), kth
 
 
-def _search_pages(asked: DataFrame, pages: DataFrame, dim: int, top: float, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's best in the page that it asks, if they reach its ``least``."""
+def _search_pages(asked: DataFrame, pages: DataFrame, dim: int, top: float, k: int, slices: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's best in the pages that it asks, if they reach its ``least``."""
 
     def one(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -173,9 +178,20 @@ def _search_pages(asked: DataFrame, pages: DataFrame, dim: int, top: float, k: i
         s, ids = (np.concatenate([p[j] for p in parts]) for j in (1, 2))
         return pa.table([pa.array(q), pa.array(ids), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-    asked = asked.select(*[F.col(c).alias(c) for c in ("page", "query_id", "x", "least")])
-    pages = pages.select(*[F.col(c).alias(c) for c in ("page", "vec_id", "x")])
-    return asked.groupBy("page").cogroup(pages.groupBy("page")).applyInArrow(one, "query_id long, vec_id long, score long")
+    asked = asked.select("cell", "part", _slice(slices), "query_id", "x", "least")
+    wanted = asked.select("cell", "part", "slice").distinct()
+    keys = "cell", "part", "slice"
+    pages = _own(pages.join(wanted, ["cell", "part"]), *keys, "vec_id", "x")
+    return asked.groupBy(*keys).cogroup(pages.groupBy(*keys)).applyInArrow(one, "query_id long, vec_id long, score long")
+
+
+def _own(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that Spark doesn't take for those of the table from which the other side of a cogroup comes."""
+    return df.select(*[F.col(c).alias(c) for c in names])
+
+
+def _slice(slices: int):
+    return F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -183,75 +199,159 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _to_routers(x: np.ndarray, base: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every candidate's nearest router and its distance."""
+    up, extra = (np.sqrt(np.maximum(0, top - (v * v).sum(1))) for v in (x, base))
+    d2 = 2 * top - 2 * (x @ base.T + up[:, None] * extra)
+    r = d2.argmin(1)
+    return r, np.sqrt(np.maximum(0, d2[np.arange(len(r)), r]))
+
+
+MEMBERS = "cell string, vec_id long, x array<double>, d double"
+
+
+def _first_level(c: DataFrame, base: np.ndarray, dim: int, top: float) -> DataFrame:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r, d = _to_routers(_matrix(b.column(1), dim), base, top)
+            yield pa.record_batch([pa.array(r.astype(str)), b.column(0), b.column(1), pa.array(d)], names=["cell", "vec_id", "x", "d"])
+
+    return stage(c.select("vec_id", "x").mapInArrow(route, MEMBERS), "level0")
+
+
+def _split(members: DataFrame, routers: DataFrame, dim: int, top: float) -> DataFrame:
+    """``members`` (cell, slice, vec_id, x) below the nearest of their cell's routers (cell, slice, i, x)."""
+
+    def one(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.float64())], names=["cell", "vec_id", "x", "d"])
+        x = left.column("x").combine_chunks()
+        i = right.column("i").to_numpy()
+        r, d = _to_routers(_matrix(x, dim), _matrix(right.column("x").combine_chunks(), dim), top)
+        cells = np.array([f"{key[0].as_py()}.{n}" for n in i])
+        return pa.table([pa.array(cells[r]), left.column("vec_id").combine_chunks(), x, pa.array(d)], names=["cell", "vec_id", "x", "d"])
+
+    keys = "cell", "slice"
+    return members.groupBy(*keys).cogroup(routers.groupBy(*keys)).applyInArrow(one, MEMBERS)
+
+
+def _tree(level: DataFrame, dim: int, top: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pages (cell, part, vec_id, x), the first level's cells, and for each further one its nodes (parent, cell, x, radius, open, many)."""
+    leaves, nodes, first, routers = [], [], None, None
+    for depth in range(DEPTH):
+        n, parts = F.col("n"), F.ceil(F.col("n") / PAGE)
+        cells = level.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n"))
+        # different vectors of whole numbers are at least 1 apart
+        can = F.lit(depth < DEPTH - 1) & (n > PAGE) & (F.col("radius") >= 0.5)
+        cells = stage(cells.select("cell", "radius", "n", can.alias("open"), F.when(can, 1).otherwise(parts).cast("int").alias("many")), f"cells{depth}")
+        if first is None:
+            first = cells
+        else:
+            below = routers.select(F.col("cell").alias("parent"), F.concat_ws(".", "cell", "i").alias("cell"), "x")
+            nodes.append(stage(below.join(cells.drop("n"), "cell"), f"nodes{depth}"))
+        placed = level.join(cells, "cell")
+        leaves.append(placed.filter(~F.col("open")).select("cell", F.pmod(F.xxhash64("vec_id", "x"), F.col("many")).cast("int").alias("part"), "vec_id", "x"))
+        if cells.filter("open").isEmpty():
+            break
+        members = placed.filter("open").select("cell", "vec_id", "x", "n")
+        turn = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec_id", F.lit(depth)), "vec_id", "x"))
+        routers = members.withColumn("i", turn).filter((F.col("i") <= FANOUT) & (F.col("i") <= F.greatest(F.lit(2), F.ceil(2 * n / PAGE))))
+        routers = stage(routers.select("cell", "i", "x", "n"), f"routers{depth}")
+        slices = F.ceil(n / SLICE).cast("int")
+        sliced = members.select("cell", F.pmod(F.xxhash64("x", "vec_id"), slices).cast("int").alias("slice"), "vec_id", "x")
+        each = routers.select("cell", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "i", "x")
+        level = stage(_split(sliced, each, dim, top), f"level{depth + 1}")
+    pages = leaves[0]
+    for more in leaves[1:]:
+        pages = pages.unionByName(more)
+    return stage(pages, "pages"), first, nodes
+
+
+ASKED = "query_id long, x array<double>, least double, home string, cell string, open boolean, many int"
+
+
+def _choose(b, x: np.ndarray, routers: np.ndarray, radius: np.ndarray, top: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) to go on with: the nearest node, or every one whose bound reaches the query's ``least``."""
+    reach = (x * x).sum(1)[:, None] + top
+    d = np.sqrt(np.maximum(0, reach - 2 * x @ routers.T))
+    if nearest:
+        return np.arange(len(x)), d.argmin(1)
+    least = np.nan_to_num(b.column("least").to_numpy(zero_copy_only=False), nan=-np.inf)
+    low = np.maximum(0, d - radius * (1 + 1e-9) - 1e-6)
+    return np.nonzero((reach - low**2) / 2 + 1e-6 + 1e-9 * reach >= least[:, None])
+
+
+def _go_on(b, at: np.ndarray, cells: pa.Array, open_: pa.Array, many: pa.Array, to: np.ndarray) -> list:
+    rows, to = b.select(["query_id", "x", "least", "home"]).take(pa.array(at)), pa.array(to)
+    return [*rows.columns, cells.take(to), open_.take(to), many.take(to)]
+
+
+def _descend(asked: DataFrame, first: list, base: np.ndarray, nodes: list[DataFrame], dim: int, top: float, slices: int, nearest: bool) -> DataFrame:
+    """The leaf cells that each of ``asked`` (query_id, x, least, home) goes to, a level at a time."""
+    routers, radius = base[[int(r.cell) for r in first]], np.array([r.radius for r in first])
+    cells, open_, many = (pa.array([r[c] for r in first], t) for c, t in (("cell", pa.string()), ("open", pa.bool_()), ("many", pa.int32())))
+    names = ["query_id", "x", "least", "home", "cell", "open", "many"]
+
+    def top_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("x"), dim)
+            at, to = _choose(b, x, routers, radius, top, nearest)
+            for i in range(0, len(at), BLOCK):
+                yield pa.record_batch(_go_on(b, at[i : i + BLOCK], cells, open_, many, to[i : i + BLOCK]), names=names)
+
+    def one(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.string(), pa.string(), pa.bool_(), pa.int32())], names=names)
+        left, right = left.combine_chunks(), right.combine_chunks()
+        x, r = (_matrix(t.column("x").combine_chunks(), dim) for t in (left, right))
+        at, to = _choose(left, x, r, right.column("radius").to_numpy(), top, nearest)
+        return pa.table(_go_on(left, at, *(right.column(c) for c in ("cell", "open", "many")), to), names=names)
+
+    level, done = stage(asked.select("query_id", "x", "least", "home").mapInArrow(top_level, ASKED), "asked"), []
+    for below in nodes:
+        done.append(level.filter(~F.col("open")))
+        go = level.filter("open").select("query_id", "x", "least", "home", "cell", _slice(slices))
+        wanted = go.select(F.col("cell").alias("parent"), "slice").distinct()
+        below = _own(below.join(wanted, "parent"), "parent", "slice", "cell", "x", "radius", "open", "many")
+        level = stage(go.groupBy("cell", "slice").cogroup(below.groupBy("parent", "slice")).applyInArrow(one, ASKED), "asked")
+    for more in done:
+        level = level.unionByName(more)
+    return level
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id, x) against ``candidates`` (vec_id, x)."""
     c = stage(candidates, "candidates")
     q = stage(queries.groupBy("query_id").agg(F.min("x").alias("x")), "queries")
     norm = F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)
-    both = c.select("x").unionByName(q.select("x")).agg(F.max(F.size("x"))).first()[0] or 1
-    n, top = c.agg(F.count("*"), F.max(norm)).first()
-    dim, top = int(both), float(top or 0)
-    routers = min(ROUTERS, max(1, n // PAGE))
+    asking, widest = q.agg(F.count("*"), F.max(F.size("x"))).first()
+    n, top, dim = c.agg(F.count("*"), F.max(norm), F.max(F.size("x"))).first()
+    dim, top = max(dim or 1, widest or 1), float(top or 0)
+    slices = -(-asking // max(64, (64 << 20) // (8 * dim * FANOUT))) or 1  # of 64 MB, should each go to every child
+    routers = min(ROUTERS, max(1, 2 * n // PAGE))
     sample = c.orderBy(F.xxhash64("vec_id"), "vec_id", "x").select("x").limit(routers).collect()  # ROUTERS rows at most
     base = np.zeros((max(1, len(sample)), dim))
     for row, r in zip(base, sample, strict=False):
         row[: len(r.x)] = r.x
-    extra = np.sqrt(np.maximum(0, top - (base * base).sum(1)))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(1), dim)
-            up = np.sqrt(np.maximum(0, top - (x * x).sum(1)))
-            d2 = 2 * top - 2 * (x @ base.T + up[:, None] * extra)
-            r = d2.argmin(1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(r, pa.int32()), pa.array(np.sqrt(np.maximum(0, d2[np.arange(len(r)), r])), pa.float64())], names=["vec_id", "x", "router", "d"])
-
-    routed = stage(c.mapInArrow(route, "vec_id long, x array<double>, router int, d double"), "routed")
-    covers = routed.groupBy("router").agg(F.max("d").alias("radius"), F.count("*").alias("n")).orderBy("router").collect()  # ROUTERS rows at most
-    radius, many = np.full(len(base), -1.0), np.ones(len(base), np.int64)
-    for r in covers:
-        radius[r.router], many[r.router] = r.radius, 1 + (r.n - 1) // PAGE
-    per = F.element_at(F.array(*[F.lit(int(m)) for m in many]), F.col("router") + 1)
-    first = np.cumsum(many) - many
-    start = F.element_at(F.array(*[F.lit(int(m)) for m in first]), F.col("router") + 1)
-    page = (start + F.pmod(F.xxhash64("vec_id", "d", "x"), per)).cast("int")
-    pages = stage(routed.withColumn("page", page).select("page", "vec_id", "x"), "pages")
-
-    def ask(first_turn: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _matrix(b.column(1), dim)
-                reach = (x * x).sum(1)[:, None] + top
-                d = np.sqrt(np.maximum(0, reach - 2 * x @ base.T))
-                low = np.maximum(0, d - radius * (1 + 1e-9) - 1e-6)
-                low[:, radius < 0] = np.inf
-                home = d.copy()
-                home[:, radius < 0] = np.inf
-                home = home.argmin(1)
-                own = b.column(0).to_numpy()
-                if first_turn:
-                    at, to = np.arange(len(x)), first[home] + own % many[home]
-                else:
-                    least = b.column(2).to_numpy(zero_copy_only=False)
-                    least = np.where(np.isnan(least), -np.inf, least)
-                    at, r = np.nonzero((reach - low**2) / 2 + 1e-6 + 1e-9 * reach >= least[:, None])
-                    at, r = at[radius[r] >= 0], r[radius[r] >= 0]
-                    at, to, k = np.repeat(at, many[r]), np.repeat(first[r], many[r]), np.repeat(many[r], many[r])
-                    to = to + np.arange(len(to)) - np.repeat(np.cumsum(many[r]) - many[r], many[r])
-                    other = to != (first[home] + own % many[home])[at]
-                    at, to = at[other], to[other]
-                rows = b.take(pa.array(at))
-                yield pa.record_batch([pa.array(to, pa.int32()), rows.column(0), rows.column(1), rows.column(2)], names=["page", "query_id", "x", "least"])
-
-        return run
-
-    schema = "page int, query_id long, x array<double>, least double"
-    turn1 = q.withColumn("least", F.lit(None).cast("double")).mapInArrow(ask(True), schema)
-    home = stage(_search_pages(turn1, pages, dim, top, k), "home")
+    pages, cells, nodes = _tree(_first_level(c, base, dim, top), dim, top)
+    first = cells.orderBy("cell").collect()  # ROUTERS rows at most
+    if not first:
+        return _ranked(q.select("query_id", F.col("query_id").alias("vec_id"), F.col("query_id").alias("score")).filter("false"), k)
+
+    unknown = q.select("query_id", "x", F.lit(None).cast("double").alias("least"), F.lit(None).cast("string").alias("home"))
+    at_home = _descend(unknown, first, base, nodes, dim, top, slices, True)
+    at_home = stage(at_home.withColumn("part", F.pmod("query_id", F.col("many")).cast("int")), "asked")
+    home = stage(_search_pages(at_home, pages, dim, top, k, slices), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("least"))
-    turn2 = q.join(kth, "query_id", "left").select("query_id", "x", "least").mapInArrow(ask(False), schema)
-    rest = _search_pages(turn2, pages, dim, top, k)
-    return _best(home.unionByName(rest), k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
+    homes = at_home.select("query_id", "x", F.concat_ws("#", "cell", "part").alias("home"))
+    others = _descend(homes.join(kth, "query_id", "left"), first, base, nodes, dim, top, slices, False)
+    others = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    others = stage(others.filter(F.concat_ws("#", "cell", "part") != F.col("home")), "asked")
+    return _ranked(home.unionByName(_search_pages(others, pages, dim, top, k, slices)), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return _best(found, k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def op2_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
