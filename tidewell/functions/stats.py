@@ -39,7 +39,7 @@ def ranked_percentiles(df: DataFrame, key: str, value: Column, rules: list[str])
     n = F.col("n")
     at = {
         "upper_median": F.floor(n / 2) + 1, "p95_floor": F.least(F.floor(n * 95 / 100) + 1, n), "p95_nearest": F.ceil(n * 95 / 100),
-        "p95_below": F.greatest(F.floor(n * 95 / 100), F.lit(1)),
+        "p95_below": F.greatest(F.floor(n * 95 / 100), F.lit(1)), "p95_rounded": F.greatest(F.floor((n * 95 + 50) / 100), F.lit(1)),
     }
     pick = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
     out = []

@@ -48,3 +48,18 @@ def json_array(text: Column) -> Column:
 
 def rung_target(rung: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RUNG_TARGETS.items() for x in kv]), rung), F.lit("doc"))
+
+
+def cost(tokens_in: Column, tokens_out: Column, rate_in: float, rate_out: float) -> Column:
+    """Dollars of a call by its rates for a million tokens."""
+    return tokens_in / 1_000_000 * rate_in + tokens_out / 1_000_000 * rate_out
+
+
+def run_line(outcome: Column, kind: Column, events: Column, closed: Column, loops: Column, fail_rate: Column, commit: Column, tools: Column) -> Column:
+    """A run on one line; ``tools`` is an array of struct(name, n), most used first. What a run lacks is left out."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    has = lambda name, c, when: F.when(when, F.concat(F.lit(f"{name}="), c.cast("string")))
+    top = F.array_join(F.transform(F.slice(tools, 1, 4), lambda t: F.concat(t["name"], F.lit(":"), t["n"].cast("string"))), ",")
+    parts = [F.concat(F.lit("outcome="), said(outcome)), F.concat(F.lit("agent_kind="), said(kind)), F.concat(F.lit("events="), said(events)), F.concat(F.lit("close_reason="), said(closed))]
+    parts += [has("thrash_loops", loops, loops > 0), has("bash_fail_rate", F.format_string("%.2f", fail_rate), fail_rate.isNotNull()), F.when(commit, "has_commit=yes"), has("top_tools", top, F.size(tools) > 0)]
+    return F.concat(F.lit("  "), F.array_join(F.array_compact(F.array(*parts)), "  "))
