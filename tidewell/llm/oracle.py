@@ -1,6 +1,7 @@
 """SQL twins (DuckDB) of the operators that SQL can express.
 
-Not here: sharding and packing (their digests and token ids have no SQL function) and the classifier.
+Not here: sharding and packing (their digests and token ids have no SQL function), the classifier and
+the whitening.
 """
 
 from tidewell.llm import chat_format
@@ -72,4 +73,30 @@ z AS (SELECT *, size > 0 AND NOT once AND abs(size - gap) < gap AS fits FROM y),
 l AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), key, doc_id) = 1 AS last FROM z)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (whole + (once OR last)::INT) ELSE 0 END::BIGINT AS taken FROM l"""
 
-SQL = {"op2_mtree_search": OP2, "op3_host_quality": OP3, "op4_line_dedup": OP4, "op5_chat_format": OP5, "op7_ngram_trie_join": OP7, "op8_suffix_tree_dedup": OP8, "op10_mix_sources": OP10}
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split({x}, '')]), lambda a, b: list_reduce(list_prepend(xor(a, b), [k::BIGINT FOR k IN range(8)]), lambda d, k: xor(d >> 1, 3988292384::BIGINT * (d & 1)))))"
+#: A run of at least 24 words and three periods has 16 words that stand again a period on.
+OP12 = f"""WITH t AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS ws, {_CRC.format(x="doc_id::VARCHAR")} AS h FROM documents), d AS (SELECT doc_id, h, h // 10 AS g, len(ws)::BIGINT AS n FROM t),
+o AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM t), p AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM d WHERE n > 0),
+w AS (SELECT p.doc_id, x.i, y.word, n FROM p JOIN o x ON x.doc_id = p.doc_id JOIN o y ON y.doc_id = p.doc_id AND y.i = CASE WHEN h % 10 = 0 AND x.i >= a THEN a + (x.i - a) % p ELSE x.i END),
+g AS (SELECT doc_id, i, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS g FROM w), f AS (SELECT * FROM g WHERE i + 16 <= n),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n), s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS part FROM m),
+l AS (SELECT doc_id, p, min(i) AS start, max(i) + 16 + p - min(i) AS length FROM s GROUP BY doc_id, p, part), r AS (SELECT doc_id, start, length, min(p) AS period FROM l WHERE length >= greatest(24, 3 * p) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1), c AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM r GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r), k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS s FROM w ANTI JOIN x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(c.s, '')) AS runs_sha256, sha256(coalesce(k.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+_ITEM_WORDS = "regexp_extract_all({t}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TEN = "[" + ", ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, 10)]]) + "]"
+OP13 = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS.format(t=_LOWERED)} AS ws FROM documents), i AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS.format(t=_LOWERED)} AS ws FROM benchmark),
+v AS (SELECT item_id, least(10, len(ws)) AS k, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS j FROM i WHERE len(ws) > 0), q AS (SELECT DISTINCT item_id, k, array_to_string(ws[j : j + k - 1], ' ') AS g FROM v), z AS (SELECT DISTINCT k FROM q),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d), t AS (SELECT doc_id, i, {_TEN} AS ten FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, t.k, item_id FROM (SELECT doc_id, i, k, array_to_string(ten[1 : k], ' ') AS g FROM t, z WHERE ten[k] IS NOT NULL) t JOIN q ON t.k = q.k AND t.g = q.g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1), n AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+SQL = {
+    "op2_mtree_search": OP2, "op3_host_quality": OP3, "op4_line_dedup": OP4, "op5_chat_format": OP5, "op7_ngram_trie_join": OP7, "op8_suffix_tree_dedup": OP8, "op10_mix_sources": OP10,
+    "op12_periodic_runs": OP12, "op13_suffix_array_decontamination": OP13,
+}

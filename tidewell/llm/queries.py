@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import chat_format, classifier, line_dedup, metric_search, mixing, ngram_join, oracle, packing, quality_rules, sharding, substring_dedup
+from tidewell.llm import chat_format, classifier, decontamination, line_dedup, metric_search, mixing, ngram_join, oracle, packing, periodic_runs, quality_rules, sharding, substring_dedup, whitening
 
 OPERATORS = [
     sharding.op1_ring_sharding,
@@ -15,6 +15,9 @@ OPERATORS = [
     substring_dedup.op8_suffix_tree_dedup,
     classifier.op9_factor_machine,
     mixing.op10_mix_sources,
+    whitening.op11_chebyshev_whitening,
+    periodic_runs.op12_periodic_runs,
+    decontamination.op13_suffix_array_decontamination,
 ]
 
 
