@@ -151,10 +151,10 @@ def test_baselines_outlive_their_query(spark, tmp_path):
     rows = [(rng.choice("abc"), i, rng.random() * 100) for i in range(400)]
     land(spark, tmp_path / "one", [rows[:100], rows[100:200]], schema)
     land(spark, tmp_path / "two", [rows[200:300], rows[300:]], schema)
-    run(spark, P.baseline_stream(stream(spark, tmp_path / "one", schema), "k"), "first", tmp_path / "c1", "update")
+    run(spark, P.baseline_stream(stream(spark, tmp_path / "one", schema), "k", ttl_ms=None), "first", tmp_path / "c1", "update")
     kept = P.stored_baselines(spark, str(tmp_path / "c1"), "k")
     kept.write.parquet(str(tmp_path / "kept"))
-    got = run(spark, P.baseline_stream(stream(spark, tmp_path / "two", schema), "k", spark.read.parquet(str(tmp_path / "kept"))), "second", tmp_path / "c2", "update")
+    got = run(spark, P.baseline_stream(stream(spark, tmp_path / "two", schema), "k", spark.read.parquet(str(tmp_path / "kept")), None), "second", tmp_path / "c2", "update")
     for k in "abc":
         values = [v for key, _, v in rows if key == k]
         expected = P.welford((0, 0.0, 0.0, float("inf"), float("-inf")), values)

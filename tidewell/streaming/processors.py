@@ -389,10 +389,13 @@ class Baselines(StatefulProcessor):
 
 
 def baseline_stream(stream: DataFrame, key: str, initial: DataFrame | None = None, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """(key, n, mean, m2, low, high) of (key, at, value) rows after each micro-batch. ``initial``: such rows, a key once, that it goes on from."""
+    """(key, n, mean, m2, low, high) of (key, at, value) rows after each micro-batch. ``initial``: such rows, a key once, that it goes on from.
+
+    States go after ``ttl_ms`` without an update; as that is time by the clock, the query then runs on with empty
+    batches and an ``availableNow`` trigger does not end it. None: they stay, and it does."""
     schema = f"{key} {dict(stream.dtypes)[key]}, {BASELINE}"
     start = None if initial is None else initial.select(key, *_names(BASELINE)).groupBy(key)
-    return stream.select(key, "at", "value").groupBy(key).transformWithStateInPandas(Baselines(schema, ttl_ms), schema, "update", "processingTime", start)
+    return stream.select(key, "at", "value").groupBy(key).transformWithStateInPandas(Baselines(schema, ttl_ms), schema, "update", "none" if ttl_ms is None else "processingTime", start)
 
 
 def stored_baselines(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
