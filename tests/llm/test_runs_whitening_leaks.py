@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tidewell.llm import decontamination, periodic_runs, whitening
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontamination, mixing, periodic_runs, whitening
 from tidewell.llm.suffixes import DyadicSuffixes, WaveletTree
 
 DIR = "/root/testdata/sf0.001"
@@ -215,3 +217,15 @@ def test_given_tables(spark):
     got = decontamination.op13_suffix_array_decontamination(spark, DIR)
     assert sorted(map(str, map(tuple, got.collect()))) == leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert whitening.op11_chebyshev_whitening(spark, DIR).count() == 4 * spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+
+
+@pytest.mark.parametrize("third", [lambda i: (None, "w " * 100), lambda i: (7, "w " * 100), lambda i: (None, f"{i} " * 100), lambda i: (7, f"{i} " * 100)])
+def test_mix_of_equal_and_null_ids_keeps_targets(spark, third):
+    """A third of all rows with no id or one id, of equal or of different texts: taken words stay within a row of the target."""
+    rows = [(i, f"{i} " * 100, "ab"[i % 2]) for i in range(400)] + [(*third(i), "c") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for s in mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("epochs").alias("most"), F.count("*").alias("n")).collect():
+        assert abs(s.taken - s.target) <= 50 and s.most <= 3 and s.n == 200
+    taken = {r.source: r["count"] * 100 for r in mixing.take(d).groupBy("source").count().collect()}
+    for s in mixing.mix(d).select("source", "target").distinct().collect():
+        assert abs(taken[s.source] - s.target) <= 50

@@ -11,9 +11,12 @@ taken. The prefix sum is counted over buckets of the key first; only the bucket
 budget ends is sorted, so a source that holds most rows is no single group. The one document left
 whose size comes nearest to what is then missing closes the gap.
 
+Rows equal in id and text have one key; they are counted as one group, of which as many are taken as the
+rest allows, told apart by a number that each row gets when the keys are written.
+
 Defined cases: null source is a source of its own and last; null or empty texts have size 0 and
-are taken 0 words; null doc_id hashes like an empty id; documents of the same id have the same
-key and are ordered by size, and rows equal in both may all be the last one taken; an empty table gives no rows; other columns are not read.
+are taken 0 words; a key is drawn from id and text together, so null or repeated ids are nothing
+special; equal rows are taken one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ BUCKETS = 4096
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), from 48 bits of a digest: the same in every run."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """In (0, 1), from 48 bits of a digest of id and text: the same in every run."""
+    what = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(what), 1, 12), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 48)
 
 
@@ -67,13 +71,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def keyed(docs: DataFrame, seed: str = "mix-1", quality=prose_quality, *more: Column) -> DataFrame:
-    """(doc_id, source) and ``more`` of ``docs`` with _size (words), _pick (what orders a source's documents) and _bucket (of the key)."""
+    """(doc_id, source) and ``more`` of ``docs`` with _size (words), _pick (what orders a source's documents), _bucket (of the key) and _row (a number, once written)."""
     given = [] if callable(quality) else [F.col(quality).alias("_quality")]
     d = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("_size"), *given, *more)
-    key = -F.log(uniform(F.col("doc_id"), seed)) / weight(quality if callable(quality) else "_quality")
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight(quality if callable(quality) else "_quality")
     d = d.withColumn("_key", key).drop("text", "_quality")
     d = d.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    return d.withColumn("_pick", F.struct(F.col("_key").alias("key"), "doc_id", F.col("_size").alias("size"))).drop("_key")
+    return d.withColumn("_pick", F.struct(F.col("_key").alias("key"), "doc_id", F.col("_size").alias("size"))).drop("_key").withColumn("_row", F.monotonically_increasing_id())
 
 
 def _with_plan(d: DataFrame, plan: DataFrame) -> DataFrame:
@@ -85,9 +89,11 @@ def _with_plan(d: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixing_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """A row per source: source_size, target, whole epochs, and what else is taken once: all of the
-    buckets below ``edge``, in that bucket what is ordered up to ``cut``, and the document ``last``.
+    buckets below ``edge``, in that bucket what is ordered up to ``cut``; of the equal rows ``tie`` those
+    numbered up to ``tie_row``; and one row more, ``last`` numbered ``last_row``. ``shared``: whether
+    equal rows are told apart by their numbers.
 
-    ``slim``: (source, _size, _bucket, _pick), written."""
+    ``slim``: (source, _size, _bucket, _pick, _row), written."""
     by_bucket = stage(slim.groupBy("source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -101,31 +107,62 @@ def mixing_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     plan = targets.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = stage(plan.withColumns({"edge": F.coalesce("edge", F.lit(BUCKETS)), "before": F.coalesce("before", F.lit(0))}), "edges")
 
-    inside = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge", "before", "rest")).filter(F.col("_bucket") == F.col("edge"))
-    order = Window.partitionBy("source").orderBy("_pick")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("_size").over(order)).filter(F.col("upto") <= F.col("rest"))
-    cut = inside.groupBy(F.col("source").alias("s")).agg(F.max("_pick").alias("cut"), F.max("upto").alias("got"))
+    # in the bucket where the budget ends, equal rows are one group each before they are put in order
+    inside = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge")).filter(F.col("_bucket") == F.col("edge"))
+    inside = _with_plan(inside.groupBy("source", "_pick").agg(F.count("*").alias("rows")), plan.select("source", "before", "rest"))
+    words, order = F.col("_pick.size") * F.col("rows"), Window.partitionBy("source").orderBy("_pick")
+    inside = inside.withColumn("upto", F.col("before") + F.sum(words).over(order)).withColumn("over", F.col("upto") - words)
+    inside = stage(inside.filter(F.col("over") <= F.col("rest")), "inside")
+    cut = inside.filter(F.col("upto") <= F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.max("_pick").alias("cut"), F.max("upto").alias("got"))
+    some = F.floor((F.col("rest") - F.col("over")) / F.col("_pick.size")).cast("long")
+    tie = inside.filter((F.col("upto") > F.col("rest")) & (F.col("rows") > 1)).withColumn("some", some).filter("some > 0")
+    tie = _numbered(slim, tie.select("source", F.col("_pick").alias("tie"), "some", (F.col("some") * F.col("_pick.size")).alias("part")))
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = stage(plan.withColumn("gap", F.col("rest") - F.coalesce("got", "before")).drop("got", "before", "rest"), "cuts")
-
-    # what is missing up to the target goes to the one document left that comes nearest to it
-    left = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge", "cut", "gap")).filter(~_taken_once())
-    left = left.filter(F.abs(F.col("_size") - F.col("gap")) < F.col("gap"))
-    last = left.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("_size") - F.col("gap")).alias("off"), "_pick")).alias("last"))
-    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
-    return stage(plan.select("source", "source_size", "target", "whole", "edge", "cut", F.col("last._pick").alias("last")), "plan")
+    plan = plan.join(tie.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = plan.withColumn("gap", F.col("rest") - F.coalesce("got", "before") - F.coalesce("part", F.lit(0)))
+    plan = stage(plan.drop("got", "before", "rest", "part", "some"), "cuts")
+
+    # what is missing up to the target goes to the one row left that comes nearest to it
+    left = _with_plan(slim.filter(F.col("_size") > 0), plan.select("source", "edge", "cut", "tie", "tie_row", "gap")).filter(~_taken_once())
+    off = F.abs(F.col("_size") - F.col("gap"))
+    last = left.filter(off < F.col("gap")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "_pick", "_row")).alias("last"))
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = stage(plan.withColumn("last_row", F.col("last._row")).withColumn("last", F.col("last._pick")).drop("gap"), "lasts")
+    same = _with_plan(slim, plan.select("source", "last")).filter(F.col("_pick") == F.col("last")).groupBy(F.col("source").alias("s")).agg(F.count("*").alias("alike"))
+    plan = plan.join(same, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return stage(plan.withColumn("shared", F.col("tie").isNotNull() | (F.coalesce("alike", F.lit(0)) > 1)).drop("alike"), "plan")
+
+
+def _numbered(slim: DataFrame, tie: DataFrame) -> DataFrame:
+    """``tie`` (source, tie, some, part) with ``tie_row``: the number of the ``some``-th of its equal rows.
+
+    Numbers rise by the task that wrote the row, so counts by task say which task's rows hold it; only those are put in order."""
+    tie = stage(tie, "ties")
+    rows = _with_plan(slim, tie.select("source", "tie", "some")).filter(F.col("_pick") == F.col("tie")).select("source", "some", F.shiftright("_row", 33).alias("task"), "_row")
+    counts = rows.groupBy("source", "some", "task").agg(F.count("*").alias("n"))  # a row a source and task
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    holds = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("before") < F.col("some")) & (F.col("before") + F.col("n") >= F.col("some")))
+    holds = stage(holds.select(F.col("source").alias("s"), F.col("task").alias("t"), (F.col("some") - F.col("before")).alias("nth")), "holders")
+    mine = rows.join(F.broadcast(holds) if holds.count() <= BROADCAST_SOURCES else holds, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
+    mine = mine.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("_row"))).filter(F.col("i") == F.col("nth")).select("s", F.col("_row").alias("tie_row"))
+    return tie.join(mine, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def _taken_once() -> Column:
-    return (F.col("_bucket") < F.col("edge")) | ((F.col("_bucket") == F.col("edge")) & F.coalesce(F.col("_pick") <= F.col("cut"), F.lit(False)))
+    upto = (F.col("_bucket") == F.col("edge")) & F.coalesce(F.col("_pick") <= F.col("cut"), F.lit(False))
+    return (F.col("_bucket") < F.col("edge")) | upto | F.coalesce((F.col("_pick") == F.col("tie")) & (F.col("_row") <= F.col("tie_row")), F.lit(False))
 
 
-def mixed(keyed_docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``keyed_docs`` with source_size, target and ``epochs``, how often the mix takes the document."""
+def mixed(keyed_docs: DataFrame, plan: DataFrame, numbered: bool = True) -> DataFrame:
+    """``keyed_docs`` with source_size, target and ``epochs``, how often the mix takes the row. ``numbered``: whether their _row is that of the plan."""
     d = _with_plan(keyed_docs, plan)
-    once = _taken_once() | F.coalesce(F.col("_pick") == F.col("last"), F.lit(False))
+    last = (F.col("_pick") == F.col("last")) & ((F.col("_row") == F.col("last_row")) if numbered else F.lit(True))
+    once = _taken_once() | F.coalesce(last, F.lit(False))
     d = d.withColumn("epochs", F.when(F.col("_size") > 0, F.col("whole") + once.cast("long")).otherwise(0).cast("long"))
-    return d.drop("whole", "edge", "cut", "last")
+    return d.drop("whole", "edge", "cut", "tie", "tie_row", "last", "last_row", "shared")
+
+
+SLIM = ("source", "_size", "_bucket", "_pick", "_row")
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=prose_quality) -> DataFrame:
@@ -136,10 +173,15 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 
 
 def take(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix-1", quality=prose_quality) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as the mix takes it. Texts are not shuffled."""
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it. Texts are not shuffled; whole
+    rows are written once more only where equal rows must be told apart."""
     d = keyed(docs, seed, quality, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    plan = mixing_plan(stage(d.select("source", "_size", "_bucket", "_pick"), "keys"), weights, max_epochs)
-    d = mixed(d, plan).filter("epochs > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
+    plan = mixing_plan(stage(d.select(*SLIM), "keys"), weights, max_epochs)
+    shared = plan.filter("shared").limit(1).count() > 0
+    if shared:
+        d = stage(d, "rows")
+        plan = mixing_plan(d.select(*SLIM), weights, max_epochs)
+    d = mixed(d, plan, shared).filter("epochs > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
     return d.select("row.*")
 
 

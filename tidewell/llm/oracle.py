@@ -62,7 +62,7 @@ m AS (SELECT doc_id, word, i, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i
 k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY 1)
 SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
 
-OP10 = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS size, -ln((('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / greatest(0.05::DOUBLE, coalesce(length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 1.0)) AS key FROM documents),
+OP10 = f"""WITH d AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / greatest(0.05::DOUBLE, coalesce(length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))::DOUBLE / nullif(length(text), 0) * least(1.0::DOUBLE, length(text)::DOUBLE / nullif(size, 0) / 4, 10 / (length(text)::DOUBLE / nullif(size, 0))), 1.0)) AS key FROM (SELECT *, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1), a AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),
 b AS (SELECT *, ((SELECT sum(source_size) FROM a) - coalesce(sum(cap) OVER o, 0))::DOUBLE / ((SELECT sum(w) FROM a) - coalesce(sum(w) OVER o, 0)) AS level FROM a WINDOW o AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, cap <= level * w AS filled FROM b), u AS (SELECT source, source_size, CASE WHEN filled THEN cap::DOUBLE ELSE (SELECT arg_min(level, cap::DOUBLE / w) FROM t WHERE NOT filled) * w END AS target FROM t),
