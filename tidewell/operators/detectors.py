@@ -23,8 +23,35 @@ class Detector:
     name: str
     rung: str
     find: Callable[[DataFrame], DataFrame]
-    #: Whether a fix would have helped earlier runs, from the columns of an issue: passed, failed, pending or insufficient_history.
-    replay: Callable[[], Column] = lambda: F.when(F.col("hit_runs") >= 2, "passed").otherwise("insufficient_history")
+    #: Whether a fix would have helped earlier runs, from the columns of an issue: passed, failed, pending, not_applicable or
+    #: insufficient_history. None: ``default_replay`` of the rung.
+    replay: Callable[[], Column] | None = None
+
+
+#: Rungs whose fix could be replayed; a remedy that only informs has none.
+MEASURABLE = ("eliminate", "automate")
+#: Outcomes that confirm a merge, and what a replay by triggers must reach.
+CONFIRMED = ("clean", "landed", "corrected")
+REPLAY_RUNS, PREVENTED, FALSE_ALARMS = 2, 0.50, 0
+
+
+def default_replay(rung: str) -> str:
+    """Nothing passes without a replay of its own: one that is not written yet is pending."""
+    return "pending" if rung in MEASURABLE else "not_applicable"
+
+
+def trigger_replay(found: DataFrame, all_runs: DataFrame, roots: DataFrame, detector: str, least: int = REPLAY_RUNS, rate: float = PREVENTED, most_false: int = FALSE_ALARMS) -> DataFrame:
+    """(signature, replay, runs_evaluated, prevented, false_alarms) of a detector whose fix acts when a run is labeled as merged.
+
+    A logical run counts once for a signature, by its first hit (least run_id). ``roots``: (run_id, root), where a run is
+    missing it is its own root; ``all_runs``: (run_id, outcome, labeled_at)."""
+    h = found.filter(F.col("detector") == detector).select("run_id", "signature").join(all_runs.select("run_id", "outcome", "labeled_at"), "run_id")
+    h = h.join(roots.select("run_id", "root"), "run_id", "left").withColumn("root", F.coalesce("root", "run_id"))
+    trigger = F.col("labeled_at").isNotNull() & F.coalesce(F.col("outcome").isin(*CONFIRMED), F.lit(False))
+    one = h.groupBy("signature", "root").agg(F.min_by(trigger, "run_id").alias("trigger"))
+    g = one.groupBy("signature").agg(F.count("*").alias("runs_evaluated"), F.count_if("trigger").alias("prevented"), F.count_if(~F.col("trigger")).alias("false_alarms"))
+    good = (F.col("prevented") / F.col("runs_evaluated") >= rate) & (F.col("false_alarms") <= most_false)
+    return g.withColumn("replay", F.when(F.col("runs_evaluated") < least, "insufficient_history").when(good, "passed").otherwise("failed"))
 
 
 @dataclass(frozen=True)
@@ -71,7 +98,7 @@ def issues(detectors: list[Detector], found: DataFrame, all_runs: DataFrame, rec
     )
     g = g.join(all_runs.groupBy("project").agg(F.count("*").alias("runs")), "project")
     by_name = lambda of: functools.reduce(lambda w, d: w.when(F.col("detector") == d.name, of(d)), detectors, F)
-    g = g.withColumns({"rung": by_name(lambda d: F.lit(d.rung)).otherwise("inform"), "replay": by_name(lambda d: d.replay()).otherwise("pending"), "prevalence": F.col("hit_runs") / F.col("runs")})
+    g = g.withColumns({"rung": by_name(lambda d: F.lit(d.rung)).otherwise("inform"), "replay": by_name(lambda d: d.replay() if d.replay else F.lit(default_replay(d.rung))).otherwise("not_applicable"), "prevalence": F.col("hit_runs") / F.col("runs")})
     c = F.col
     g = g.withColumn("score", runs.issue_score(c("prevalence"), c("hit_runs"), c("rung"), runs.label_term(c("failures"), c("clean")), recency))
     return g.withColumn("decision", runs.decision(c("score"), c("rung"), c("replay"), c("failures"), c("clean"), c("runs")))

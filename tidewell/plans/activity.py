@@ -353,11 +353,11 @@ rb AS (SELECT run_id, trim(regexp_replace({_FCMD}, '\\s+', ' ', 'g')) AS signatu
 fd AS (SELECT run_id, 'repeated_build' AS detector, signature FROM rb UNION ALL SELECT run_id, 'harness_change_watch', signature FROM hc WHERE signature IS NOT NULL UNION ALL SELECT run_id, 'left_red', slug FROM wo WHERE class = 'left_red'),
 ru AS (SELECT run_id, 'p' || (run_id % 3) AS project, old_outcome AS outcome FROM lb), tt AS (SELECT project, count(*) AS runs FROM ru GROUP BY 1),
 gi AS (SELECT project, detector, signature, count(*) AS hit_runs, count(*) FILTER (run_id % 5 <> 0) AS new_hits, count(*) FILTER (outcome IN ('thrashed', 'abandoned', 'reverted')) AS failures, count(*) FILTER (outcome IN ('clean', 'landed', 'corrected')) AS clean FROM fd JOIN ru USING (run_id) GROUP BY 1, 2, 3),
-si AS (SELECT gi.*, runs, CASE detector WHEN 'repeated_build' THEN 'automate' WHEN 'left_red' THEN 'eliminate' ELSE 'inform' END AS rung, CASE WHEN hit_runs >= 2 THEN 'passed' ELSE 'insufficient_history' END AS replay FROM gi JOIN tt USING (project)),
+si AS (SELECT gi.*, runs, CASE detector WHEN 'repeated_build' THEN 'automate' WHEN 'left_red' THEN 'eliminate' ELSE 'inform' END AS rung, CASE WHEN detector IN ('repeated_build', 'left_red') THEN 'pending' ELSE 'not_applicable' END AS replay FROM gi JOIN tt USING (project)),
 sc AS (SELECT *, 0.35::DOUBLE * hit_runs / runs + 0.25::DOUBLE * least(1.0::DOUBLE, ln(1 + hit_runs::DOUBLE) / ln(21.0::DOUBLE)) + 0.25::DOUBLE * (CASE rung WHEN 'eliminate' THEN 1.0::DOUBLE WHEN 'automate' THEN 2.0::DOUBLE / 3 ELSE 1.0::DOUBLE / 3 END) + 0.08::DOUBLE * (CASE WHEN failures + clean = 0 THEN 0.0::DOUBLE ELSE 0.30::DOUBLE * (failures::DOUBLE / (failures + clean) - 0.5::DOUBLE) END) + 0.07::DOUBLE AS score FROM si)"""
 
 
-@query(f"""WITH {PASS} SELECT project, detector, signature, hit_runs, new_hits, failures, clean, rung, round(score, 6) AS score, CASE WHEN runs < 2 OR replay = 'insufficient_history' THEN 'needs_more_data' WHEN clean > failures AND clean >= 3 THEN 'suppressed' WHEN rung = 'inform' AND score >= 0.55 THEN 'propose_fix' WHEN rung <> 'inform' AND replay = 'passed' AND score >= 0.30 THEN 'propose_fix' ELSE 'monitor' END AS decision FROM sc""")
+@query(f"""WITH {PASS} SELECT project, detector, signature, hit_runs, new_hits, failures, clean, rung, round(score, 6) AS score, CASE WHEN runs < 2 OR replay = 'insufficient_history' THEN 'needs_more_data' WHEN replay = 'pending' THEN 'monitor' WHEN clean > failures AND clean >= 3 OR replay = 'failed' THEN 'suppressed' WHEN rung = 'inform' AND score >= 0.55 THEN 'propose_fix' WHEN rung <> 'inform' AND replay = 'passed' AND score >= 0.30 THEN 'propose_fix' ELSE 'monitor' END AS decision FROM sc""")
 def synthesis_pass(spark, sf_dir):
     """All detectors in order, their hits against those known, and the decision on every issue."""
     found = detectors.hits(DETECTORS, activity(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import channels, stats, text
 from tidewell.functions.timeutil import AS_OF, DAY, HOUR, MINUTE, micros
-from tidewell.operators import folds, joins, keys, sequences, sessions
+from tidewell.operators import folds, joins, jumps, keys, sequences, sessions
 from tidewell.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -311,7 +311,7 @@ UNION ALL SELECT r.event_type, r.i, CASE WHEN s.n >= 50 OR r.us - s.opened >= {D
 FROM s JOIN r ON r.event_type = s.event_type AND r.i = s.i + 1)
 SELECT event_type, win AS window, min(opened) AS opened, max(last) AS last, max(n) AS events FROM s GROUP BY 1, 2""")
 def count_or_time_windows(spark, sf_dir):
-    return folds.ordered_fold(events(spark, sf_dir), "event_type", ORDER, folds.count_or_time("us", 50, DAY))
+    return jumps.count_or_time(events(spark, sf_dir), "event_type", "us", ORDER, 50, DAY)
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, value::DOUBLE / 10 AS dev, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev WHERE event_type = 'error'),
@@ -342,10 +342,14 @@ def alert_latch(spark, sf_dir):
     return folds.ordered_fold(e, "user_id", ORDER, folds.alert_latch("us", "lag", spike=400, stall=2 * DAY))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS}, k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'build' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'revert' END AS kind FROM ev),
+b AS (SELECT *, min(CASE WHEN kind = 'build' THEN i END) OVER (o ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nb, min(CASE WHEN kind = 'fail' THEN i END) OVER (o ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS nf, min(CASE WHEN kind = 'revert' THEN i END) OVER (o ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS nr FROM k WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+c AS (SELECT e.user_id, e.i AS edit, b.i AS build, f.i AS fail, f.nr AS revert FROM b e JOIN b ON b.user_id = e.user_id AND b.i = e.nb JOIN b f ON f.user_id = b.user_id AND f.i = b.nf WHERE e.kind = 'edit' AND f.nr IS NOT NULL),
+n AS (SELECT *, (SELECT min(x.edit) FROM c x WHERE x.user_id = c.user_id AND x.edit > c.revert) AS nx FROM c), f AS (SELECT user_id, min(edit) AS edit FROM c GROUP BY 1),
+r AS (SELECT n.* FROM n JOIN f USING (user_id, edit) UNION ALL SELECT n.* FROM r JOIN n ON n.user_id = r.user_id AND n.edit = r.nx) SELECT user_id, edit, build, fail, revert FROM r""")
 def thrash_cycles(spark, sf_dir):
     k = F.when(kind("click"), "edit").when(kind("view"), "build").when(kind("error"), "fail").when(kind("signup"), "revert").otherwise("other")
-    return folds.ordered_fold(events(spark, sf_dir).withColumn("kind", k), "user_id", ORDER, folds.thrash_cycles("kind"))
+    return jumps.thrash_cycles(events(spark, sf_dir).withColumn("kind", k), "user_id", "kind", ORDER).drop("cycle")
 
 
 @query(f"WITH {SESSIONS} SELECT user_id, session, started, last, events, CASE WHEN ended THEN 'ended' WHEN session = max(session) OVER (PARTITION BY user_id) THEN 'open' ELSE 'idle_timeout' END AS close_reason FROM r")

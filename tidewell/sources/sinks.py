@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from tidewell.operators.keys import per_key
 
 
-def mirror(validated: DataFrame, table_path: str, dead_path: str) -> None:
-    """Appends valid events to a table partitioned by channel and the others to dead letters."""
+def mirror(validated: DataFrame, table_path: str, dead_path: str, batch: int | None = None) -> None:
+    """Valid events to a table partitioned by channel, the others to dead letters. ``batch``: see ``put``."""
     good = validated.filter(F.col("failure_reason").isNull())
-    good.write.mode("append").partitionBy("type").parquet(table_path)
-    dead_letters(validated.filter(F.col("failure_reason").isNotNull())).write.mode("append").parquet(dead_path)
+    put(good, table_path, batch, "type")
+    put(dead_letters(validated.filter(F.col("failure_reason").isNotNull())), dead_path, batch)
+
+
+def put(rows: DataFrame, path: str, batch: int | None = None, *partitions: str) -> None:
+    """Appends rows; or, with the number of a micro-batch, writes that batch's folder anew.
+
+    A batch that failed half-way is tried again with the same rows and number, so what its first attempt
+    wrote is replaced and every row is there once. Readers see the number as the column ``batch``."""
+    where = path if batch is None else f"{path}/batch={batch}"
+    rows.write.mode("append" if batch is None else "overwrite").partitionBy(*partitions).parquet(where)
 
 
 def dead_letters(failed: DataFrame, excerpt: int = 500) -> DataFrame:
@@ -24,9 +33,10 @@ def dead_letters(failed: DataFrame, excerpt: int = 500) -> DataFrame:
 
 
 def mirror_stream(validated: DataFrame, table_path: str, dead_path: str, checkpoint: str, within: str = "10 minutes"):
-    """The same as a stream: events of one id within the time are written once. Returns the writer, to be started."""
+    """The same as a stream: events of one id within the time are written once, also where a
+    batch fails and is tried again. Returns the writer, to be started."""
     once = validated.withWatermark("ts", within).dropDuplicatesWithinWatermark(["id"])
-    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(dispatch([(F.lit(True), lambda df: mirror(df, table_path, dead_path))]))
+    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(dispatch([(F.lit(True), lambda df, batch: mirror(df, table_path, dead_path, batch))]))
 
 
 def route(signals: DataFrame, tiers: list[tuple[str, Column]], default: str = "log") -> DataFrame:
@@ -35,14 +45,16 @@ def route(signals: DataFrame, tiers: list[tuple[str, Column]], default: str = "l
     return signals.withColumn("tier", tier)
 
 
-def dispatch(handlers: list[tuple[Column, Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands each handler the rows of its condition; an error fails the batch, which is then tried again."""
+def dispatch(handlers: list[tuple[Column, Callable[[DataFrame, int], None]]]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands each handler the rows of its condition and the batch's number.
+
+    An error fails the batch, which is then tried again with all its handlers: they write by the number (``put``)."""
 
-    def run(df: DataFrame, _: int) -> None:
+    def run(df: DataFrame, batch: int) -> None:
         df.persist()
         try:
             for condition, handler in handlers:
-                handler(df.filter(condition))
+                handler(df.filter(condition), batch)
         finally:
             df.unpersist()
 
