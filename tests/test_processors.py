@@ -167,3 +167,18 @@ def test_no_rows(spark):
     assert P.recorded_batch(spark.createDataFrame([], RUN_EVENT), 900, ["x"]).count() == 0
     odd = [(None, None, 5, None), ("bus.dead_letter", None, 6, "a"), ("bus.dead_letter", "no json", 7, "b"), ("x.integrity.warn", "[]", 8, "c")]
     assert len(changes(spark, odd, ["unknown"])) >= 2
+
+
+def test_late_rows_are_placed_or_counted(spark, tmp_path):
+    schema = "k string, at long"
+    rng = random.Random(3)
+    base = 1_000_000 * 60
+    parts = [[("a", base + rng.randrange(600)) for _ in range(50)], [("a", base + 7200 + rng.randrange(60)) for _ in range(5)] + [("b", base)], [("a", base + 3700 + i) for i in range(9)] + [("a", base + 5)] * 4]
+    land(spark, tmp_path / "in", parts, schema)
+    got = run(spark, P.ring_counts(stream(spark, tmp_path / "in", schema), "k"), "ring", tmp_path / "c", "update")
+    counts = {}
+    for key, record, bucket, n in got:
+        counts[(key, record, bucket)] = max(n, counts.get((key, record, bucket), 0))
+    assert counts[("a", "late", None)] == 4 and counts[("a", "bucket", (base + 7200) // 60)] == 5
+    assert sum(n for (k, r, b), n in counts.items() if k == "a" and r == "bucket" and (base + 3700) // 60 <= b <= (base + 3708) // 60) == 9  # late, but in the ring
+    assert sum(n for (k, r, _), n in counts.items() if k == "a") == 68 and counts[("b", "bucket", base // 60)] == 1

@@ -403,3 +403,51 @@ def stored_baselines(spark: SparkSession, checkpoint: str, key: str) -> DataFram
     found = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "baseline").load()
     value = "value.value.*" if "ttlExpirationMs" in found.schema["value"].dataType.names else "value.*"
     return found.select(F.col(f"key.{key}").alias(key), value)
+
+
+# --- rings that count late rows ---------------------------------------------------------------
+
+RING = "record string, bucket long, n long"
+
+
+class RingCounts(StatefulProcessor):
+    """Counts of the newest ``size`` buckets of a key. A late row counts in its own bucket while the ring holds it; what comes
+    later still is counted as ``late``, so no row is lost without a number. No watermark drops rows before."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", _fields(bucket=LONG, late=LONG))
+        self.ring = handle.getMapState("ring", _fields(slot=LONG), _fields(bucket=LONG, n=LONG))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts: dict[int, int] = {}
+        for b in rows:
+            for bucket, n in b.groupby("bucket").size().items():
+                counts[int(bucket)] = counts.get(int(bucket), 0) + int(n)
+        newest, late = map(int, self.newest.get()) if self.newest.exists() else (min(counts), 0)
+        out, before = [], late
+        newest = max(newest, *counts) if counts else newest
+        for bucket, n in sorted(counts.items()):
+            if bucket <= newest - self.size:
+                late += n
+                continue
+            slot = (bucket % self.size,)
+            held = self.ring.getValue(slot)  # of another bucket: one that has left the ring
+            n += int(held[1]) if held and int(held[0]) == bucket else 0
+            self.ring.updateValue(slot, (bucket, n))
+            out.append((key[0], "bucket", bucket, n))
+        self.newest.update((newest, late))
+        if late != before:
+            out.append((key[0], "late", None, late))
+        yield pd.DataFrame.from_records(out, columns=["key", *_names(RING)]).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
+def ring_counts(stream: DataFrame, key: str, seconds: int = 60, size: int = 60) -> DataFrame:
+    """(key, record, bucket, n) of (key, at in seconds) rows, in update mode: the counts that changed, and how many rows of the key came too late for its ring."""
+    d = stream.select(F.col(key).cast("string").alias("key"), F.floor(F.col("at") / seconds).cast("long").alias("bucket"))
+    return d.groupBy("key").transformWithStateInPandas(RingCounts(size), f"key string, {RING}", "update", "none")
