@@ -8,6 +8,7 @@ from tidewell.functions.timeutil import DAY
 from tidewell.operators import alerts, moments, patterns
 from tidewell.plans.events import EVENTS, GAP, events, kind
 from tidewell.runtime import table
+from tidewell.sources import schema_checks
 from tidewell.streaming import processors
 
 QUERIES, ORACLE = {}, {}
@@ -109,3 +110,26 @@ def alert_status_changes(spark, sf_dir):
     return alerts.alert_changes(alerts.alert_facts(e.select(name.alias("type"), stage.alias("data"), F.floor(F.col("us") / 1_000_000).cast("long").alias("at")), []))
 
 
+
+
+#: Of types "click" and "error"; a purchase's schema has a rule that nobody knows, other types have none.
+SCHEMAS = {
+    "click": {"type": "object", "required": ["value", "who"], "additionalProperties": False, "properties": {"value": {"type": "number", "minimum": 5, "maximum": 90}, "who": {"oneOf": [{"type": "integer", "minimum": 20}, {"type": "null"}]}, "tags": {"type": "array", "items": {"enum": ["a", "b"]}}}},
+    "error": {"if": {"properties": {"value": {"minimum": 50}}}, "then": {"required": ["reason"]}, "else": {"not": {"required": ["reason"]}}},
+    "purchase": {"shape": "round"},
+}
+
+
+@query(f"""WITH {EVENTS}, x AS (SELECT event_id, event_type, value::DOUBLE AS v, CASE WHEN event_id % 5 > 0 THEN user_id END AS who, event_id % 7 = 0 AS extra, event_id % 11 = 0 AS odd, event_id % 3 = 0 AS reason, event_id % 13 = 0 AS cut FROM ev),
+r AS (SELECT event_id, event_type, cut, CASE event_type WHEN 'click' THEN CASE WHEN v < 5 THEN 'value: minimum' WHEN v > 90 THEN 'value: maximum' WHEN who < 20 THEN 'who: oneOf' WHEN odd THEN 'tags[]: not allowed' WHEN extra THEN 'extra: additionalProperties' END
+WHEN 'error' THEN CASE WHEN v >= 50 AND NOT reason THEN 'reason: required' WHEN v < 50 AND reason THEN 'value: not' END END AS rule FROM x)
+SELECT event_id, CASE WHEN cut THEN 'parse_error' WHEN event_type = 'purchase' THEN 'error' WHEN event_type NOT IN ('click', 'error') THEN 'skipped' WHEN rule IS NULL THEN 'ok' ELSE 'violation' END AS outcome, CASE WHEN cut THEN NULL WHEN event_type = 'purchase' THEN 'shape' ELSE rule END AS detail FROM r""")
+def schema_outcomes(spark, sf_dir):
+    """The five ends of a check of every event's envelope, parsed once."""
+    e, i = events(spark, sf_dir), F.col("event_id")
+    json_of = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(c.cast("string"))
+    tags = F.when(i % 11 == 0, ', "tags": ["a", "c"]').otherwise(', "tags": ["b"]')
+    more = F.concat(F.when(kind("click") & (i % 7 == 0), ', "extra": 1').otherwise(""), F.when(kind("error") & (i % 3 == 0), ', "reason": "r"').otherwise(""))
+    raw = F.concat(F.lit('{"data": {"value": '), F.col("value").cast("string"), F.lit(', "who": '), json_of(F.when(i % 5 > 0, F.col("user_id"))), tags, more, F.when(i % 13 == 0, "").otherwise("}}"))
+    o = schema_checks.outcome(SCHEMAS, F.col("event_type"), raw, lambda s: False)
+    return e.select("event_id", o.alias("o")).select("event_id", "o.*")

@@ -271,11 +271,11 @@ def channel_triggers(spark, sf_dir):
     return events(spark, sf_dir).select(channel.alias("channel")).distinct().select("channel", t["count"].alias("count_trigger"), t["seconds"].alias("seconds"))
 
 
-@query(f"""WITH {EVENTS}, o AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY us, event_id) AS seq FROM ev) SELECT user_id % 50 AS pool, event_id, seq FROM o WHERE user_id % 50 < 10""")
+@query(f"""WITH {EVENTS}, o AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY us, event_id) AS seq FROM ev) SELECT user_id % 50 AS pool, event_id, seq FROM o""")
 def session_pool(spark, sf_dir):
     """Events of all runs of a session in one order, numbered anew."""
     w = Window.partitionBy("pool").orderBy("us", "event_id")
-    e = events(spark, sf_dir).withColumn("pool", F.col("user_id") % 50).filter(F.col("pool") < 10)
+    e = events(spark, sf_dir).withColumn("pool", F.col("user_id") % 50)
     return e.select("pool", "event_id", F.row_number().over(w).cast("long").alias("seq"))
 
 

@@ -46,14 +46,14 @@ def prompt_texts(spark, sf_dir):
 
 @query(f"WITH {RECORD} SELECT conv_id, turn, 'command' AS kind, md5(command) AS digest FROM rc WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'text', md5(text) FROM rc WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'result', md5(result) FROM rc WHERE turn % 2 = 0 AND (conv_id + turn) % 4 <> 0")
 def transcript_blobs(spark, sf_dir):
-    r = records(spark, sf_dir).filter(F.col("turn") % 2 == 0)
+    r = records(spark, sf_dir)  # contents that are plain texts have no parts
     return r.select("conv_id", "turn", F.inline(transcripts.blobs(F.col("content")))).select("conv_id", "turn", "kind", F.md5("text").alias("digest"))
 
 
 @query(f"""WITH {RECORD}, m AS (SELECT conv_id, turn, 'commit' AS kind, unnest(regexp_extract_all(command, '(?is)git commit[^\\n]*?-m\\s*["''](.+?)["'']', 1)) AS message FROM rc WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'task', unnest(regexp_extract_all(command, '(?is)bd (?:close|update)\\s+\\S+[^\\n]*?--(?:reason|notes)=["''](.+?)["'']', 1)) FROM rc WHERE turn % 2 = 0)
 SELECT * FROM m WHERE regexp_matches(message, '(?i)\\b(fix|fixed|harden|resolve|reclaim|drain|serial|mitigat|workaround|patch)\\w*')""")
 def remediations(spark, sf_dir):
-    r = records(spark, sf_dir).filter(F.col("turn") % 2 == 0).select("conv_id", "turn", F.inline(transcripts.blobs(F.col("content")))).filter("kind = 'command'")
+    r = records(spark, sf_dir).select("conv_id", "turn", F.inline(transcripts.blobs(F.col("content")))).filter("kind = 'command'")
     return r.select("conv_id", "turn", F.inline(transcripts.remedies(F.col("text"))))
 
 
@@ -61,7 +61,7 @@ def remediations(spark, sf_dir):
 def struggle_classes(spark, sf_dir):
     """Records by classes of struggles; a cheap look for their words comes before any JSON is parsed."""
     classes = {"build_lock": r"\block", "queue_full": r"\bqueue"}
-    r = records(spark, sf_dir).filter((F.col("turn") % 2 == 0) & (F.contains("content", F.lit("lock")) | F.contains("content", F.lit("queue"))))
+    r = records(spark, sf_dir).filter(F.contains("content", F.lit("lock")) | F.contains("content", F.lit("queue")))
     b = r.select("conv_id", "turn", F.inline(transcripts.blobs(F.col("content")))).filter("kind = 'command'")
     hit = F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(rule), name) for name, rule in classes.items()])))
     h = b.select("conv_id", "turn", hit.alias("class"))

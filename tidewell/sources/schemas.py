@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.runtime import let
+from tidewell.sources import schema_checks
+
 _SIMPLE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
 
 
@@ -30,28 +33,6 @@ def spark_type(schema: dict) -> T.DataType:
     return _SIMPLE.get(kinds[0], T.StringType())
 
 
-def _violations(schema: dict, value: Column, raw: Column, path: str) -> list[Column]:
-    """A column per rule that gives its message where it is broken, else null. ``raw``: the value's JSON, to tell absent from null."""
-    out = []
-    props = schema.get("properties") or {}
-    for name in schema.get("required") or []:
-        out.append(F.when(F.get_json_object(raw, f"$.{name}").isNull(), f"{path}{name}: required"))
-    for name, s in props.items():
-        v, at = value[name], f"{path}{name}"
-        if "enum" in s or "const" in s:
-            allowed = [x for x in s.get("enum", [s.get("const")]) if x is not None]
-            out.append(F.when(v.isNotNull() & ~v.cast("string").isin(*[str(x).lower() if isinstance(x, bool) else str(x) for x in allowed]), f"{at}: not allowed"))
-        for key, bad in (("minimum", lambda x: v < x), ("maximum", lambda x: v > x), ("exclusiveMinimum", lambda x: v <= x), ("exclusiveMaximum", lambda x: v >= x), ("minLength", lambda x: F.length(v) < x), ("maxLength", lambda x: F.length(v) > x), ("minItems", lambda x: F.size(v) < x), ("maxItems", lambda x: F.size(v) > x), ("pattern", lambda x: ~v.rlike(x))):
-            if key in s:
-                out.append(F.when(F.coalesce(bad(s[key]), F.lit(False)), f"{at}: {key}"))
-        if isinstance(spark_type(s), (T.LongType, T.DoubleType, T.BooleanType)):
-            there = F.get_json_object(raw, f"$.{name}")
-            out.append(F.when(there.isNotNull() & v.isNull(), f"{at}: type"))
-        if s.get("properties"):
-            out += _violations(s, v, F.get_json_object(raw, f"$.{name}"), f"{at}.")
-    return out
-
-
 @dataclass
 class SchemaRegistry:
     """Schemas by channel name, from folders of which later ones win; channels without a schema pass."""
@@ -81,15 +62,23 @@ class SchemaRegistry:
         return d.select("id", "source", "ts", F.col("_d.data.*" if self.whole_envelope(channel) else "_d.*"))
 
     def violation(self) -> Column:
-        """The first rule that an envelope breaks, or null; null too for channels without a schema."""
+        """The first rule that an envelope breaks, or null; null too for channels without a schema, or with one that can't be compiled.
+
+        An envelope is parsed once, by its own channel's branch; missing data count as an empty object."""
 
         def first(channel: str) -> Column:
-            subject = F.col("raw") if self.whole_envelope(channel) else F.col("data")
-            rules = _violations(self.schemas[channel], F.from_json(subject, self.struct(channel)), subject, "")
-            return F.coalesce(*rules) if rules else F.lit(None).cast("string")
+            subject = F.col("raw") if self.whole_envelope(channel) else F.coalesce("data", F.lit("{}"))
+            try:
+                return let(F.try_parse_json(subject), lambda v: schema_checks.violation(self.schemas[channel], v))
+            except schema_checks.UnknownRule:
+                return F.lit(None).cast("string")
 
         return functools.reduce(lambda w, c: w.when(F.col("type") == c, first(c)), sorted(self.schemas), F.when(F.lit(False), F.lit(None).cast("string")))
 
+    def outcome(self) -> Column:
+        """(outcome, detail) of an envelope's ``raw`` text: one of ``schema_checks.OUTCOMES``."""
+        return schema_checks.outcome(self.schemas, F.col("type"), F.col("raw"), lambda s: "specversion" in (s.get("required") or []))
+
     def known(self) -> Column:
         return F.col("type").isin(*sorted(self.schemas)) if self.schemas else F.lit(False)
 
