@@ -182,3 +182,38 @@ def test_late_rows_are_placed_or_counted(spark, tmp_path):
     assert counts[("a", "late", None)] == 4 and counts[("a", "bucket", (base + 7200) // 60)] == 5
     assert sum(n for (k, r, b), n in counts.items() if k == "a" and r == "bucket" and (base + 3700) // 60 <= b <= (base + 3708) // 60) == 9  # late, but in the ring
     assert sum(n for (k, r, _), n in counts.items() if k == "a") == 68 and counts[("b", "bucket", base // 60)] == 1
+
+
+def board_events():
+    e = lambda at, channel, **data: (f"lab.{channel}.v1", json.dumps({"session_id": "s"} | data), at, f"{at:06d}")
+    return [
+        e(1, "iteration", iteration=0, status="start"), e(2, "phase", phase="eval", status="start"), e(3, "case.result", iteration=0, case_id="c1", verdict="OK", latency_ms=10), e(4, "case.result", iteration=0, case_id="c1", verdict="OK", latency_ms=99),
+        e(5, "case.result", iteration=0, case_id="c2", verdict="ce", latency_ms="slow", generated_code="int main"), e(6, "sandbox", case_id="c2", status="complete", verdict="CE", exit_code=1), e(7, "phase", phase="eval", status="done"),
+        e(8, "iteration", iteration=0, status="complete", aggregate_score=0.25, verdict_counts={"OK": 1}), e(9, "iteration.summary", iteration=0, num_cases=30), e(10, "improver", status="start", model="m", prompt_tokens=100), e(11, "improver", status="done", completion_tokens=7),
+        e(12, "improver.prediction", iteration=0, confidence=0.8, predicted_score_delta=0.1), e(13, "iteration", iteration=1, status="start"), e(14, "improver.prediction.refuted_live", iteration=1, refutation_reason="worse"), e(15, "improver.prediction.verified", iteration=5, outcome_label="Confirmed", predicted={"confidence": "x"}),
+        e(16, "failure_pattern", verdict="CE", prefix="int", sample_count=3), e(17, "failure_pattern", verdict="CE", sample_count=0), e(18, "improver.delta.diff", iteration=1, no_change=True), e(19, "improver.divergence", iteration=1, divergent=True, divergence_summary="x"), e(20, "improver.reasoning", parse_status="fallback", iteration=1),
+        *[e(20 + i, "sandbox.stderr", verdict="RE", case_id=f"c{i}") for i in range(1, 8)], e(30, "iteration", iteration=1, status="complete", aggregate_score=0.5), e(31, "unknown.thing"), ("lab.case.result.v1", json.dumps({"case_id": "x", "verdict": "WA", "iteration": 2}), 32, "z"), ("lab.phase.v1", "no json", 33, "y"), ("other", None, 34, "w"),
+    ]
+
+
+def test_board_by_hand_and_as_a_stream(spark, tmp_path):
+    from tidewell.operators import boards
+
+    rows = board_events()
+    batch = {(r.session, r.part): r.facts for r in boards.boards(boards.routed(spark.createDataFrame(rows, EVENT), "lab.")).collect()}
+    part = lambda p, s="s": json.loads(batch[(s, p)])
+    first = part("iteration/0")
+    assert (first["done"], first["latencies"], first["live"], first["score"], first["expected"], first["phases"]) == (["c1", "c2"], [10.0], {"OK": 1, "ce": 1}, 0.25, 30, {})
+    assert first["sandbox"] == {"c2": {"verdict": "CE", "latency_ms": None, "exit_code": 1}} and first["improver"]["completion_tokens"] == 7
+    assert part("iteration/1")["before"] == 0.25 and part("iteration/1")["expected"] == 30
+    assert part("prediction/0")["status"] == "refuted_live" and part("prediction/4") | {"changes": 0} == {"iteration": 4, "confidence": 0.0, "delta": 0.0, "changes": 0, "status": "confirmed", "at": 15, "actual_score_delta": 0.0, "score_delta_error": 0.0, "verdict_match_ratio": 0.0, "confidence_calibration": 0.0}
+    assert [x["case"] for x in part("ring/stderr")["newest"]] == [f"c{i}" for i in range(3, 8)] and part("ribbon")["kind"] == "divergence"
+    s = part("session")
+    assert (s["scores"], s["prompt_tokens"], s["completion_tokens"], s["parse_status"], s["latest"]) == ([0.25, 0.5], 100, 7, "fallback", 1)
+    assert part("pattern/CE/int")["samples"] == 3 and part("iteration/2", "?")["live"] == {"WA": 1} and len(boards.HANDLERS) == 14
+    land(spark, tmp_path / "in", [rows[:6], rows[6:15], rows[15:]], EVENT)
+    got = run(spark, P.board_stream(boards.routed(stream(spark, tmp_path / "in", EVENT), "lab.")), "boards", tmp_path / "c", "update")
+    last = {}
+    for session, p, facts in got:  # the memory sink keeps the order of micro-batches
+        last[(session, p)] = facts
+    assert last == batch

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.timeutil import DAY
-from tidewell.operators import alerts, moments, patterns
+from tidewell.operators import alerts, boards, moments, patterns
 from tidewell.plans.events import EVENTS, GAP, events, kind
 from tidewell.runtime import table
 from tidewell.sources import schema_checks
@@ -133,3 +133,18 @@ def schema_outcomes(spark, sf_dir):
     raw = F.concat(F.lit('{"data": {"value": '), F.col("value").cast("string"), F.lit(', "who": '), json_of(F.when(i % 5 > 0, F.col("user_id"))), tags, more, F.when(i % 13 == 0, "").otherwise("}}"))
     o = schema_checks.outcome(SCHEMAS, F.col("event_type"), raw, lambda s: False)
     return e.select("event_id", o.alias("o")).select("event_id", "o.*")
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT (user_id % 30)::VARCHAR AS session, user_id % 3 AS iteration, event_id % 40 AS cs, CASE event_type WHEN 'error' THEN 'CE' WHEN 'click' THEN 'OK' ELSE 'WA' END AS verdict, us // 1000000 AS sec, lpad(event_id::VARCHAR, 12, '0') AS id FROM ev),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY session, iteration, cs ORDER BY sec, id) = 1)
+SELECT session, iteration::BIGINT AS iteration, count(*) AS done, count(*) FILTER (verdict = 'OK') AS ok, count(*) FILTER (verdict = 'CE') AS ce FROM f GROUP BY 1, 2""")
+def session_boards(spark, sf_dir):
+    """Cases done and verdicts of every iteration of a session, by the board's reducer; a case counts once."""
+    e = events(spark, sf_dir)
+    verdict = F.when(kind("error"), "CE").when(kind("click"), "OK").otherwise("WA")
+    data = F.to_json(F.struct((F.col("user_id") % 30).cast("string").alias("session_id"), (F.col("user_id") % 3).alias("iteration"), (F.col("event_id") % 40).cast("string").alias("case_id"), verdict.alias("verdict")))
+    of = e.select(F.lit("lab.case.result.v1").alias("type"), data.alias("data"), F.floor(F.col("us") / 1_000_000).cast("long").alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"))
+    b = boards.boards(boards.routed(of, "lab.")).filter("part LIKE 'iteration/%'")
+    facts = F.from_json("facts", "iteration long, done array<string>, live map<string,long>")
+    count = lambda v: F.coalesce(F.col("f.live")[v], F.lit(0))
+    return b.select("session", facts.alias("f")).select("session", "f.iteration", F.size("f.done").cast("long").alias("done"), count("OK").alias("ok"), count("CE").alias("ce"))

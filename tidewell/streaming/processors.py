@@ -9,7 +9,7 @@ silent key comes to its end without a further event.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
-from tidewell.operators import alerts
+from tidewell.operators import alerts, boards
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -451,3 +451,63 @@ def ring_counts(stream: DataFrame, key: str, seconds: int = 60, size: int = 60)
     """(key, record, bucket, n) of (key, at in seconds) rows, in update mode: the counts that changed, and how many rows of the key came too late for its ring."""
     d = stream.select(F.col(key).cast("string").alias("key"), F.floor(F.col("at") / seconds).cast("long").alias("bucket"))
     return d.groupBy("key").transformWithStateInPandas(RingCounts(size), f"key string, {RING}", "update", "none")
+
+
+# --- boards of sessions -----------------------------------------------------------------------
+
+
+class _StoredParts(MutableMapping):
+    """A session's parts in a map state: read when asked for, written back once if they changed."""
+
+    def __init__(self, state):
+        self.state, self.held, self.was = state, {}, {}
+
+    def __getitem__(self, part: str) -> dict:
+        if part not in self.held:
+            found = self.state.getValue((part,)) if self.state.containsKey((part,)) else None
+            if found is None:
+                raise KeyError(part)
+            self.was[part] = found[0]
+            self.held[part] = json.loads(found[0])
+        return self.held[part]
+
+    def __setitem__(self, part: str, facts: dict) -> None:
+        self.held[part] = facts
+
+    def __delitem__(self, part: str) -> None:
+        raise NotImplementedError("parts stay")
+
+    def __iter__(self):
+        stored = [p for (p,) in self.state.keys()]  # noqa: SIM118
+        return iter(dict.fromkeys([*stored, *self.held]))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def changed(self) -> list[tuple[str, str]]:
+        out = []
+        for part, facts in self.held.items():
+            text = json.dumps(facts, sort_keys=True)
+            if text != self.was.get(part):
+                self.state.updateValue((part,), (text,))
+                out.append((part, text))
+        return out
+
+
+class Boards(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("parts", _fields(part=TEXT), _fields(facts=TEXT))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = _StoredParts(self.parts)
+        for channel, data, at in _sorted(rows, ["at", "id"])[["channel", "data", "at"]].itertuples(index=False, name=None):
+            boards.apply(parts, channel, data, int(at))
+        yield _frame([(key[0], *c) for c in parts.changed()], boards.PARTS)
+
+    def close(self) -> None:
+        pass
+
+
+def board_stream(routed_events: DataFrame) -> DataFrame:
+    """(session, part, facts) of each part that a micro-batch changed, in update mode."""
+    return routed_events.groupBy("session").transformWithStateInPandas(Boards(), boards.PARTS, "update", "none")
