@@ -82,3 +82,28 @@ def test_replays_by_rung_and_by_trigger(spark):
     roots = spark.createDataFrame([(f"twice{k}", "twice0") for k in range(3)], "run_id string, root string")
     got = {r.signature: (r.replay, r.runs_evaluated) for r in detectors.trigger_replay(found, runs, roots, "leak").collect()}
     assert got == {"good": ("passed", 3), "mixed": ("failed", 4), "few": ("insufficient_history", 1), "twice": ("passed", 2)}
+
+
+def test_slow_builds_by_hand(spark):
+    from tidewell.operators import rebuilds
+
+    tree, home = "/x/projects/p/.claude/worktrees/agent-1", "/x/projects/p"
+    e = lambda run, i, at, command, cwd=tree, project="p", closed=True: (run, i, at * 1_000_000, command, cwd, project, closed)
+    rows = [
+        e("a", 1, 0, "cargo build -p core"), e("a", 2, 10, "ls"), e("a", 3, 20, "cargo build -p core"), e("a", 4, 55, "cargo build"), e("a", 5, 65, "ls"), e("a", 6, 100, "cargo test --package core"),
+        e("b", 1, 0, "cargo build -p core"), e("b", 2, 61, "ls"), e("c", 1, 0, "cargo build -p core", home), e("c", 2, 900, "ls"), e("d", 1, 0, "cargo build -p core", closed=False), e("d", 2, 900, "ls", closed=False),
+        e("e", 1, 0, "cargo build -p solo", project="q"), e("e", 2, 59, "ls", project="q"), e("f", 1, 50, "cargo build -p core"), e("f", 2, 40, "ls"),
+    ]
+    d = spark.createDataFrame(rows, "run_id string, i long, us long, command string, cwd string, project string, closed boolean")
+    got = {(r.project, r.crate): (r.slow_builds, r.runs, r.max_gap, r.baseline) for r in rebuilds.slow_builds(rebuilds.observations(d, F.col("command"), ["i"])).collect()}
+    # gaps of p: 10, 35, 10, 61; median 22.5: only 61 is above the floor, and none above 67.5
+    assert got == {("p", "core"): (1, 1, 61.0, 22.5)}
+
+
+def test_waves_by_time_or_sequence(spark):
+    from tidewell.operators import sessions
+
+    rows = [("k", 1, 0), ("k", 2, 90), ("k", 3, 181), ("k", 5, None), ("k", 14, None), ("k", 15, 271), ("k", 16, 400), ("n", 1, None), ("n", 9, None), ("n", 18, None)]
+    d = spark.createDataFrame(rows, "k string, seq long, t long")
+    got = [(r.k, r.seq, r.wave) for r in sessions.waves(d, "k", "seq", "t", 90).orderBy("k", "seq").collect()]
+    assert got == [("k", 1, 1), ("k", 2, 1), ("k", 3, 2), ("k", 5, 2), ("k", 14, 3), ("k", 15, 3), ("k", 16, 4), ("n", 1, 1), ("n", 9, 1), ("n", 18, 2)]

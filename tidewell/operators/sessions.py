@@ -47,6 +47,17 @@ def cohorts(events: DataFrame, key: str, time: str, tie: str, window: int, newes
     return events.withColumn("cohort", F.sum(far.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
+def waves(events: DataFrame, key: str, seq: str, time: str, window: int, jump: int = 8) -> DataFrame:
+    """``events`` with ``wave`` (from 1) in order of ``seq``: a new one where the time lies more than ``window`` behind the last known
+    one; where either is missing, where ``seq`` has grown by more than ``jump``."""
+    w = Window.partitionBy(key).orderBy(seq)
+    known = F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.lag(seq).over(w)
+    by_time = F.col(time).isNotNull() & known.isNotNull()
+    new = F.when(before.isNull(), True).when(by_time, F.col(time) - known > window).otherwise(F.col(seq) - before > jump)
+    return events.withColumn("_new", new.cast("int")).withColumn("wave", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
 def bucket_counts(events: DataFrame, key: str, time: str, bucket: int, last: int, as_of: int) -> DataFrame:
     """Counts of each key in the ``last`` buckets before ``as_of``, zero where there is no event."""
     start = as_of - last * bucket

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import commands as C
 from tidewell.functions.timeutil import DAY, HOUR
-from tidewell.operators import agents, detectors
+from tidewell.operators import agents, detectors, rebuilds
 from tidewell.plans.events import EVENTS, events
 from tidewell.runtime import table
 
@@ -323,6 +323,17 @@ def repeated_builds(spark, sf_dir):
     return agents.repeated_builds(activity(spark, sf_dir))
 
 
+@query(f"""WITH {ACT}, g AS (SELECT run_id, cwd, tool, coalesce(nullif(regexp_extract(coalesce(cwd, ''), '/projects/([^/]+)', 1), ''), '(unknown)') AS project, {_FCMD} AS command, (lead(us) OVER (PARTITION BY run_id ORDER BY us, event_id) - us) / 1e6::DOUBLE AS gap FROM act WHERE run_id % 9 > 0),
+o AS (SELECT run_id, project, coalesce(nullif(regexp_extract(command, '(?:-p|--package)\\s+(\\S+)', 1), ''), 'workspace') AS crate, gap FROM g WHERE {_w('command', C.CARGO_WORDS)} AND {_w('cwd', ('/.claude/worktrees/', '/.worktrees/'))} AND gap >= 0),
+m AS (SELECT project, CASE WHEN count(*) > 1 THEN median(gap) ELSE 0.0 END AS baseline FROM o GROUP BY 1)
+SELECT project, crate, count(*) AS slow_builds, count(DISTINCT run_id) AS runs, round(max(gap), 3) AS max_gap, round(any_value(baseline), 3) AS baseline FROM o JOIN m USING (project) WHERE gap > {6 * 86400} OR (baseline > 0 AND gap > baseline * 3) GROUP BY 1, 2""")
+def slow_rebuilds(spark, sf_dir):
+    """Findings of slow builds in worktrees; these events lie hours apart, so the floor is six days. Each ninth run is still open."""
+    e = activity(spark, sf_dir).withColumns({"project": C.project_of_folder(F.col("cwd")), "closed": F.col("run_id") % 9 > 0})
+    found = rebuilds.slow_builds(rebuilds.observations(e, agents.json_command(), ["us", "event_id"]), 6 * 86400)
+    return found.withColumns({"max_gap": F.round("max_gap", 3), "baseline": F.round("baseline", 3)})
+
+
 @query(f"""WITH {LABELS}, k AS (SELECT DISTINCT run_id, {_SLUG} AS slug FROM act), r AS (SELECT * FROM k JOIN ap USING (run_id) WHERE slug IS NOT NULL AND old_outcome IN ('landed', 'clean')) SELECT slug, string_agg(run_id::VARCHAR, '|' ORDER BY run_id) AS run_ids, string_agg(old_outcome, '|' ORDER BY run_id) AS outcomes FROM r GROUP BY 1""")
 def worktree_groups(spark, sf_dir):
     """Labeled runs with a final outcome that used each worktree: candidates for a worktree left behind."""

@@ -217,6 +217,16 @@ def dispatch_cohorts(spark, sf_dir):
     return sessions.cohorts(events(spark, sf_dir), "user_id", "us", "event_id", 8 * HOUR).select("event_id", "cohort")
 
 
+@query(f"""WITH {EVENTS}, e AS (SELECT event_id, user_id, 40 * row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) + 10 * (event_id % 3) AS seq, CASE WHEN event_id % 4 > 0 THEN us END AS us FROM ev),
+n AS (SELECT *, last_value(us IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS p FROM e),
+c AS (SELECT *, CASE WHEN p IS NULL THEN 1 WHEN us IS NOT NULL AND known IS NOT NULL THEN (us - known > {8 * HOUR})::INT ELSE (seq - p > 45)::INT END AS cut FROM n) SELECT event_id, sum(cut) OVER (PARTITION BY user_id ORDER BY seq)::BIGINT AS wave FROM c""")
+def dispatch_waves(spark, sf_dir):
+    """Cohorts by time where it is known, else by jumps of the sequence; every fourth event has no time."""
+    n = F.row_number().over(sessions.ordered("user_id", *ORDER))
+    e = events(spark, sf_dir).withColumn("seq", (40 * n + 10 * (F.col("event_id") % 3)).cast("long")).withColumn("us", F.when(F.col("event_id") % 4 > 0, F.col("us")))
+    return sessions.waves(e, "user_id", "seq", "us", 8 * HOUR, 45).select("event_id", "wave")
+
+
 @query(f"""WITH {EVENTS}, e AS (SELECT * FROM ev WHERE event_type = 'error'), c AS (SELECT event_id, user_id, CASE WHEN lag(us) OVER w - us <= {DAY} THEN 0 ELSE 1 END AS cut, us FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us DESC, event_id DESC))
 SELECT event_id, sum(cut) OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC)::BIGINT AS cohort FROM c""")
 def annotation_clusters(spark, sf_dir):
