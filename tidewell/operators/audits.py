@@ -63,7 +63,17 @@ def changed_evaluations(evaluations: DataFrame, key: str, order: list[str], fact
 
 
 def overlapping(fields: DataFrame, name: str, field: str, least: int) -> DataFrame:
-    """(a, b, shared): names that share ``least`` fields or more, by an equality join on the fields."""
-    f = fields.select(name, field).distinct()
-    a, b = f.select(F.col(name).alias("a"), field), f.select(F.col(name).alias("b"), field)
-    return a.join(b, field).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    """(a, b, shared): names that share ``least`` fields or more.
+
+    Fields are put in order, rare ones first. Two names that share ``least`` fields share one among the first
+    n - least + 1 of each, so only these prefixes meet, and fields that most names have hardly ever do."""
+    f = fields.filter(F.col(name).isNotNull() & F.col(field).isNotNull()).select(F.col(name).alias("n"), F.col(field).alias("f")).distinct()
+    often = f.groupBy("f").agg(F.count("*").alias("names"))
+    sets = f.join(often, "f").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("names", "f"))).alias("s")).filter(F.size("s") >= least)
+    sets = sets.select("n", F.transform("s", lambda x: x["f"]).alias("s"))  # a name's own fields
+    first = sets.select("n", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("f"))
+    a, b = first.select(F.col("n").alias("a"), "f"), first.select(F.col("n").alias("b"), "f")
+    pairs = a.join(b, "f").filter("a < b").select("a", "b").distinct()
+    left, right = sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), sets.select(F.col("n").alias("b"), F.col("s").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared")).filter(F.col("shared") >= least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +19,19 @@ def chain_roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
     ids = edges.select(F.col("id").alias("_p"))
     e = edges.join(ids, F.col("parent") == F.col("_p"), "left").select("id", F.col("_p").alias("to"))
     # a root points nowhere; low: smallest id among the vertices from this one on, before ``to``
-    state = stage(e.select("id", "to", F.col("id").alias("low"), F.when(F.col("to").isNull(), F.col("id")).alias("root")), "pointers")
-    vertices = None
+    step = stage(e.select("id", "to", F.col("id").alias("low"), F.when(F.col("to").isNull(), F.col("id")).alias("root")), "pointers")
+    vertices, settled = step.count(), []
     for turn in range(rounds):
-        open_ = state.filter(F.col("root").isNull())
-        n = open_.count()
-        if not n:
-            return state.select("id", "root")
-        vertices = vertices or state.count()
+        open_ = step.filter(F.col("root").isNull())
+        settled.append(step.filter(F.col("root").isNotNull()))  # written once, in the round that settles them
+        if open_.isEmpty():
+            return functools.reduce(DataFrame.union, settled).select("id", "root")
+        state = functools.reduce(DataFrame.union, settled, open_)
         if 1 << turn > vertices:  # pointers have gone round any cycle: what is still open ends in one
             return _close_cycles(state)
         nxt = state.select(F.col("id").alias("_i"), F.col("to").alias("_to"), F.col("low").alias("_low"), F.col("root").alias("_root"))
-        step = open_.join(nxt, F.col("to") == F.col("_i"))
-        step = step.select("id", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), F.col("_root").alias("root"))
-        state = stage(state.filter(F.col("root").isNotNull()).unionByName(step), "pointers")
+        far = open_.join(nxt, F.col("to") == F.col("_i"))
+        step = stage(far.select("id", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), F.col("_root").alias("root")), "pointers")
     raise RuntimeError(f"chains longer than 2 to the {rounds}")
 
 

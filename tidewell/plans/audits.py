@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import channels, wording
 from tidewell.functions.timeutil import DAY, HOUR, micros, parse_time
 from tidewell.operators import audits, keys
+from tidewell.plans import runs
 from tidewell.plans.activity import ACT, activity
 from tidewell.plans.events import CHANNEL, EVENTS, channel, events
 from tidewell.plans.runs import AS_OF, HITS, RUNS, hit_table, run_table
@@ -178,15 +179,16 @@ def evaluations_written(spark, sf_dir):
     return audits.changed_evaluations(e, "signature", ["started", "run_id"], ["decision"]).drop("started")
 
 
-LOGICAL = f"""{RUNS}, {HITS}, lg AS (SELECT run_id, min(run_id) OVER (PARTITION BY cust, started // {90 * DAY}) AS logical, project FROM run)"""
+LOGICAL = f"""{runs.CHAIN}, {HITS}, up AS (SELECT id, id AS root FROM link WHERE parent IS NULL UNION ALL SELECT link.id, up.root FROM link JOIN up ON link.parent = up.id), lg AS (SELECT run_id, root AS logical, project FROM run JOIN up ON id = run_id)"""
 
 
 def logical_runs(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("cust", F.floor(F.col("started") / (90 * DAY)))
-    return run_table(spark, sf_dir).select("run_id", F.min("run_id").over(w).alias("logical"), "project")
+    """A run's logical run is the root of its chain: runs of a customer that follow each other within the gap."""
+    roots = runs.logical_run_roots(spark, sf_dir).select(F.col("id").alias("run_id"), F.col("root").alias("logical"))
+    return run_table(spark, sf_dir).select("run_id", "project").join(roots, "run_id")
 
 
-@query(f"""WITH {LOGICAL}, t AS (SELECT project, count(DISTINCT logical) AS runs FROM lg GROUP BY 1), h AS (SELECT project, detector, count(DISTINCT logical) AS hit_runs FROM hit JOIN lg USING (run_id) GROUP BY 1, 2) SELECT project, detector, hit_runs, runs, round(hit_runs / runs::DOUBLE, 9) AS rate FROM h JOIN t USING (project)""")
+@query(f"""WITH RECURSIVE {LOGICAL}, t AS (SELECT project, count(DISTINCT logical) AS runs FROM lg GROUP BY 1), h AS (SELECT project, detector, count(DISTINCT logical) AS hit_runs FROM hit JOIN lg USING (run_id) GROUP BY 1, 2) SELECT project, detector, hit_runs, runs, round(hit_runs / runs::DOUBLE, 9) AS rate FROM h JOIN t USING (project)""")
 def logical_prevalence(spark, sf_dir):
     """Prevalence by logical runs: runs that continue one another count once."""
     lg = logical_runs(spark, sf_dir)
@@ -195,7 +197,7 @@ def logical_prevalence(spark, sf_dir):
     return h.join(t, "project").withColumn("rate", F.round(F.col("hit_runs") / F.col("runs"), 9))
 
 
-@query(f"WITH {LOGICAL} SELECT logical, detector, min(run_id) AS run_id, count(*) AS hits FROM hit JOIN lg USING (run_id) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {LOGICAL} SELECT logical, detector, min(run_id) AS run_id, count(*) AS hits FROM hit JOIN lg USING (run_id) GROUP BY 1, 2")
 def hits_by_logical_run(spark, sf_dir):
     h = hit_table(spark, sf_dir).join(logical_runs(spark, sf_dir), "run_id")
     return h.groupBy("logical", "detector").agg(F.min("run_id").alias("run_id"), F.count("*").alias("hits"))

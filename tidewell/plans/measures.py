@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import records
 from tidewell.functions.timeutil import DAY
-from tidewell.operators import alerts, boards, moments, patterns
+from tidewell.operators import alerts, audits, boards, moments, patterns
 from tidewell.plans.events import EVENTS, GAP, events, kind
 from tidewell.runtime import table
 from tidewell.sources import schema_checks
@@ -148,3 +149,31 @@ def session_boards(spark, sf_dir):
     facts = F.from_json("facts", "iteration long, done array<string>, live map<string,long>")
     count = lambda v: F.coalesce(F.col("f.live")[v], F.lit(0))
     return b.select("session", facts.alias("f")).select("session", "f.iteration", F.size("f.done").cast("long").alias("done"), count("OK").alias("ok"), count("CE").alias("ce"))
+
+
+#: Files made of parts: a struct, a type or a class with a field for each word of the name, the brand and the kind.
+_FILES = "f AS (SELECT p_partkey AS k, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(replace(p_brand, '#', '_')), lower(p_type)] AS fs FROM part)"
+
+
+def source_files(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    a, b, c, d = word(1), word(2), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lower("p_type")
+    rust = F.concat(F.lit("// struct Old { gone: u8 }\npub struct R"), k, F.lit(" {\n  pub "), a, F.lit(": Vec<(u8, u8)>,\n  "), b, F.lit(": Option<String>, /* x: u8, */\n  "), c, F.lit(": [u8; 4],\n  "), d, F.lit(": f64\n}\n"))
+    go = F.concat(F.lit("type R"), k, F.lit(" struct {\n\t// note\n\tEmbedded\n\t"), a, F.lit(", "), b, F.lit(" string\n\t"), c, F.lit(" map[string]int\n\t"), d, F.lit(" *Thing\n}\n"))
+    python = F.concat(F.lit("@dataclass\nclass R"), k, F.lit("(Base):\n    "), a, F.lit(": int\n    "), b, F.lit(": str = 'x'\n    loose = 3\n    "), c, F.lit(": list[int]\n\n    def f(self):\n        y: int = 2\n    "), d, F.lit(": float\nz: int = 1\n"))
+    turn = F.col("p_partkey") % 3
+    name = F.concat(F.lit("src/r"), k, F.when(turn == 0, ".rs").when(turn == 1, ".go").otherwise(".py"))
+    return p.select(name.alias("path"), F.when(turn == 0, rust).when(turn == 1, go).otherwise(python).alias("text"))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT 'src/r' || k || ['.rs', '.go', '.py'][1 + (k % 3)::INT] AS path, 'R' || k AS record, unnest(fs) AS field FROM f")
+def record_fields(spark, sf_dir):
+    """Fields of the records in source files of three families."""
+    return records.record_fields(source_files(spark, sf_dir))
+
+
+@query(f"""WITH {_FILES}, x AS (SELECT DISTINCT 'R' || k AS n, unnest(fs) AS field FROM f) SELECT a.n AS a, b.n AS b, count(*) AS shared FROM x a JOIN x b ON a.field = b.field AND a.n < b.n GROUP BY 1, 2 HAVING count(*) >= 4""")
+def duplicate_records(spark, sf_dir):
+    """Records of different files that share four fields or more: two sources of one truth."""
+    return audits.overlapping(records.record_fields(source_files(spark, sf_dir)), "record", "field", 4)
