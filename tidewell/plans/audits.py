@@ -305,15 +305,18 @@ def consumer_lag(spark, sf_dir):
     return p.select("event_type", (F.col("head") - F.col("acked")).alias("lag"), "pending", "oldest")
 
 
-@query(f"""WITH {EVENTS}, f AS (SELECT event_type, user_id % 30 AS fp, max(us) AS last_seen, count(*) AS n FROM ev GROUP BY 1, 2), s AS (SELECT event_type, us FROM ev WHERE event_id % 211 = 0) SELECT event_type, fp, n, (SELECT count(*) FROM s WHERE s.event_type = f.event_type AND s.us - f.last_seen < {DAY} AND s.us >= f.last_seen) AS dismissed FROM f""")
+@query(f"""WITH {EVENTS}, f AS (SELECT event_type, user_id % 30 AS fp, count(*) AS n FROM ev GROUP BY 1, 2), g AS (SELECT DISTINCT event_type, user_id % 30 AS fp, us FROM ev), s AS (SELECT event_id, event_type, us FROM ev WHERE event_id % 211 = 0),
+d AS (SELECT g.event_type, g.fp, count(DISTINCT s.event_id) AS dismissed FROM g JOIN s ON s.event_type = g.event_type AND s.us >= g.us AND s.us - g.us < {DAY} GROUP BY 1, 2) SELECT f.event_type, f.fp, n, coalesce(dismissed, 0) AS dismissed FROM f LEFT JOIN d USING (event_type, fp)""")
 def dismissed_fingerprints(spark, sf_dir):
-    """Fingerprints with how many rejected signals of their channel came within a day behind their last sight."""
-    e = events(spark, sf_dir)
-    f = e.groupBy("event_type", (F.col("user_id") % 30).alias("fp")).agg(F.max("us").alias("last_seen"), F.count("*").alias("n"))
-    s = e.filter(F.col("event_id") % 211 == 0).select("event_type", "us", F.explode(F.array(F.floor(F.col("us") / DAY), F.floor(F.col("us") / DAY) - 1)).alias("day"))
-    j = f.withColumn("day", F.floor(F.col("last_seen") / DAY)).join(s, ["event_type", "day"], "left")
-    near = (F.col("us") >= F.col("last_seen")) & (F.col("us") - F.col("last_seen") < DAY)
-    return j.groupBy("event_type", "fp", "n").agg(F.count_if(near).alias("dismissed"))
+    """Fingerprints with how many rejected signals of their channel came within a day behind any of their sights."""
+    e = events(spark, sf_dir).withColumn("fp", F.col("user_id") % 30)
+    day = F.floor(F.col("us") / DAY)
+    s = e.filter(F.col("event_id") % 211 == 0).select(F.col("event_type").alias("t"), F.col("event_id").alias("signal"), F.col("us").alias("at"), F.explode(F.array(day, day - 1)).alias("on"))  # verdicts are few
+    g = e.select("event_type", "fp", "us", day.alias("day")).distinct()
+    near = (F.col("event_type") == F.col("t")) & (F.col("day") == F.col("on")) & (F.col("at") >= F.col("us")) & (F.col("at") - F.col("us") < DAY)
+    d = g.join(s, near).groupBy("event_type", "fp").agg(F.count_distinct("signal").alias("dismissed"))
+    f = e.groupBy("event_type", "fp").agg(F.count("*").alias("n"))
+    return f.join(d, ["event_type", "fp"], "left").fillna(0, ["dismissed"])
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT event_type, user_id % 10 AS kind, count(*) AS n, round(avg(value::DOUBLE), 6) AS rate FROM ev GROUP BY 1, 2), g AS (SELECT user_id % 10 AS kind, round(avg(value::DOUBLE), 6) AS rate FROM ev GROUP BY 1) SELECT event_type, kind, CASE WHEN n >= 150 THEN c.rate ELSE g.rate END AS rate, n < 150 AS global FROM c JOIN g USING (kind)""")

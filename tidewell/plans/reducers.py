@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text, wording
 from tidewell.functions.timeutil import DAY, HOUR
 from tidewell.operators import keys
-from tidewell.plans.events import EVENTS, events
+from tidewell.plans.events import _FINGER, EVENTS, events
 from tidewell.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -255,9 +255,16 @@ def fingerprint_ledger(spark, sf_dir):
     return k.groupBy("event_type", "fp").agg(F.count("*").alias("n"), F.min("us").alias("first_seen"), F.max("us").alias("last_seen"), F.min_by(F.substring("props", 1, 200), last()).alias("sample"))
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT event_type, user_id % 30 AS fp, count(*) AS n, max(us) AS last_seen FROM ev GROUP BY 1, 2 HAVING count(*) >= 2) SELECT event_type, fp, n, last_seen, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, fp) AS rank FROM g QUALIFY rank <= 8""")
+#: A message whose letters name one of thirty queues; its numbers differ from event to event.
+_MESSAGE = "'Queue ' || translate((user_id % 30)::VARCHAR, '0123456789', 'abcdefghij') || ' failed after ' || event_id || ' ms at 0x00ff' || (1000 + event_id % 9000)"
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT event_type, {_FINGER.format(x=_MESSAGE)} AS fp, us FROM ev), g AS (SELECT event_type, fp, count(*) AS n, max(us) AS last_seen FROM m GROUP BY 1, 2 HAVING count(*) >= 2) SELECT event_type, fp, n, last_seen, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, fp) AS rank FROM g QUALIFY rank <= 8""")
 def recurring_fingerprints(spark, sf_dir):
-    g = events(spark, sf_dir).groupBy("event_type", (F.col("user_id") % 30).alias("fp")).agg(F.count("*").alias("n"), F.max("us").alias("last_seen")).filter("n >= 2")
+    e = events(spark, sf_dir)
+    queue = F.translate((F.col("user_id") % 30).cast("string"), "0123456789", "abcdefghij")
+    message = F.concat(F.lit("Queue "), queue, F.lit(" failed after "), F.col("event_id").cast("string"), F.lit(" ms at 0x00ff"), (1000 + F.col("event_id") % 9000).cast("string"))
+    g = e.groupBy("event_type", text.fingerprint(message).alias("fp")).agg(F.count("*").alias("n"), F.max("us").alias("last_seen")).filter("n >= 2")
     return keys.per_key(g, ["event_type"], [F.desc("n"), F.col("fp")], 8).withColumn("rank", F.col("rank").cast("long"))
 
 
