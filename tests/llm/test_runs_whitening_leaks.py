@@ -112,7 +112,7 @@ def vectors(spark, rows):
 def test_whitening_by_hand(spark, dim):
     rng = np.random.default_rng(dim)
     x = (rng.normal(size=(300, dim)) * np.linspace(3, 1, dim)).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, x[0].tolist()) for i in range(50)] + [(None, x[1].tolist()), (5, None), (6, [float("nan")] * dim), (7, [None] + [1.0] * (dim - 1)), (8, [float("inf")] * dim), (9, [])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, x[0].tolist()) for i in range(50)] + [(None, x[1].tolist()), (2005, None), (2006, [float("nan")] * dim), (2007, [None] + [1.0] * (dim - 1)), (2008, [float("inf")] * dim), (2009, [])]
     d = vectors(spark, rows)
     good = [(i, np.floor(256 * np.array(v + [0.0] * (dim - len(v)), np.float64))) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
     fit = np.unique(np.array([v for _, v in good]), axis=0)
