@@ -268,6 +268,15 @@ def test_deletion_does_not_hide_a_line_of_the_same_fingerprint(spark):
     assert [(r.n_docs, r.holder) for r in state.counts.collect()] == [(2, 8)]
 
 
+@pytest.mark.parametrize("zeros", [1, 2])
+def test_line_dedup_of_keys_that_end_in_zero_bytes(spark, zeros):
+    line = next(x for n in range(10_000_000) if line_dedup.line_keys(x := f"{ONE_LINE} {n}", 40)[0].endswith(bytes(zeros)))
+    rows = [(n, f"{n}\n{line}\n{ONE_LINE}") for n in range(6)]
+    d = documents(spark, rows)
+    got = {(r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.clean(line_dedup.insert(None, d), d).collect()}
+    assert got == {(n, str(n), 3, 2) for n in range(5)} | {(5, rows[5][1], 3, 0)}
+
+
 def test_line_dedup_passes_columns_on(spark):
     names = ["row", "id", "kept_text", "n_lines", "n_dropped", "holder", "doomed", "of", "_doc", "_doomed"]
     d = documents(spark, [(i, f"{i}\n{ONE_LINE}") for i in range(6)]).withColumns({c: F.lit(777) for c in names})

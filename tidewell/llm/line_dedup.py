@@ -215,8 +215,10 @@ def cleaned(state: LineState, docs: DataFrame, least_docs: int = 5) -> DataFrame
             keys, holders = sent.value
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = list({k for k in line_keys(text, min_chars) if k}) if len(keys) else []
-                at = np.minimum(np.searchsorted(keys, np.array(own, "S16")), len(keys) - 1) if own else []
-                yield {k for k, i in zip(own, at, strict=True) if keys[i] == np.bytes_(k) and holders[i] != doc}
+                asked = np.array(own, "S16")
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1) if own else np.zeros(0, int)
+                gone = (keys[at] == asked) & (holders[at] != doc)  # as arrays: a single S16 value loses the zero bytes at its end
+                yield {k for k, g in zip(own, gone, strict=True) if g}
     else:
         doomed = state.postings.join(common, "key").filter(F.col("doc_id") != F.col("holder"))
         doomed = doomed.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("doomed"))  # at most the document's own lines
