@@ -91,6 +91,14 @@ def test_first_listed_pattern_of_ten_thousand(spark):
     assert patterns.first_match(spark.createDataFrame([("a",)], "name string"), everything.limit(0)).count() == 0
 
 
+def test_first_listed_pattern_broadcasts_no_table(spark):
+    n = spark.range(2000).select(F.concat(F.lit("s.n."), F.col("id").cast("string"), F.lit(".v1")).alias("name"))
+    p = spark.range(4000).select(F.col("id").alias("place"), F.concat(F.lit("*."), (F.col("id") + 1000).cast("string"), F.when(F.col("id") % 2 == 0, ".v1").otherwise("*")).alias("pattern"))
+    got = patterns.first_match(n, p)
+    assert {r.name: r.place for r in got.collect()} == {f"s.n.{i}.v1": i - 1000 for i in range(1000, 2000)}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merged_days_equal_one_pass(spark):
     rng = np.random.default_rng(2)
     values = (1e6 + rng.normal(size=4000)).tolist()  # a mean far from 0, where naive sums of squares fail
