@@ -40,3 +40,15 @@ def test_overlap_equals_counting(spark):
     for least in (1, 3):
         want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least}
         assert {(r.a, r.b, r.shared) for r in audits.overlapping(d, "n", "f", least).collect()} == want
+
+
+def test_overlap_of_many_equal_records_meets_by_class(spark, monkeypatch):
+    monkeypatch.setattr(audits, "PIECE", 4)
+    sets = {f"r{i}": {"a", "b", "c", f"d{i % 3}"} for i in range(40)} | {"x": {"a", "b", "q"}}
+    d = spark.createDataFrame([(n, f) for n, s in sets.items() for f in s], "n string, f string")
+    staged, stage = {}, audits.stage
+    monkeypatch.setattr(audits, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 3}
+    got = audits.overlapping(d, "n", "f", 3).collect()
+    assert {(r.a, r.b, r.shared) for r in got} == want and len(got) == len(want)
+    assert staged["classes"].count() == 4  # only these are compared

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import wording
 from tidewell.functions.channels import shell_glob
+from tidewell.runtime import stage
 
 
 def with_fallbacks(letters: DataFrame) -> DataFrame:
@@ -62,18 +63,34 @@ def changed_evaluations(evaluations: DataFrame, key: str, order: list[str], fact
     return evaluations.withColumn("_same", F.coalesce(same, F.lit(False)) & (F.row_number().over(w) > 1)).filter("NOT _same").drop("_same")
 
 
+#: Names of a class in a piece, about; pieces of two classes meet whole.
+PIECE = 256
+
+
 def overlapping(fields: DataFrame, name: str, field: str, least: int) -> DataFrame:
     """(a, b, shared): names that share ``least`` fields or more.
 
-    Fields are put in order, rare ones first. Two names that share ``least`` fields share one among the first
-    n - least + 1 of each, so only these prefixes meet, and fields that most names have hardly ever do."""
+    Names with the same fields are one class, and classes are compared, not names. Fields are put in order, rare
+    ones first. Two classes that share ``least`` fields share one among the first n - least + 1 of each, so only
+    these prefixes meet, and fields that most names have hardly ever do. Pairs of names are made last, from pieces
+    of the two classes, and no shuffle holds them."""
     f = fields.filter(F.col(name).isNotNull() & F.col(field).isNotNull()).select(F.col(name).alias("n"), F.col(field).alias("f")).distinct()
     often = f.groupBy("f").agg(F.count("*").alias("names"))
     sets = f.join(often, "f").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("names", "f"))).alias("s")).filter(F.size("s") >= least)
-    sets = sets.select("n", F.transform("s", lambda x: x["f"]).alias("s"))  # a name's own fields
-    first = sets.select("n", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("f"))
-    a, b = first.select(F.col("n").alias("a"), "f"), first.select(F.col("n").alias("b"), "f")
-    pairs = a.join(b, "f").filter("a < b").select("a", "b").distinct()
-    left, right = sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), sets.select(F.col("n").alias("b"), F.col("s").alias("sb"))
+    sets = stage(sets.select("n", F.transform("s", lambda x: x["f"]).alias("s")), "sets")  # a name's own fields
+    classes = stage(sets.groupBy("s").agg(F.count("*").alias("size"), F.min("n").alias("c")), "classes")
+    first = classes.select("c", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("f"))
+    a, b = first.select(F.col("c").alias("a"), "f"), first.select(F.col("c").alias("b"), "f")
+    pairs = a.join(b.hint("merge"), "f").filter("a < b").select("a", "b").distinct()
+    left, right = classes.select(F.col("c").alias("a"), F.col("s").alias("sa")), classes.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared")).filter(F.col("shared") >= least)
+    pairs = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", shared.alias("shared")).filter(F.col("shared") >= least)
+    pairs = pairs.unionByName(classes.filter("size > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.size("s").cast("long").alias("shared")))
+
+    piece = F.pmod(F.xxhash64("n"), F.ceil(F.col("size") / PIECE)).alias("piece")
+    pieces = sets.join(classes.hint("merge"), "s").select("c", piece, "n").groupBy("c", "piece").agg(F.collect_list("n").alias("ns"))
+    of = lambda k: pieces.select(F.col("c").alias(k), F.col("piece").alias(f"p{k}"), F.col("ns").alias(f"n{k}"))
+    met = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").filter("a < b OR pa <= pb")
+    x = met.select("shared", (F.col("a") == F.col("b")).alias("same"), (F.col("pa") == F.col("pb")).alias("one"), "nb", F.explode("na").alias("x"))
+    x = x.select("shared", (F.col("same") & F.col("one")).alias("once"), "x", F.explode("nb").alias("y")).filter("NOT once OR x < y")
+    return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
