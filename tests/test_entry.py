@@ -62,3 +62,10 @@ def test_red_baseline_of_cohorts_whose_first_click_has_no_status(spark, tmp_path
     got = sorted(tuple(r) for r in df.select("user_id", "cohort", "width", "status").collect())
     assert got == [(1, 1, 2, "error"), (3, 1, 3, "absent"), (4, 1, 3, "error")]
     assert got == sorted(c.execute(catalogue.ORACLE["red_baseline_cohorts"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["synthesis_pass", "nightly_digest"])
+def test_detectors_look_through_the_events_once(spark, name):
+    files = catalogue.QUERIES[name](spark, DIR).inputFiles()
+    of = [f for f in files if "/hits/" in f]
+    assert of and not [f for f in files if "events.parquet" in f and name == "synthesis_pass"]
