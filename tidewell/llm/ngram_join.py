@@ -369,7 +369,7 @@ def linked_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     Lists that share members are one block; its members go to chunks of bounded size by bands of set
     size, of which only the same and neighbouring ones can be similar, and chunk meets chunk."""
     spread = _star(lists).select("a", "b")
-    block = stage(connected_components(spread).withColumnRenamed("v", "rep"), "blocks")
+    block = connected_components(spread).withColumnRenamed("v", "rep")
     member = lists.select("rep", "n").distinct().join(_few(block), "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))))
     room = member.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).alias("chunks"))
     member = stage(member.join(room, ["component", "band"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select("component", "band", "chunk", "rep"), "members")
@@ -419,7 +419,7 @@ def similar_components(docs: DataFrame, n: int = N, *more: Column) -> tuple[Data
     # copies share most of their n-grams: a few of each set link most of what is alike
     star = _star(lists.filter(F.col("at") < FIRST_TRY)).filter(_near_sizes(F.col("na"), F.col("nb"))).select("a", "b", "nb")
     first = linked(star, sets)
-    found = stage(connected_components(first).withColumnRenamed("v", "rep"), "found")
+    found = connected_components(first).withColumnRenamed("v", "rep")
     parts = _apart(lists, found)
     blocks = linked_blocks(parts.filter(F.col("many") > SHORT), sets)
     links = first.unionByName(blocks).unionByName(linked_between(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
