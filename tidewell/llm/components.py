@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.runtime import stage
+from tidewell.runtime import lean_stage as stage
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

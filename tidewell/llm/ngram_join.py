@@ -10,8 +10,11 @@ n-grams they share at least ``least_shared`` of them. This gives, without any lo
    rarest suffice for candidates, so passages that many documents share are passed over;
 4. lists of representatives by such an n-gram. First the members of a few of these lists are tried
    in a star with one member each; lists whose members are then all in one component are done. Of
-   the others, short ones are tried pair by pair; long ones, of large groups of near copies, are
-   joined to blocks, whose members meet in chunks of bounded size;
+   the others, short ones are tried pair by pair. Members of long ones, most of which have but a
+   passage in common, are listed again by the rarest quarter of their whole sets: a set of which
+   others hold less than 3/4 is in no list then. Of these lists again short ones are tried pair by
+   pair; long ones, of large groups of near copies, are joined to blocks, whose members meet in
+   chunks of bounded size;
 5. the trial: the candidates' whole sets form a prefix tree, which one or many documents walk
    together; sets with a common beginning share its overlap, and a subtree is left by those that
    can't reach the index any more with what remains of it and of them. Of a block only as many links
@@ -30,7 +33,7 @@ null; an empty table gives no rows; columns other than doc_id and text are not r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.batches import by_size
 from tidewell.llm.components import connected_components
 from tidewell.llm.hashing import run_hashes, word_hashes
-from tidewell.runtime import stage, table
+from tidewell.runtime import lean_stage as stage
+from tidewell.runtime import table
 
 N = 5
 #: Lists up to this length are tried pair by pair, longer ones in blocks.
@@ -89,6 +93,11 @@ def least_shared(n: Column | int):
     return (-(-3 * n // 4)) // 12 + 1 if isinstance(n, int) else F.floor(F.ceil(3 * n / 4) / 12) + 1
 
 
+def least_alike(n: Column):
+    """The least overlap of a set of ``n`` and of any partner."""
+    return F.ceil(3 * n / 4)
+
+
 def least_met(n: Column):
     """In how many lists similar sets meet at least."""
     return F.least(least_shared(n), F.lit(MEET))
@@ -131,19 +140,20 @@ def _told_apart(d: DataFrame, clashes: DataFrame | None, node: str = "node") ->
     return d.withColumn(node, F.when(F.col("clash").isNotNull(), F.xxhash64(node, "check")).otherwise(F.col(node))).drop("check", "clash")
 
 
-def first_posts(representatives: DataFrame, n: int = N) -> DataFrame:
-    """(rep, n, token): the first third of each set's n-grams, from (rep, text)."""
+def first_posts(docs: DataFrame, n: int = N) -> DataFrame:
+    """(rep, check, n, token): the first third of each set's n-grams, with the set's digest in two halves."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, 1):
-            sets = list(shingle_sets(batch.column(1).to_pylist(), n))
+        for batch in by_size(batches, 0):
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), n) if len(s)]
             firsts = [s[: first_part(len(s))] for s in sets]
             many = np.array([len(f) for f in firsts], np.int64)
-            rep = np.repeat(batch.column(0).to_numpy(), many)
+            halves = np.array([node_of(s) for s in sets], np.int64).reshape(-1, 2)
             token = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
-            yield pa.record_batch([pa.array(rep), pa.array(np.repeat([len(s) for s in sets], many).astype(np.int32)), pa.array(token)], names=["rep", "n", "token"])
+            size = np.array([len(s) for s in sets], np.int32)
+            yield pa.record_batch([*[pa.array(np.repeat(x, many)) for x in (halves[:, 0], halves[:, 1], size)], pa.array(token)], names=["rep", "check", "n", "token"])
 
-    return representatives.select("rep", "text").mapInArrow(post, "rep long, n int, token long")
+    return docs.select("text").mapInArrow(post, "rep long, check long, n int, token long")
 
 
 def whole_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -158,6 +168,19 @@ def whole_sets(docs: DataFrame, n: int = N) -> DataFrame:
     return docs.select("text").mapInArrow(make, "rep long, check long, set binary")
 
 
+def all_posts(sets: DataFrame) -> DataFrame:
+    """(rep, n, token): every n-gram of (rep, set)."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, 1):
+            grams = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            many = np.array([len(g) for g in grams], np.int64)
+            token = np.concatenate(grams) if grams else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(np.repeat(x, many)) for x in (batch.column(0).to_numpy(), many.astype(np.int32))] + [pa.array(token)], names=["rep", "n", "token"])
+
+    return sets.select("rep", "set").mapInArrow(post, "rep long, n int, token long")
+
+
 class PrefixTree:
     """Sets as paths of rising numbers; a node holds the stretch that all sets below it share."""
 
@@ -262,15 +285,20 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def candidate_lists(posts: DataFrame) -> DataFrame:
+def candidate_lists(posts: DataFrame, once: bool = False, part: Callable = first_part, least: Callable = least_shared) -> DataFrame:
     """(token, rep, n, at, df): representatives by the n-grams that make them candidates, from the rarest (at = 0) on.
 
-    Similar sets meet in ``least_met`` of these lists or more."""
-    often = posts.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
-    shared = posts.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most a set's own third
-    # in order of rarity a set's lone n-grams come first; of its first part all but the last least_shared - least_met make candidates
-    lone = first_part(F.col("n")) - F.size("shared")
-    rarest = (first_part(F.col("n")) - least_shared(F.col("n")) + least_met(F.col("n")) - lone).cast("int")
+    ``posts`` has ``part`` of each set, of which a partner shares ``least`` or more; so similar sets meet in
+    ``least_met`` of these lists or more. ``once``: no post comes twice. The counts are written before
+    posts are made again and meet them, so that both are never on disk together."""
+    often = stage(posts.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df"), "often")
+    shared = posts.join(often, "token")
+    if not once:
+        shared = shared.dropDuplicates(["token", "rep", "n", "df"])
+    shared = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most a set's own n-grams
+    # in order of rarity a set's lone n-grams come first; of its part all but the last least - least_met make candidates
+    lone = part(F.col("n")) - F.size("shared")
+    rarest = (part(F.col("n")) - least(F.col("n")) + least_met(F.col("n")) - lone).cast("int")
     shared = shared.filter(rarest >= least_met(F.col("n"))).select("rep", "n", F.posexplode(F.slice("shared", F.lit(1), rarest)).alias("at", "x"))
     return stage(shared.select("x.token", "rep", "n", "at", "x.df"), "lists")
 
@@ -396,9 +424,22 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return pairs.filter(F.col("common") >= F.least(least_met(F.col("na")), least_met(F.col("nb")))).drop("common")
 
 
-def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, text) of the documents that (rep, owner) names."""
-    return docs.join(_few(reps), F.col("doc_id") == F.col("owner")).select("rep", "text")
+def _owned(docs: DataFrame, signed: DataFrame, reps: DataFrame) -> tuple[DataFrame, bool]:
+    """The documents of those ids that own a set, and whether they hold each set just once.
+
+    Texts stay where they are while either these ids or the others are few."""
+    mine = reps.select(F.col("owner").alias("doc_id")).distinct()
+    with_words = signed.filter("n_shingles > 0").select("doc_id")
+    others = stage(with_words.join(mine, "doc_id", "left_anti").distinct(), "others")
+    once = with_words.join(mine, "doc_id", "left_semi").count() == reps.count()
+    if others.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(others), "doc_id", "left_anti"), once
+    return _of_owners(docs, reps), once
+
+
+def _of_owners(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents of the owners in (rep, owner)."""
+    return docs.join(_few(stage(reps.select(F.col("owner").alias("doc_id")).distinct(), "owners")), "doc_id", "left_semi")
 
 
 def _id() -> Column:
@@ -412,17 +453,23 @@ def similar_components(docs: DataFrame, n: int = N, *more: Column) -> tuple[Data
     clashes = _clashes(signed)
     signed = _told_apart(signed, clashes)
     reps = stage(signed.filter("n_shingles > 0").groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("owner")), "reps")
-    lists = candidate_lists(first_posts(_texts(d, reps), n))
+    owned, once = _owned(d, signed, reps)
+    lists = candidate_lists(_told_apart(first_posts(owned, n), clashes, "rep"), once)
     ids = stage(reps.join(lists.select("rep").distinct(), "rep", "left_semi"), "ids")
-    sets = stage(_told_apart(whole_sets(_texts(d, ids), n), clashes, "rep").dropDuplicates(["rep"]), "sets")
+    sets = _told_apart(whole_sets(_of_owners(d, ids), n), clashes, "rep")
+    sets = stage(sets if once else sets.dropDuplicates(["rep"]), "sets")
 
     # copies share most of their n-grams: a few of each set link most of what is alike
     star = _star(lists.filter(F.col("at") < FIRST_TRY)).filter(_near_sizes(F.col("na"), F.col("nb"))).select("a", "b", "nb")
     first = linked(star, sets)
     found = connected_components(first).withColumnRenamed("v", "rep")
     parts = _apart(lists, found)
-    blocks = linked_blocks(parts.filter(F.col("many") > SHORT), sets)
-    links = first.unionByName(blocks).unionByName(linked_between(_pairs(parts.filter(F.col("many") <= SHORT)), sets))
+    # many documents with one passage share few n-grams else: those in long lists meet again by the rarest quarter of their whole sets
+    busy = stage(parts.filter(F.col("many") > SHORT).select("rep").distinct(), "busy")
+    again = _apart(candidate_lists(all_posts(sets.join(_few(busy), "rep", "left_semi")), True, lambda n: n, least_alike), found)
+    blocks = linked_blocks(again.filter(F.col("many") > SHORT), sets)
+    pairs = _pairs(parts.filter(F.col("many") <= SHORT)).unionByName(_pairs(again.filter(F.col("many") <= SHORT))).distinct()
+    links = first.unionByName(blocks).unionByName(linked_between(pairs, sets))
     return signed, connected_components(links).withColumnRenamed("v", "rep")
 
 
